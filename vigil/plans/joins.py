@@ -1,0 +1,21 @@
+"""Join helpers with an explicit policy for the small side.
+
+A side is broadcast only when its size is bounded by construction (rule
+tables, fixed lookup lists: ``bounded=True``). Everything else is left to
+the planner: with AQE on, Spark measures the materialized shuffle output
+at runtime and switches to a broadcast hash join only when that measured
+size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond it
+the join stays a shuffle (sort-merge) join, and skewed partitions are split
+by AQE's skew-join handling.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def small_side_join(left: DataFrame, right: DataFrame, on, how: str = "inner",
+                    bounded: bool = False) -> DataFrame:
+    right = F.broadcast(right) if bounded else right
+    return left.join(right, on, how)

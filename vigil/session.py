@@ -36,6 +36,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

@@ -219,62 +219,49 @@ PACKAGE_NAMES = ["lodash", "axios", "express", "minimist", "node-fetch", "next",
 _PH = re.compile(r"\{(id|A|B|AB|H|h)(?::(\d+))?\}")
 
 
-def _line_sql(d: Dialect, line: str, key: str) -> list[str]:
-    parts, pos = [], 0
-    for m in _PH.finditer(line):
-        if m.start() > pos:
-            parts.append(d.lit(line[pos:m.start()]))
+def template_rows() -> list[tuple[int, str, str, bool]]:
+    """(t, path template, body template, prose-as-yaml-comments) rows."""
+    return [(i, p, "\n".join(lines), p.endswith((".yml", ".yaml"))) for i, (p, lines) in enumerate(TEMPLATES)]
+
+
+def placeholders() -> list[str]:
+    found = set()
+    for p, lines in TEMPLATES:
+        for x in [p, *lines]:
+            found.update(m.group(0) for m in _PH.finditer(x))
+    return sorted(found)
+
+
+def _fill_sql(d: Dialect, col: str) -> str:
+    """Nested replace() of every placeholder by its per-document value."""
+    expr = col
+    for ph in placeholders():
+        m = _PH.fullmatch(ph)
         name, n = m.group(1), m.group(2)
-        if name == "id":
-            parts.append(d.s(key))
-        elif name == "A":
-            parts.append(d.token("a", key))
-        elif name == "B":
-            parts.append(d.token("b", key))
-        elif name == "AB":
-            parts.append(f"substr({d.token('a', key)} || {d.token('b', key)}, 1, {int(n)})")
-        elif name == "H":
-            parts.append(f"substr({d.hexu('h', key)}, 1, {int(n)})")
-        elif name == "h":
-            parts.append(f"lower(substr({d.hexu('h', key)}, 1, {int(n)}))")
-        pos = m.end()
-    if pos < len(line):
-        parts.append(d.lit(line[pos:]))
-    return parts
-
-
-def _block_sql(d: Dialect, lines: list[str], key: str) -> str:
-    parts = []
-    for i, line in enumerate(lines):
-        if i:
-            parts.append("chr(10)")
-        parts.extend(_line_sql(d, line, key))
-    return " || ".join(parts)
+        val = {"id": d.s("doc_id"), "A": "_ta", "B": "_tb",
+               "AB": f"substr(_ta || _tb, 1, {n})", "H": f"substr(_hx, 1, {n})",
+               "h": f"lower(substr(_hx, 1, {n}))"}[name]
+        expr = f"replace({expr}, {d.lit(ph)}, {val})"
+    return expr
+
+
+def token_columns_sql(d: Dialect, key: str = "doc_id") -> dict[str, str]:
+    """Per-document synthetic tokens, computed once and referenced by the
+    templates as columns _ta, _tb (alphanumeric) and _hx (upper hex)."""
+    return {"_ta": d.token("a", key), "_tb": d.token("b", key), "_hx": d.hexu("h", key)}
 
 
 def template_index_sql(d: Dialect, key: str = "doc_id") -> str:
     return f"({d.mix(key)} % {len(TEMPLATES)})"
 
 
-def planted_path_sql(d: Dialect, key: str = "doc_id") -> str:
-    t = template_index_sql(d, key)
-    whens = " ".join(f"WHEN {i} THEN {' || '.join(_line_sql(d, p, key))}"
-                     for i, (p, _) in enumerate(TEMPLATES))
-    return f"CASE {t} {whens} END"
+def planted_path_sql(d: Dialect) -> str:
+    return _fill_sql(d, "path_tpl")
 
 
-def planted_content_sql(d: Dialect, key: str = "doc_id", text: str = "text") -> str:
-    t = template_index_sql(d, key)
-    whens = []
-    for i, (path, lines) in enumerate(TEMPLATES):
-        body = _block_sql(d, lines, key)
-        if path.endswith((".yml", ".yaml")):
-            # prose kept as YAML comments so the file stays a valid document
-            prose = f"'# ' || {d.re_replace_all(text, chr(10), chr(10) + '# ')}"
-            whens.append(f"WHEN {i} THEN {prose} || chr(10) || {body}")
-        else:
-            whens.append(f"WHEN {i} THEN {text} || chr(10) || {body}")
-    return f"CASE {t} {' '.join(whens)} END"
+def planted_content_sql(d: Dialect, text: str = "text") -> str:
+    prose = f"CASE WHEN yaml_prose THEN '# ' || {d.re_replace_all(text, chr(10), chr(10) + '# ')} ELSE {text} END"
+    return f"{prose} || chr(10) || {_fill_sql(d, 'body_tpl')}"
 
 
 def _lines_lit(d: Dialect, lines: list[str]) -> str:
@@ -411,6 +398,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    toks = [F.expr(v).alias(k) for k, v in token_columns_sql(SPARK).items()]
+    docs = docs.select("doc_id", "source", "text", F.expr(template_index_sql(SPARK)).alias("t"), *toks)
+    # the template table has a fixed, tiny size (one row per template)
+    tpl = spark.createDataFrame(template_rows(), "t long, path_tpl string, body_tpl string, yaml_prose boolean")
+    docs = docs.join(F.broadcast(tpl), "t")
     return docs.select(
         F.col("source").alias("project"),
         F.expr(planted_path_sql(SPARK)).alias("path"),
@@ -544,8 +536,12 @@ def findings_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck_ctes() -> dict[str, str]:
     d = DUCK
     ctes: dict[str, str] = {}
+    toks = ", ".join(f"{v} AS {k}" for k, v in token_columns_sql(d).items())
+    vals = ", ".join(f"({t}, {d.lit(p)}, {d.lit(b)}, {'true' if y else 'false'})" for t, p, b, y in template_rows())
+    ctes["templates"] = f"SELECT * FROM (VALUES {vals}) v(t, path_tpl, body_tpl, yaml_prose)"
     ctes["doc_files"] = (f"SELECT source AS project, {planted_path_sql(d)} AS path, "
-                         f"{planted_content_sql(d)} AS content FROM documents")
+                         f"{planted_content_sql(d)} AS content FROM (SELECT doc_id, source, text, "
+                         f"{template_index_sql(d)} AS t, {toks} FROM documents) x JOIN templates USING (t)")
     ctes["extra_files"] = (
         f"SELECT {_project_of('page_id')} AS project, '/public/pages/p' || CAST(page_id AS STRING) || '.html' AS path, html AS content FROM pages "
         f"UNION ALL SELECT {_project_of('conv_id')} AS project, '/docs/chats/c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.md' AS path, text AS content FROM conversations")
