@@ -523,9 +523,10 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One finding per lineitem row, in the ``findings`` schema."""
+    from ..schemas import conform
     li = read(spark, sf_dir, "lineitem")
     cols = [F.expr(v).alias(k) for k, v in finding_exprs().items()]
-    return li.select(*cols).withColumn("scan_ts", F.col("scan_ts").cast("timestamp"))
+    return conform(li.select(*cols))
 
 
 # ---------------------------------------------------------------------------
@@ -578,7 +579,7 @@ def duck_ctes() -> dict[str, str]:
                      "UNION ALL SELECT * FROM root_files")
     a = advisory_exprs()
     ctes["advisories_flat"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in a.items()) + " FROM part"
+    from ..plans.oracle import conform_sql
     fx = finding_exprs()
-    ctes["findings_volume"] = ("SELECT " + ", ".join(f"{v} AS \"{k}\"" for k, v in fx.items())
-                               + " FROM lineitem")
+    ctes["findings_volume"] = "SELECT " + conform_sql({k: f"({v})" for k, v in fx.items()}) + " FROM lineitem"
     return ctes
