@@ -144,11 +144,28 @@ def is_test_file_code(path: Column) -> Column:
             | F.contains(path, F.lit("__tests__")) | F.contains(path, F.lit("__mocks__")))
 
 
+# Callee tokens: every rule needs one of these on the window's first line,
+# so other lines never get a window built or a rule regex run (superset test).
+CALLEE_TOKENS = ["query", "exec", "spawn", "eval", "Function", "fs.", "find", "where", "update",
+                 "deleteOne", "remove", "Object.assign", "app.", "router.", "api.", "dangerouslySetInnerHTML"]
+ASSIGN_STRING = r"=\s*['\"]"
+
+
+def callee_prefilter(text: Column) -> Column:
+    cond = None
+    for tok in CALLEE_TOKENS:
+        c = F.contains(text, F.lit(tok))
+        cond = c if cond is None else cond | c
+    return cond | text.rlike(ASSIGN_STRING)
+
+
 def code_windows(files: DataFrame, span: int = 6) -> DataFrame:
-    """(project, path, line, lines, window) for every non-comment line."""
+    """(project, path, line, lines, window) for every non-comment line that
+    holds a callee token."""
     lines = lines_explode(code_files(files), with_array=True)
     t = F.regexp_replace(F.col("text"), r"^\s+", "")
-    lines = lines.where(~(t.startswith("//") | t.startswith("/*") | t.startswith("*")))
+    lines = lines.where(~(t.startswith("//") | t.startswith("/*") | t.startswith("*"))
+                        & callee_prefilter(F.col("text")))
     return lines.withColumn("window", F.array_join(F.slice(F.col("lines"), F.col("line"), span), "\n"))
 
 

@@ -114,6 +114,29 @@ def combined_prefilter(rules=SECRET_RULES) -> str:
     return "|".join(f"(?:{portable_re(r.pattern, r.flags)})" for r in rules)
 
 
+# Literal anchors: every catalogue rule needs one of these substrings (or a
+# long alphanumeric run), so lines without any of them are skipped with
+# plain substring search before any regex runs. A superset test: it never
+# drops a line a rule could match.
+ANCHORS = ["AKIA", "ASIA", "AROA", "AGPA", "AIDA", "ANPA", "ANVA", "AIPA", "ghp_", "gho_", "ghu_",
+           "ghs_", "ghr_", "github_pat_", "_live_", "sk-", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "xox",
+           "hooks.slack.com", "AIza", "npm_", "-----BEGIN", "SG.", "GOCSPX-"]
+ANCHORS_CI = ["vercel", "secret", "jwt", "apikey", "api_key", "api-key", "postgres://", "postgresql://",
+              "mysql://", "mongodb://", "mongodb+srv://", "redis://", "mssql://"]
+LONG_RUN = r"[A-Za-z0-9+/]{32}"
+
+
+def anchor_prefilter(text: Column) -> Column:
+    lt = F.lower(text)
+    cond = None
+    for a in ANCHORS:
+        c = F.contains(text, F.lit(a))
+        cond = c if cond is None else cond | c
+    for a in ANCHORS_CI:
+        cond = cond | F.contains(lt, F.lit(a))
+    return cond | text.rlike(LONG_RUN)
+
+
 def _rule_ok(text: Column, rule: SecretRule) -> Column:
     pat = portable_re(rule.pattern, rule.flags)
     value = F.regexp_extract(text, pat, rule.group)
@@ -127,7 +150,8 @@ def secret_rule_index(text: Column, rules=SECRET_RULES) -> Column:
     """0-based index of the winning rule, or null. One CASE chain: the first
     rule that matches and passes its gates wins; the combined pre-filter
     skips all of it for lines no rule can match."""
-    expr = F.when(~text.rlike(combined_prefilter(rules)), F.lit(None).cast("int"))
+    pre = anchor_prefilter(text) if rules is SECRET_RULES else text.rlike(combined_prefilter(rules))
+    expr = F.when(~pre, F.lit(None).cast("int"))
     for i, r in enumerate(rules):
         expr = expr.when(_rule_ok(text, r), F.lit(i))
     return expr

@@ -49,20 +49,24 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when unset.
+    """Return the shared checkpoint folder; create a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder
-    and is used as is. Only tests and local runs, where it is unset, get a
-    folder under the system temp directory.
+    and is used as is. Only tests and local runs where nothing is configured
+    get a folder under the system temp directory (``spark.checkpoint.dir`` is
+    a static setting, so it is registered through the SparkContext).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if current:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+        return current
+    existing = spark.sparkContext.getCheckpointDir()
+    if existing:
+        return existing.rsplit("/", 1)[0]
+    local = tempfile.mkdtemp(prefix="vigil-ckpt-")
+    spark.sparkContext.setCheckpointDir(local)
+    return local
 
 
 def checkpoint_table(spark: SparkSession, df, name: str):
