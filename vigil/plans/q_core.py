@@ -20,7 +20,7 @@ class Corpus:
     survives executor loss. Keyed by the data folder and a corpus version.
     """
 
-    VERSION = "v4"
+    VERSION = "v5"
     TABLES = {"files": corpus.files, "advisories": corpus.advisories, "findings": corpus.findings_volume}
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):

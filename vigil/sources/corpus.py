@@ -357,7 +357,8 @@ def finding_exprs() -> dict[str, str]:
     is_sec = "l_linenumber IN (3, 7)"
     return {
         "id": ("'f' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' "
-               "|| CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"),
+               "|| CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' "
+               "|| CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)"),
         "project": _project_of("l_suppkey"),
         "scanner": scanner,
         "rule": rule,
