@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import basename, js_trim
 from ..schemas import conform
-from ..sources.files import config_files
+from ..sources.files import config_files, root_file
 from .lines import lines_explode
 
 # Fixed values that must equal the reference's for right results.
@@ -211,7 +211,7 @@ def vercel_findings(cfg: DataFrame) -> DataFrame:
 
 def gitignore_lines(files: DataFrame) -> DataFrame:
     """Root .gitignore per project: (project, gi_lines array of trimmed lines)."""
-    return files.where(F.col("path") == "/.gitignore").select(
+    return root_file(files, "/.gitignore").select(
         "project", F.transform(F.split(F.col("content"), "\n", -1), lambda l: js_trim(l)).alias("gi_lines"))
 
 

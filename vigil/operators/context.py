@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import root_file
+
 # Fixed values that must equal the reference's for right results.
 # (dependency name, framework label) in detection order.
 FRAMEWORK_MARKERS = [
@@ -66,7 +68,7 @@ def project_context(files: DataFrame) -> DataFrame:
     aggs += [_exists(paths).alias(f"_deploy{i}") for i, (paths, _, _) in enumerate(DEPLOY_RULES)]
     presence = files.select("project", "path").groupBy("project").agg(*aggs)
 
-    pkg = files.where(F.col("path") == "/package.json").select(
+    pkg = root_file(files, "/package.json").select(
         "project", parse_manifest(F.col("content")).alias("m"))
     # value truthiness: a dependency with an empty spec does not count
     deps = F.map_filter(F.map_concat(F.coalesce(F.col("m.dependencies"), F.create_map().cast("map<string,string>")),

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import js_trim
 from ..schemas import conform
+from ..sources.files import root_file
 
 # Fixed values that must equal the reference's for right results.
 SCA_OWASP = "A06:2021 – Vulnerable and Outdated Components"
@@ -39,7 +40,7 @@ def clean_npm_version(spec: Column) -> Column:
 
 
 def npm_packages(files: DataFrame, manifest_path: str = "/package.json") -> DataFrame:
-    m = files.where(F.col("path") == manifest_path).select(
+    m = root_file(files, manifest_path).select(
         "project", F.from_json("content", MANIFEST).alias("m"))
     parts = []
     for col, dev in (("dependencies", False), ("devDependencies", True)):
@@ -55,7 +56,7 @@ PYPI_LINE = r"^([A-Za-z0-9_\-.]+)[=><~!]+([0-9.]+)"
 
 
 def pypi_packages(files: DataFrame, manifest_path: str = "/requirements.txt") -> DataFrame:
-    f = files.where(F.col("path") == manifest_path)
+    f = root_file(files, manifest_path)
     lines = f.select("project", F.explode(F.split("content", "\n", -1)).alias("raw"))
     t = js_trim(F.col("raw"))
     lines = lines.select("project", t.alias("t")).where(
@@ -74,7 +75,7 @@ def packages_from_manifests(files: DataFrame) -> DataFrame:
 
 def dependencies_checked(files: DataFrame) -> DataFrame:
     """Per project: keys of dependencies + devDependencies (npm only, before cleaning)."""
-    m = files.where(F.col("path") == "/package.json").select("project", F.from_json("content", MANIFEST).alias("m"))
+    m = root_file(files, "/package.json").select("project", F.from_json("content", MANIFEST).alias("m"))
     n = (F.coalesce(F.size(F.map_keys("m.dependencies")), F.lit(0)).cast("long")
          + F.coalesce(F.size(F.map_keys("m.devDependencies")), F.lit(0)).cast("long"))
     # size(null) is -1 in legacy mode; guard explicitly
@@ -92,34 +93,43 @@ def version_key(v: Column) -> Column:
 
 
 def advisory_affected(advisories: DataFrame) -> DataFrame:
-    """One row per (advisory, affected package entry), with its position."""
-    return advisories.select(
-        "*", F.posexplode("affected").alias("aff_pos", "aff")).select(
-        F.col("id").alias("adv_id"), "aff_pos",
+    """One row per (advisory, affected package entry) with everything the
+    match needs precomputed once per entry: version keys of each range's
+    first introduced / fixed event, and the entry's explicit versions."""
+    e = advisories.select(F.col("id").alias("adv_id"), F.posexplode("affected").alias("aff_pos", "aff"))
+
+    def bounds(r):
+        intro = F.try_element_at(F.filter(r["events"], lambda x: x["introduced"].isNotNull()), F.lit(1))["introduced"]
+        fixed = F.try_element_at(F.filter(r["events"], lambda x: x["fixed"].isNotNull()), F.lit(1))["fixed"]
+        return F.struct(F.when(intro.isNotNull(), version_key(intro)).alias("lo"),
+                        F.when(fixed.isNotNull(), version_key(fixed)).alias("hi"))
+    return e.select(
+        "adv_id", "aff_pos",
         F.col("aff.package.ecosystem").alias("adv_ecosystem"),
         F.lower(F.col("aff.package.name")).alias("adv_name_lc"),
-        F.col("aff.ranges").alias("ranges"), F.col("aff.versions").alias("versions"))
+        F.transform(F.coalesce(F.col("aff.ranges"), F.array()), bounds).alias("bounds"),
+        F.col("aff.versions").alias("versions"))
 
 
-def _affects(version: Column, ranges: Column, versions: Column) -> Column:
-    vk = version_key(version)
-
-    def in_range(r):
-        intro = F.try_element_at(F.filter(r["events"], lambda e: e["introduced"].isNotNull()), F.lit(1))["introduced"]
-        fixed = F.try_element_at(F.filter(r["events"], lambda e: e["fixed"].isNotNull()), F.lit(1))["fixed"]
-        return ((intro.isNull() | (vk >= version_key(intro)))
-                & (fixed.isNull() | (vk < version_key(fixed))))
-    by_range = F.coalesce(F.exists(ranges, in_range), F.lit(False))
+def _affects(vk: Column, version: Column, bounds: Column, versions: Column) -> Column:
+    by_range = F.coalesce(F.exists(bounds, lambda b: (b["lo"].isNull() | (vk >= b["lo"]))
+                                   & (b["hi"].isNull() | (vk < b["hi"]))), F.lit(False))
     listed = F.coalesce(F.array_contains(versions, version), F.lit(False))
     return by_range | listed
 
 
 def sca_match(packages: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Distinct (ecosystem, name, version) x advisory ids that affect it."""
-    pv = packages.select("ecosystem", "name", "version").distinct()
+    """Distinct (ecosystem, name, version) x advisory ids that affect it.
+
+    Distinct package versions (with their version key, computed once) are
+    equi-joined to affected entries on (ecosystem, lower(name)); the range
+    test is then a comparison of precomputed int arrays.
+    """
+    pv = (packages.select("ecosystem", "name", "version").distinct()
+          .withColumn("vk", version_key(F.col("version"))))
     aff = advisory_affected(advisories)
     j = pv.join(aff, (pv.ecosystem == aff.adv_ecosystem) & (F.lower(pv.name) == aff.adv_name_lc))
-    hit = j.where(_affects(F.col("version"), F.col("ranges"), F.col("versions")))
+    hit = j.where(_affects(F.col("vk"), F.col("version"), F.col("bounds"), F.col("versions")))
     return hit.select("ecosystem", "name", "version", "adv_id").distinct()
 
 
@@ -177,37 +187,45 @@ def cve_of() -> Column:
     return F.coalesce(F.try_element_at(cves, F.lit(1)), F.col("id"))
 
 
+def advisory_facts(advisories: DataFrame) -> DataFrame:
+    """Per (advisory, lower-cased affected name): every value a finding takes
+    from the advisory, computed once per advisory entry rather than once per
+    project finding."""
+    names = advisories.select("*", F.explode(F.array_distinct(F.transform(
+        F.coalesce(F.col("affected"), F.array()), lambda a: F.lower(a["package"]["name"])))).alias("name_lc"))
+    name = F.col("name_lc")
+    return names.select(
+        F.col("id").alias("adv_id"), "name_lc", "summary", "details",
+        cvss_score(None).alias("cvss"), fixed_version(name).alias("fixed"), vulnerable_range(name).alias("rng"),
+        F.coalesce(F.try_element_at(F.col("database_specific.cwe_ids"), F.lit(1)), F.lit(SCA_DEFAULT_CWE)).alias("cwe"),
+        cve_of().alias("cve"), has_exploit().alias("exploit"))
+
+
 def sca_findings(packages: DataFrame, advisories: DataFrame, conform_schema: bool = True) -> DataFrame:
     m = sca_match(packages, advisories)
+    facts = advisory_facts(advisories)
     per_project = packages.join(m, ["ecosystem", "name", "version"])
-    j = per_project.join(advisories, per_project.adv_id == advisories.id)
+    j = per_project.join(facts, (per_project.adv_id == facts.adv_id) & (F.lower(per_project.name) == facts.name_lc)) \
+        .drop(facts.adv_id)
     name, ver = F.col("name"), F.col("version")
-    cvss = cvss_score(None)
-    fixed = fixed_version(name)
-    cwe = F.coalesce(F.try_element_at(F.col("database_specific.cwe_ids"), F.lit(1)), F.lit(SCA_DEFAULT_CWE))
-    cve = cve_of()
-    staged = j.select(
-        "project", "name", "version", "is_dev", "is_direct", "id", "summary", "details",
-        cvss.alias("_cvss"), fixed.alias("_fixed"), vulnerable_range(name).alias("_range"),
-        cwe.alias("_cwe"), cve.alias("_cve"), has_exploit().alias("_exploit"))
-    out = staged.select(
+    out = j.select(
         F.sha2(F.concat_ws("|", F.lit("sca"), "project", F.lit("/package.json"), F.lit("1"),
-                           F.lit("vulnerable-dependency"), "_cve", "name", "version", "id"), 256).alias("id"),
+                           F.lit("vulnerable-dependency"), "cve", "name", "version", "adv_id"), 256).alias("id"),
         "project", F.lit("sca").alias("scanner"), F.lit("vulnerable-dependency").alias("rule"),
-        severity_from_cvss(F.col("_cvss")).alias("severity"), F.lit("high").alias("confidence"),
+        severity_from_cvss(F.col("cvss")).alias("severity"), F.lit("high").alias("confidence"),
         F.lit("/package.json").alias("path"), F.lit(1).alias("line"),
         F.concat(name, F.lit("@"), ver, F.lit(" has known vulnerability: "),
-                 F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("id"))).alias("message"),
-        F.col("_cwe").alias("cwe"), F.lit(SCA_OWASP).alias("owasp"),
-        F.when(F.length("_fixed") > 0, F.concat(F.lit("Upgrade "), name, F.lit(" to version "), F.col("_fixed"), F.lit(" or later")))
+                 F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.col("adv_id"))).alias("message"),
+        "cwe", F.lit(SCA_OWASP).alias("owasp"),
+        F.when(F.length("fixed") > 0, F.concat(F.lit("Upgrade "), name, F.lit(" to version "), F.col("fixed"), F.lit(" or later")))
         .otherwise(F.concat(F.lit("No fix available yet. Consider replacing "), name, F.lit(" or adding mitigations")))
         .alias("fix_suggestion"),
-        name.alias("package_name"), ver.alias("installed_version"), F.col("_range").alias("vulnerable_range"),
-        F.col("_fixed").alias("fixed_version"), F.col("_cve").alias("cve"), F.col("_cvss").alias("cvss_score"),
+        name.alias("package_name"), ver.alias("installed_version"), F.col("rng").alias("vulnerable_range"),
+        F.col("fixed").alias("fixed_version"), "cve", F.col("cvss").alias("cvss_score"),
         F.coalesce(F.nullif(F.col("details"), F.lit("")), F.nullif(F.col("summary"), F.lit("")),
                    F.concat(F.lit("Vulnerability in "), name)).alias("description"),
         F.col("is_dev").alias("is_dev_dependency"), F.col("is_direct").alias("is_direct"),
-        (~F.col("is_dev")).alias("is_reachable"), F.col("_exploit").alias("exploit_available"))
+        (~F.col("is_dev")).alias("is_reachable"), F.col("exploit").alias("exploit_available"))
     return conform(out) if conform_schema else out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import corpus
 from . import oracle as O
@@ -20,8 +21,9 @@ class Corpus:
     survives executor loss. Keyed by the data folder and a corpus version.
     """
 
-    VERSION = "v5"
-    TABLES = {"files": corpus.files, "advisories": corpus.advisories, "findings": corpus.findings_volume}
+    VERSION = "v6"
+    TABLES = {"files": corpus.files, "advisories": corpus.advisories, "findings": corpus.findings_volume,
+              "context": lambda spark, sf_dir: _context_of(corpus_of(spark, sf_dir).files)}
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
@@ -48,7 +50,13 @@ class Corpus:
                 # even row spread: the derived tables come from a union of
                 # differently sized inputs (pages are few but long)
                 n = max(8, 2 * self.spark.sparkContext.defaultParallelism)
-                build(self.spark, self.sf_dir).repartition(n).write.mode("overwrite").parquet(loc)
+                out = build(self.spark, self.sf_dir).repartition(n).write.mode("overwrite")
+                if name == "files":
+                    from ..sources.files import file_kind
+                    # partitioned by kind: selectors prune to their slice
+                    out = (build(self.spark, self.sf_dir).withColumn("kind", file_kind(F.col("path")))
+                           .repartition(n).write.mode("overwrite").partitionBy("kind"))
+                out.parquet(loc)
                 df = self.spark.read.parquet(loc)
         self._cache[name] = df
         return df
@@ -65,8 +73,23 @@ class Corpus:
     def findings(self):
         return self._get("findings")
 
-    def plan(self, **kw) -> ScanPlan:
-        return ScanPlan(self.files, self.advisories, **kw)
+    @property
+    def context(self):
+        """Per-project context as a written table: its exact size is known
+        to the planner, which broadcasts it only below the broadcast
+        threshold (else a shuffle join with AQE skew splitting)."""
+        return self._get("context")
+
+    def plan(self, stage: bool = True, **kw) -> ScanPlan:
+        import hashlib
+        tag = hashlib.sha1(repr(sorted(kw.items())).encode()).hexdigest()[:8]
+        name = f"{self._location('raw_findings').rsplit('/', 2)[-2]}-raw-{tag}" if stage else None
+        return ScanPlan(self.files, self.advisories, context=self.context, stage_as=name, **kw)
+
+
+def _context_of(files):
+    from ..operators.context import project_context
+    return project_context(files)
 
 
 _CORPORA: dict = {}

@@ -30,7 +30,7 @@ def _volume_ctes():
 
 
 def _ctx(spark, sf):
-    return X.project_context(corpus_of(spark, sf).files)
+    return corpus_of(spark, sf).context
 
 
 def _contextual(spark, sf):

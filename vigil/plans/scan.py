@@ -30,8 +30,11 @@ class ScanPlan:
     """
 
     def __init__(self, files: DataFrame, advisories: DataFrame | None = None,
-                 scanners=ALL_SCANNERS, quick: bool = False, include_ref_dead: bool = False):
+                 scanners=ALL_SCANNERS, quick: bool = False, include_ref_dead: bool = False,
+                 context: DataFrame | None = None, stage_as: str | None = None):
         self.files = files
+        self._context = context
+        self.stage_as = stage_as
         self.advisories = advisories
         enabled = set(scanners)
         if quick:
@@ -69,12 +72,21 @@ class ScanPlan:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
+        if self.stage_as:
+            # The raw findings are read twice by dedup (flags and groups):
+            # write them once as a table in the shared checkpoint folder
+            # (lineage cut at a durable table) instead of recomputing every
+            # detector for each branch.
+            from ..session import checkpoint_table
+            out = checkpoint_table(self.files.sparkSession, out, self.stage_as)
         return out
 
     # -- triage ----------------------------------------------------------
     @cached_property
     def context(self) -> DataFrame:
-        return ctx_ops.project_context(self.files)
+        """Per-project context; pass a stored table (``context=``) so the
+        planner knows its size, otherwise it is derived from ``files``."""
+        return self._context if self._context is not None else ctx_ops.project_context(self.files)
 
     @cached_property
     def contextual(self) -> DataFrame:

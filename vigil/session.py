@@ -73,7 +73,7 @@ def checkpoint_table(spark: SparkSession, df, name: str):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back. Survives executor loss, unlike a local
     checkpoint, and the written table can be reused across jobs."""
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", name)
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/vigil-tables/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

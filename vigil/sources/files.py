@@ -42,6 +42,28 @@ CONFIG_NAME_RE = (r"^(Dockerfile|Dockerfile\..*|docker-compose.*\.ya?ml|next\.co
 CONFIG_EXCLUDE_NAME_RE = r"^\.env\.(example|sample|template)$"
 
 
+# Storage layout: a ``files`` table written partitioned by ``kind`` lets
+# each selector read only its slice (partition pruning); selectors add the
+# kind predicate only when the column exists, so any (project, path,
+# content) table works too.
+KIND_META = ["package.json", "requirements.txt", ".gitignore"]
+CODE_KINDS = ["code", "code_config"]
+CONFIG_KINDS = ["config", "code_config"]
+
+
+def file_kind(path: Column) -> Column:
+    b = basename(path)
+    code_ext = path.rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)\z")
+    config = b.rlike(CONFIG_NAME_RE)
+    return (F.when(b.isin(KIND_META), "meta").when(code_ext & config, "code_config")
+            .when(config, "config").when(code_ext, "code").otherwise("other"))
+
+
+def of_kind(files: DataFrame, kinds: list[str]) -> DataFrame:
+    """Partition-pruning predicate, applied only to kind-partitioned tables."""
+    return files.where(F.col("kind").isin(kinds)) if "kind" in files.columns else files
+
+
 def java_re(js_pattern: str) -> str:
     """JavaScript regex source -> Java: '$' at the very end becomes '\\z'
     (Java's '$' would also match before a trailing line terminator)."""
@@ -62,7 +84,7 @@ def _has_dot_segment(path: Column) -> Column:
 
 def code_files(files: DataFrame) -> DataFrame:
     p = F.col("path")
-    return files.where(
+    return of_kind(files, CODE_KINDS).where(
         p.rlike(r"\.(js|jsx|ts|tsx)\z") & ~_under_dir(p, CODE_IGNORE_DIRS)
         & ~p.rlike(r"\.min\.js\z") & ~p.rlike(r"\.d\.ts\z") & ~_has_dot_segment(p))
 
@@ -76,6 +98,12 @@ def secret_files(files: DataFrame) -> DataFrame:
         & ~p.rlike(skip) & ~p.rlike(skip_ci))
 
 
+def root_file(files: DataFrame, path: str) -> DataFrame:
+    """The project-root file ``path`` (manifests, .gitignore) of every project."""
+    f = of_kind(files, ["meta"]) if path.rsplit("/", 1)[-1] in KIND_META else files
+    return f.where(F.col("path") == path)
+
+
 def without_binary(files: DataFrame) -> DataFrame:
     """Drop files whose content holds a NUL character."""
     return files.where(~F.contains(F.col("content"), F.lit("\u0000")))
@@ -90,14 +118,14 @@ def config_files(files: DataFrame) -> DataFrame:
             .when(b.startswith("next.config"), "nextconfig")
             .when(b == "vercel.json", "vercel")
             .when(b.startswith(".env"), "dotenv"))
-    return (files.where(b.rlike(CONFIG_NAME_RE) & ~b.rlike(CONFIG_EXCLUDE_NAME_RE)
+    return (of_kind(files, CONFIG_KINDS).where(b.rlike(CONFIG_NAME_RE) & ~b.rlike(CONFIG_EXCLUDE_NAME_RE)
                         & ~_under_dir(p, CONFIG_IGNORE_DIRS))
             .withColumn("kind", kind))
 
 
 def import_files(files: DataFrame) -> DataFrame:
     p = F.col("path")
-    return files.where(p.rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)\z")
+    return of_kind(files, CODE_KINDS).where(p.rlike(r"\.(js|jsx|ts|tsx|mjs|cjs)\z")
                        & ~_under_dir(p, IMPORT_IGNORE_DIRS) & ~_has_dot_segment(p))
 
 
