@@ -225,9 +225,13 @@ def env_findings(cfg: DataFrame, files: DataFrame) -> DataFrame:
                     F.concat(F.col("name"), F.lit(" is not listed in .gitignore — secrets may be committed to git")))
 
 
-def config_findings(files: DataFrame, conform_schema: bool = True) -> DataFrame:
+def config_findings(files: DataFrame, conform_schema: bool = True, cross_file: bool = True) -> DataFrame:
+    """All configuration findings. ``cross_file=False`` leaves out the one
+    check that needs another file of the project (.env vs root .gitignore),
+    for callers that see only part of a project (micro-batches)."""
     cfg = config_files(files)
     out = (dockerfile_findings(cfg).unionByName(compose_findings(cfg))
-           .unionByName(next_config_findings(cfg)).unionByName(vercel_findings(cfg))
-           .unionByName(env_findings(cfg, files)))
+           .unionByName(next_config_findings(cfg)).unionByName(vercel_findings(cfg)))
+    if cross_file:
+        out = out.unionByName(env_findings(cfg, files))
     return conform(out) if conform_schema else out
