@@ -56,20 +56,21 @@ def import_map(imps: DataFrame) -> DataFrame:
                                                   F.count_distinct("file").alias("n_files"))
 
 
-def package_usage(imps: DataFrame) -> DataFrame:
-    """Per (project, package): importing files and files calling a risky function."""
+def package_usage(imps: DataFrame, with_files: bool = False) -> DataFrame:
+    """Per (project, package): counts of importing files and of files calling
+    a risky function; the file lists themselves only when asked for (they
+    grow with the project, so the main pipeline keeps to counts)."""
     has_patterns = F.col("package").isin(list(RISKY_FUNCTIONS))
-    return imps.groupBy("project", "package").agg(
-        F.count(F.lit(1)).alias("n_imported"),
-        F.count_if(F.col("risky_used")).alias("n_used"),
-        F.sort_array(F.collect_list("file")).alias("imported_in"),
-        F.sort_array(F.collect_list(F.when(F.col("risky_used"), F.col("file")))).alias("used_files"),
-    ).withColumn("has_patterns", has_patterns)
+    aggs = [F.count(F.lit(1)).alias("n_imported"), F.count_if(F.col("risky_used")).alias("n_used")]
+    if with_files:
+        aggs += [F.sort_array(F.collect_list("file")).alias("imported_in"),
+                 F.sort_array(F.collect_list(F.when(F.col("risky_used"), F.col("file")))).alias("used_files")]
+    return imps.groupBy("project", "package").agg(*aggs).withColumn("has_patterns", has_patterns)
 
 
-def reachability(sca: DataFrame, files: DataFrame) -> DataFrame:
-    """Dependency findings + is_reachable, reachability_reason, used_in."""
-    usage = package_usage(imports(files)).withColumnRenamed("package", "package_name")
+def reachability(sca: DataFrame, files: DataFrame, with_files: bool = True) -> DataFrame:
+    """Dependency findings + is_reachable, reachability_reason (+ used_in)."""
+    usage = package_usage(imports(files), with_files).withColumnRenamed("package", "package_name")
     j = sca.join(usage, ["project", "package_name"], "left")
     name = F.col("package_name")
     imported = F.coalesce(F.col("n_imported"), F.lit(0)) > 0
@@ -83,18 +84,18 @@ def reachability(sca: DataFrame, files: DataFrame) -> DataFrame:
               .when(patterns & ~used, F.concat(F.lit("Package '"), name, F.lit("' is imported but vulnerable functions are not called")))
               .otherwise(F.concat(F.lit("Package '"), name, F.lit("' is actively used in "),
                                   n_files.cast("string"), F.lit(" file(s)"))))
-    used_in = (F.when(dev | ~imported, F.lit(None).cast("array<string>"))
-               .when(patterns & used, F.col("used_files")).otherwise(F.col("imported_in")))
-    return (j.withColumn("is_reachable", reachable)
-            .withColumn("reachability_reason", reason)
-            .withColumn("used_in", used_in)
-            .drop("n_imported", "n_used", "imported_in", "used_files", "has_patterns"))
+    out = j.withColumn("is_reachable", reachable).withColumn("reachability_reason", reason)
+    if with_files:
+        used_in = (F.when(dev | ~imported, F.lit(None).cast("array<string>"))
+                   .when(patterns & used, F.col("used_files")).otherwise(F.col("imported_in")))
+        out = out.withColumn("used_in", used_in).drop("imported_in", "used_files")
+    return out.drop("n_imported", "n_used", "has_patterns")
 
 
 def apply_reachability(sca: DataFrame, files: DataFrame) -> DataFrame:
     """Findings schema preserved: only ``is_reachable`` is updated."""
     cols = sca.columns
-    return reachability(sca, files).select(*cols)
+    return reachability(sca, files, with_files=False).select(*cols)
 
 
 def function_usage(files: DataFrame) -> DataFrame:

@@ -113,9 +113,11 @@ def status_of(triaged: DataFrame) -> Column:
 
 
 def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
-    """Report rows (project, part, rank, text): part 0 header, 1 findings
-    table (all active findings), 2 details (first 20). Written sorted by
-    (part, rank) per project, e.g. ``write.partitionBy("project").text``."""
+    """Report rows: part 0 header, 1 findings table (all active findings),
+    2 details (first 20), with their sort keys (severity rank, path, line,
+    rule, id); ``write_markdown`` writes them in order per project. No
+    per-project window over all findings: the table part is ordered by a
+    global sort, the details by a bounded top-n."""
     eff = effective_severity()
     emoji = F.element_at(F.create_map(*[x for k, v in SEVERITY_EMOJI.items() for x in (F.lit(k), F.lit(v))]), eff)
     header = scores.select(
@@ -134,13 +136,13 @@ def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
                     F.lit(""), F.lit("## Findings"), F.lit(""),
                     F.lit("| Severity | Scanner | Rule | File | Line | Message |"),
                     F.lit("|----------|---------|------|------|------|---------|")).alias("text"))
-    w = Window.partitionBy("project").orderBy(*severity_order())
-    ranked = triaged.where(is_active()).withColumn("rank", F.row_number().over(w))
-    table = ranked.select("project", F.lit(1).alias("part"), "rank", F.concat(
+    active = triaged.where(is_active())
+    keys = [severity_rank(eff).alias("sev_rank"), "path", "line", "rule", "id"]
+    table = active.select("project", F.lit(1).alias("part"), *keys, F.concat(
         F.lit("| "), emoji, F.lit(" "), eff, F.lit(" | "), F.col("scanner"), F.lit(" | `"), F.col("rule"),
         F.lit("` | `"), file_tail2(F.col("path")), F.lit("` | "), F.col("line").cast("string"), F.lit(" | "),
         F.col("message"), F.lit(" |")).alias("text"))
-    details = ranked.where(F.col("rank") <= TOP_DETAILS).select("project", F.lit(2).alias("part"), "rank", F.concat_ws(
+    details = top_n(triaged, TOP_DETAILS).select("project", F.lit(2).alias("part"), *keys, F.concat_ws(
         "\n", F.concat(F.lit("### "), F.col("rule")), F.lit(""),
         F.concat(F.lit("**Severity:** "), eff, F.lit("  ")),
         F.concat(F.lit("**File:** `"), F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit("`  ")),
@@ -149,12 +151,21 @@ def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
         F.when(F.length("snippet") > 0, F.concat_ws("\n", F.lit("```"), F.col("snippet"), F.lit("```"), F.lit(""))),
         F.when(F.length("fix_suggestion") > 0, F.concat(F.lit("**Fix:** "), F.col("fix_suggestion"), F.lit("\n"))),
         F.lit("---"), F.lit("")).alias("text"))
+    header = header.select("project", "part", F.lit(None).cast("int").alias("sev_rank"),
+                           F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"),
+                           F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("id"), "text")
     return header.unionByName(table).unionByName(details)
 
 
+MARKDOWN_ORDER = ["project", "part", F.col("sev_rank").desc_nulls_first(), F.col("path").asc_nulls_first(),
+                  F.col("line").asc_nulls_first(), F.col("rule").asc_nulls_first(), F.col("id").asc_nulls_first()]
+
+
 def write_markdown(lines: DataFrame, out_dir: str) -> None:
-    (lines.repartition("project").sortWithinPartitions("project", "part", "rank")
-     .select("project", "text").write.mode("overwrite").partitionBy("project").text(out_dir))
+    """Global sort (range partitioning splits a hot project over many tasks);
+    each project's part files, read in name order, are the report in order."""
+    (lines.orderBy(*MARKDOWN_ORDER).select("project", "text")
+     .write.mode("overwrite").partitionBy("project").text(out_dir))
 
 
 def json_summary(summary: DataFrame) -> DataFrame:

@@ -21,7 +21,14 @@ class Corpus:
     survives executor loss. Keyed by the data folder and a corpus version.
     """
 
-    VERSION = "v6"
+    @staticmethod
+    def _version() -> str:
+        """Changes whenever the corpus generator or file layout changes."""
+        import hashlib
+        import inspect
+        from ..sources import dialect, files
+        src = inspect.getsource(corpus) + inspect.getsource(dialect) + inspect.getsource(files.file_kind)
+        return hashlib.sha1(src.encode()).hexdigest()[:10]
     TABLES = {"files": corpus.files, "advisories": corpus.advisories, "findings": corpus.findings_volume,
               "context": lambda spark, sf_dir: _context_of(corpus_of(spark, sf_dir).files)}
 
@@ -33,7 +40,7 @@ class Corpus:
         import hashlib
         import os
         from ..session import ensure_checkpoint_dir
-        key = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self.VERSION}".encode()).hexdigest()[:16]
+        key = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self._version()}".encode()).hexdigest()[:16]
         return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/vigil-corpus/{key}/{name}"
 
     def _get(self, name):

@@ -657,13 +657,17 @@ def _markdown_sql():
               "'', '## Findings', '', '| Severity | Scanner | Rule | File | Line | Message |', "
               f"'|----------|---------|------|------|------|---------|') AS text FROM ({_with_score(_COUNTS)})")
     ranked = (f"SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_ORDER}) AS rank FROM fv_triaged WHERE {ACT}")
-    table = (f"SELECT project, 1 AS part, rank, '| ' || {emoji} || ' ' || {EFF} || ' | ' || scanner || ' | `' || rule || '` | `' || "
-             f"{_T2} || '` | ' || CAST(line AS VARCHAR) || ' | ' || message || ' |' AS text FROM ({ranked})")
-    details = (f"SELECT project, 2 AS part, rank, concat_ws({nl}, '### ' || rule, '', '**Severity:** ' || {EFF} || '  ', "
+    keys = f"{O.sev_rank(EFF)} AS sev_rank, path, line, rule, id"
+    table = (f"SELECT project, 1 AS part, {keys}, '| ' || {emoji} || ' ' || {EFF} || ' | ' || scanner || ' | `' || rule || '` | `' || "
+             f"{_T2} || '` | ' || CAST(line AS VARCHAR) || ' | ' || message || ' |' AS text FROM fv_triaged WHERE {ACT}")
+    details = (f"SELECT project, 2 AS part, {keys}, concat_ws({nl}, '### ' || rule, '', '**Severity:** ' || {EFF} || '  ', "
                f"'**File:** `' || path || ':' || CAST(line AS VARCHAR) || '`  ', '**CWE:** ' || coalesce(nullif(cwe, ''), 'N/A') || '  ', "
                f"'', message, '', CASE WHEN length(snippet) > 0 THEN concat_ws({nl}, '```', snippet, '```', '') END, "
                f"CASE WHEN length(fix_suggestion) > 0 THEN '**Fix:** ' || fix_suggestion || {nl} END, '---', '') AS text "
                f"FROM ({ranked}) WHERE rank <= {RP.TOP_DETAILS}")
+    header = header.replace("SELECT project, 0 AS part, 0 AS rank,", "SELECT project, 0 AS part, CAST(NULL AS INTEGER) AS sev_rank, "
+                            "CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS rule, "
+                            "CAST(NULL AS VARCHAR) AS id,")
     return f"{header} UNION ALL {table} UNION ALL {details}"
 
 
