@@ -137,23 +137,27 @@ def anchor_prefilter(text: Column) -> Column:
     return cond | text.rlike(LONG_RUN)
 
 
-def _rule_ok(text: Column, rule: SecretRule) -> Column:
+def _rule_ok(text: Column, rule: SecretRule, entropy_gates: bool = True) -> Column:
     pat = portable_re(rule.pattern, rule.flags)
     value = F.regexp_extract(text, pat, rule.group)
     ok = text.rlike(pat) & ~is_placeholder(value)
-    if rule.gate is not None:
+    if rule.gate is not None and entropy_gates:
         ok = ok & (shannon_entropy(value) >= F.lit(rule.gate))
     return ok
 
 
-def secret_rule_index(text: Column, rules=SECRET_RULES) -> Column:
+def secret_rule_index(text: Column, rules=SECRET_RULES, entropy_gates: bool = True) -> Column:
     """0-based index of the winning rule, or null. One CASE chain: the first
-    rule that matches and passes its gates wins; the combined pre-filter
-    skips all of it for lines no rule can match."""
+    rule that matches and passes its gates wins; the literal-anchor
+    pre-filter skips all of it for lines no rule can match.
+
+    ``entropy_gates=False`` ignores the entropy gates (placeholder gate
+    kept): an expression without higher-order functions, so it stays in
+    whole-stage codegen."""
     pre = anchor_prefilter(text) if rules is SECRET_RULES else text.rlike(combined_prefilter(rules))
     expr = F.when(~pre, F.lit(None).cast("int"))
     for i, r in enumerate(rules):
-        expr = expr.when(_rule_ok(text, r), F.lit(i))
+        expr = expr.when(_rule_ok(text, r, entropy_gates), F.lit(i))
     return expr
 
 
@@ -180,14 +184,20 @@ def _rule_attr(idx: Column, rules, attr: str) -> Column:
 def secret_hits(files: DataFrame, rules=SECRET_RULES) -> DataFrame:
     """(project, path, line, text, rule_idx, value, matched) per matched line.
 
-    Staged projections (index, then value by index) keep each generated
-    method small enough for whole-stage codegen.
+    The winning rule index is computed first; value and matched text are
+    then extracted by that index only (one regex per hit, not twenty).
     """
     f = without_binary(secret_files(files))
     lines = lines_explode(f).where(~is_comment_line(F.col("text")))
-    idx = (lines.withColumn("rule_idx", secret_rule_index(F.col("text"), rules))
+    text = F.col("text")
+    # One CASE chain with the entropy gates inside. Measured at sf0.1
+    # (warm, local[8]): 6.5 s, against 9-11 s for a two-pass variant whose
+    # gate-free first pass stays in whole-stage codegen -- the generated
+    # method for 20 regex branches is too large for the JIT, while the
+    # interpreted chain runs compiled expression code and short-circuits.
+    idx = (lines.withColumn("rule_idx", secret_rule_index(text, rules))
            .where(F.col("rule_idx").isNotNull()))
-    text, i = F.col("text"), F.col("rule_idx")
+    i = F.col("rule_idx")
     return idx.select(
         "project", "path", "line", "text", "rule_idx",
         _by_rule(i, rules, lambda r: F.regexp_extract(text, portable_re(r.pattern, r.flags), r.group)).alias("value"),

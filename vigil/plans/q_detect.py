@@ -116,7 +116,7 @@ def _(spark, sf):
         "project", (F.col("pos") + 1).alias("line"), "entry")
 
 
-oracle("src_ignore_list", "SELECT project, generate_subscripts(gi_lines, 1) AS line, unnest(gi_lines) AS entry FROM gitignore",
+oracle("src_ignore_list", "SELECT project, CAST(generate_subscripts(gi_lines, 1) AS INTEGER) AS line, unnest(gi_lines) AS entry FROM gitignore",
        ["gitignore"])
 
 # ---------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def _(spark, sf):
 
 
 oracle("lines_explode", "SELECT project, path, unnest(generate_series(1, len(l)))::INTEGER AS line, "
-       "length(unnest(l)) AS n_chars FROM (SELECT project, path, string_split(content, chr(10)) AS l FROM files)", ["files"])
+       "CAST(length(unnest(l)) AS INTEGER) AS n_chars FROM (SELECT project, path, string_split(content, chr(10)) AS l FROM files)", ["files"])
 
 
 @query("snippet_window", "2.2")
@@ -529,10 +529,9 @@ oracle("function_usage", "SELECT project, package, file FROM imports WHERE risky
 
 @query("reachability", "2.7")
 def _(spark, sf):
-    r = R.reachability(_sca(spark, sf), files_of(spark, sf))
-    return r.select("id", "project", "package_name", "is_reachable", "reachability_reason",
-                    F.array_join("used_in", ",").alias("used_in"))
+    r = R.reachability(_sca(spark, sf), files_of(spark, sf), with_files=False)
+    return r.select("id", "project", "package_name", "is_reachable", "reachability_reason")
 
 
-oracle("reachability", "SELECT id, project, package_name, reach_new AS is_reachable, reachability_reason, "
-       "array_to_string(used_in, ',') AS used_in FROM sca_reach", ["sca_reach"])
+oracle("reachability", "SELECT id, project, package_name, reach_new AS is_reachable, reachability_reason "
+       "FROM sca_reach", ["sca_reach"])

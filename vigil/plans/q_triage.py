@@ -177,7 +177,7 @@ def _(spark, sf):
 
 
 oracle("priority_rank", "SELECT project, rank, id, priority_score FROM (SELECT project, id, priority_score, "
-       "row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS rank FROM fv_prioritized) "
+       "CAST(row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS INTEGER) AS rank FROM fv_prioritized) "
        f"WHERE rank <= {RP.TOP_CONSOLE}", ["fv_prioritized"])
 
 
@@ -328,7 +328,7 @@ _ORDER = (f"{O.sev_rank(EFF)} DESC, path NULLS FIRST, line NULLS FIRST, rule NUL
 
 
 def _top_sql(n, cols="*", order=_ORDER, src="fv_triaged"):
-    return (f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {order}) AS rank "
+    return (f"SELECT {cols} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {order}) AS INTEGER) AS rank "
             f"FROM {src} WHERE {ACT}) WHERE rank <= {n}")
 
 
@@ -377,7 +377,7 @@ def _(spark, sf):
 
 
 oracle("top_n_tool", f"SELECT project, rank, '[' || upper({EFF}) || '] ' || rule || ': ' || message || ' (' || path || ':' || "
-       f"CAST(line AS VARCHAR) || ')' AS text FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS rank "
+       f"CAST(line AS VARCHAR) || ')' AS text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS INTEGER) AS rank "
        f"FROM fv_prioritized) WHERE rank <= {RP.TOP_TOOL}", ["fv_prioritized"])
 
 
@@ -433,7 +433,7 @@ def _(spark, sf):
 
 def _status_sql():
     fp = "sha256(concat_ws('|', scanner, rule, path, CAST(line AS VARCHAR)))"
-    nums = ("SELECT project, scan_month, row_number() OVER (PARTITION BY project ORDER BY scan_month) AS scan_no FROM "
+    nums = ("SELECT project, scan_month, CAST(row_number() OVER (PARTITION BY project ORDER BY scan_month) AS INTEGER) AS scan_no FROM "
             "(SELECT DISTINCT project, CAST(date_trunc('month', scan_ts) AS TIMESTAMP) AS scan_month FROM fv_triaged)")
     f = (f"SELECT t.project, n.scan_no, {fp} AS fp, max({O.sev_rank(EFF)}) AS sev_rank FROM fv_triaged t "
          f"JOIN ({nums}) n ON t.project = n.project AND CAST(date_trunc('month', t.scan_ts) AS TIMESTAMP) = n.scan_month GROUP BY ALL")
@@ -633,8 +633,8 @@ def _(spark, sf):
     return RP.json_summary(s)
 
 
-oracle("sink_json", "SELECT project, to_json({'project': project, 'critical': critical, 'high': high, 'medium': medium, "
-       "'low': low, 'info': info, 'total': total, 'security_score': security_score, 'grade': grade}) AS json FROM ("
+oracle("sink_json", "SELECT project, CAST(to_json({'project': project, 'critical': critical, 'high': high, 'medium': medium, "
+       "'low': low, 'info': info, 'total': total, 'security_score': security_score, 'grade': grade}) AS VARCHAR) AS json FROM ("
        + _with_score(_COUNTS) + ")", ["fv_triaged"])
 
 

@@ -86,7 +86,15 @@ class ScanPlan:
     def context(self) -> DataFrame:
         """Per-project context; pass a stored table (``context=``) so the
         planner knows its size, otherwise it is derived from ``files``."""
-        return self._context if self._context is not None else ctx_ops.project_context(self.files)
+        if self._context is not None:
+            return self._context
+        ctx = ctx_ops.project_context(self.files)
+        if self.stage_as:
+            # a written table: the planner then knows its exact size and
+            # broadcasts it only when small (no skewed shuffle on project)
+            from ..session import checkpoint_table
+            ctx = checkpoint_table(self.files.sparkSession, ctx, self.stage_as + "-context")
+        return ctx
 
     @cached_property
     def contextual(self) -> DataFrame:
