@@ -157,14 +157,15 @@ def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
     return header.unionByName(table).unionByName(details)
 
 
-MARKDOWN_ORDER = ["project", "part", F.col("sev_rank").desc_nulls_first(), F.col("path").asc_nulls_first(),
-                  F.col("line").asc_nulls_first(), F.col("rule").asc_nulls_first(), F.col("id").asc_nulls_first()]
+def markdown_order() -> list:
+    return ["project", "part", F.col("sev_rank").desc_nulls_first(), F.col("path").asc_nulls_first(),
+            F.col("line").asc_nulls_first(), F.col("rule").asc_nulls_first(), F.col("id").asc_nulls_first()]
 
 
 def write_markdown(lines: DataFrame, out_dir: str) -> None:
     """Global sort (range partitioning splits a hot project over many tasks);
     each project's part files, read in name order, are the report in order."""
-    (lines.orderBy(*MARKDOWN_ORDER).select("project", "text")
+    (lines.orderBy(*markdown_order()).select("project", "text")
      .write.mode("overwrite").partitionBy("project").text(out_dir))
 
 
