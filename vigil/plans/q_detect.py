@@ -434,15 +434,15 @@ oracle("sca_findings", "SELECT * FROM sca_raw", ["sca_raw"])
 
 @query("sca_check_package", "2.6")
 def _(spark, sf):
-    """Lookup of the packages of one project (the tool's single-package
-    check, run as a batch over a filtered package table)."""
-    pk = _packages(spark, sf).where(F.col("project") == "src3")
-    return D.sca_findings(pk, corpus_of(spark, sf).advisories).select(
-        "package_name", "installed_version", "cve", "severity", "cvss_score", "message", "fix_suggestion")
+    """The single-package lookup, run as one batch over every distinct
+    (ecosystem, name, version) of the corpus (project-free results)."""
+    pk = _packages(spark, sf).select("ecosystem", "name", "version").distinct()
+    return D.check_package(corpus_of(spark, sf).advisories, pk).select(
+        "package_name", "installed_version", "cve", "severity", "cvss_score", "message", "fix_suggestion").distinct()
 
 
-oracle("sca_check_package", "SELECT package_name, installed_version, cve, severity, cvss_score, message, fix_suggestion "
-       "FROM sca_raw WHERE project = 'src3'", ["sca_raw"])
+oracle("sca_check_package", "SELECT DISTINCT package_name, installed_version, cve, severity, cvss_score, message, fix_suggestion "
+       "FROM sca_raw", ["sca_raw"])
 
 
 @query("deps_checked", "2.6")
