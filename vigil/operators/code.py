@@ -27,7 +27,6 @@ from .lines import lines_explode, snippet_window
 # ---------------------------------------------------------------------------
 # Regex building blocks
 # ---------------------------------------------------------------------------
-ID = r"[\w$]+"
 # start of a callee on the first line: nothing, or a non-identifier char
 LEAD = r"^((?:[^\n]*?[^\w$.\n])?)"
 # user-input expression used directly as an argument (ends at ',' or ')')

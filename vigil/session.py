@@ -6,7 +6,6 @@ fills in settings that are unset, so cluster values always win.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
