@@ -42,7 +42,8 @@ def main() -> None:
     from vigil.plans.queries import load_all
     from vigil.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=cpus * 2, app="vigil-bench")
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus * 2)))
+    spark = local_session(cpus, shuffle_partitions=shuffle, app="vigil-bench")
     reg = load_all()
     t0 = time.time()
     c = corpus_of(spark, sf_dir)

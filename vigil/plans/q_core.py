@@ -51,9 +51,7 @@ class Corpus:
             df = build(self.spark, self.sf_dir)
         else:
             loc = self._location(name)
-            try:
-                df = self.spark.read.parquet(loc)
-            except Exception:  # noqa: BLE001 - not written yet
+            if not _committed(self.spark, loc):
                 # even row spread: the derived tables come from a union of
                 # differently sized inputs (pages are few but long)
                 n = max(8, 2 * self.spark.sparkContext.defaultParallelism)
@@ -64,7 +62,7 @@ class Corpus:
                     out = (build(self.spark, self.sf_dir).withColumn("kind", file_kind(F.col("path")))
                            .repartition(n).write.mode("overwrite").partitionBy("kind"))
                 out.parquet(loc)
-                df = self.spark.read.parquet(loc)
+            df = self.spark.read.parquet(loc)
         self._cache[name] = df
         return df
 
@@ -99,6 +97,14 @@ def _context_of(files):
     return project_context(files)
 
 
+def _committed(spark: SparkSession, location: str) -> bool:
+    """True when a completed write left its _SUCCESS marker (any Hadoop FS)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location + "/_SUCCESS")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(path))
+
+
 _CORPORA: dict = {}
 
 
