@@ -47,3 +47,16 @@ def test_one_primary_per_group(spark):
     assert per.where(F.col("primaries") != 1).count() == 0
     bad = t.where(F.col("is_duplicate") & F.col("duplicate_of").isNull()).count()
     assert bad == 0
+
+
+def test_salted_dedup_equals_unsalted(spark):
+    from vigil.plans.q_core import corpus_of
+    from vigil.operators import triage
+    f = corpus_of(spark, "/root/testdata/sf0.001").findings
+    plain = triage.dedup_flags(f).select("id", "is_duplicate", "duplicate_of")
+    salted = triage.dedup_flags(f, hot_group_rows=3).select("id", "is_duplicate", "duplicate_of")
+    assert salted.count() == plain.count() == f.count()
+    assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+    # the threshold really produced hot groups at this scale
+    g = triage.dedup_groups(f)
+    assert g.where(F.col("total_count") > 3).count() > 0

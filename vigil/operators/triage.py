@@ -5,9 +5,9 @@ Scale notes
   (``plans.joins.small_side_join``), never assumed small.
 * Dedup never puts a whole group into one task: the primary of each group
   is an aggregate (``min`` of a struct, partial-aggregated map-side), and
-  the flags come from joining that one-row-per-group table back. A hot
-  group (one key holding a third of all rows) is then one skewed join
-  partition, which AQE's skew-join handling splits across tasks.
+  the flags come from joining that one-row-per-group table back, with hot
+  groups salted (see ``dedup_flags``); AQE's skew-join splitting covers
+  what remains.
 """
 
 from __future__ import annotations
@@ -128,11 +128,38 @@ def dedup_groups(findings: DataFrame) -> DataFrame:
                     (F.col("total_count") - 1).alias("related_count"), "total_count")
 
 
-def dedup_flags(findings: DataFrame) -> DataFrame:
-    """Mark ``is_duplicate`` / ``duplicate_of`` on every finding."""
+# Skew handling for the join back: groups with more rows than this are
+# salted (their one group row replicated, their findings spread by id hash).
+HOT_GROUP_ROWS = 1_000_000
+MAX_SALTS = 64
+MAX_HOT_GROUPS = 10_000   # bounds the broadcast list; other groups join unsalted
+
+
+def dedup_flags(findings: DataFrame, hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Mark ``is_duplicate`` / ``duplicate_of`` on every finding.
+
+    The primary of each group comes from a partial-then-final aggregate; the
+    flags from joining that one-row-per-group table back on (project, key,
+    salt). Groups above ``hot_group_rows`` (at most MAX_HOT_GROUPS of them,
+    the largest: a bounded broadcast list) are split over up to MAX_SALTS
+    salts, so one group holding a third of all rows is spread over many
+    join tasks. Every other group uses salt 0; results are exact either way.
+    """
     keyed = findings.withColumn("group_key", dedup_key())
-    groups = dedup_groups(findings).select("project", "group_key", "primary_id")
-    j = keyed.join(groups, ["project", "group_key"], "left")
+    groups = dedup_groups(findings).select("project", "group_key", "primary_id", "total_count")
+    hot = (groups.where(F.col("total_count") > hot_group_rows)
+           .orderBy(F.col("total_count").desc(), "project", "group_key").limit(MAX_HOT_GROUPS)
+           .select("project", "group_key",
+                   F.least(F.ceil(F.col("total_count") / F.lit(hot_group_rows)), F.lit(MAX_SALTS))
+                   .cast("int").alias("n_salts")))
+    keyed = (keyed.join(F.broadcast(hot), ["project", "group_key"], "left")
+             .withColumn("salt", F.when(F.col("n_salts").isNull(), F.lit(0))
+                         .otherwise(F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int")))
+             .drop("n_salts"))
+    salted_groups = (groups.join(F.broadcast(hot), ["project", "group_key"], "left")
+                     .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salts"), F.lit(1)) - 1)))
+                     .select("project", "group_key", "salt", "primary_id"))
+    j = keyed.join(salted_groups, ["project", "group_key", "salt"], "left").drop("salt")
     dup = F.col("id") != F.col("primary_id")
     return (j.withColumn("is_duplicate", dup)
             .withColumn("duplicate_of", F.when(dup, F.col("primary_id")))
