@@ -135,7 +135,7 @@ MAX_SALTS = 64
 MAX_HOT_GROUPS = 10_000   # bounds the broadcast list; other groups join unsalted
 
 
-def dedup_flags(findings: DataFrame, hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def dedup_flags(findings: DataFrame, hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Mark ``is_duplicate`` / ``duplicate_of`` on every finding.
 
     The primary of each group comes from a partial-then-final aggregate; the
@@ -147,8 +147,15 @@ def dedup_flags(findings: DataFrame, hot_group_rows: int = HOT_GROUP_ROWS) -> Da
     """
     keyed = findings.withColumn("group_key", dedup_key())
     groups = dedup_groups(findings).select("project", "group_key", "primary_id", "total_count")
+    if hot_group_rows is None:
+        j = keyed.join(groups.drop("total_count"), ["project", "group_key"], "left")
+        dup = F.col("id") != F.col("primary_id")
+        return (j.withColumn("is_duplicate", dup).withColumn("duplicate_of", F.when(dup, F.col("primary_id")))
+                .drop("primary_id"))
+    # the hot list keeps primary_id so it is the very same aggregate as
+    # ``groups`` (one shuffle, reused), not a second count-only aggregation
     hot = (groups.where(F.col("total_count") > hot_group_rows)
-           .orderBy(F.col("total_count").desc(), "project", "group_key").limit(MAX_HOT_GROUPS)
+           .orderBy(F.col("total_count").desc(), "project", "group_key", "primary_id").limit(MAX_HOT_GROUPS)
            .select("project", "group_key",
                    F.least(F.ceil(F.col("total_count") / F.lit(hot_group_rows)), F.lit(MAX_SALTS))
                    .cast("int").alias("n_salts")))
