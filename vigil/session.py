@@ -7,6 +7,7 @@ fills in settings that are unset, so cluster values always win.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,12 +49,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when unset.
+    """Return the shared checkpoint folder; create a local one only in local mode.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder
-    and is used as is. Only tests and local runs where nothing is configured
-    get a folder under the system temp directory (``spark.checkpoint.dir`` is
-    a static setting, so it is registered through the SparkContext).
+    and is used as is; without one an error is raised, since executors could
+    not read a folder of the driver's machine. Only ``local[...]`` sessions
+    where nothing is configured get a folder under the system temp directory
+    (``spark.checkpoint.dir`` is a static setting, so it is registered through
+    the SparkContext).
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -63,16 +66,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing.rsplit("/", 1)[0]
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="vigil-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared checkpoint folder that no other run uses."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/vigil-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint_table(spark: SparkSession, df, name: str):
     """Cut lineage by writing ``df`` as parquet under the shared checkpoint
     folder and reading it back. Survives executor loss, unlike a local
-    checkpoint, and the written table can be reused across jobs."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/vigil-tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    checkpoint. Every call writes to a path of its own, so a plan that reads
+    an earlier table of the same name stays valid."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
