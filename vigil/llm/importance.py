@@ -7,7 +7,8 @@ share / raw share): how much likelier it is under the target. Documents are
 resampled without replacement by Gumbel top-k: a Gumbel number drawn from the
 id is added to each log weight, and the k largest stay. k is the number of
 rows whose log weight is at least the one that ``KEEP_GOOD`` of the good
-labelled rows reach: the corpus' own share of texts like the target.
+labelled rows reach: the corpus' own share of texts like the target. Half of
+the good labelled rows make the target, the other half, unseen by it, sets k.
 
 The raw counts cover every text. The target's labels are a bounded sample: the
 ``max_labels`` labelled rows with the smallest hashes of their ids.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import col, pieces, sized, staged, text_bytes, uniform
 
-FEATURES, MAX_LABELS, SMOOTH, KEEP_GOOD = 1 << 16, 20_000, 1.0, 0.995
+FEATURES, MAX_LABELS, SMOOTH, KEEP_GOOD = 1 << 16, 20_000, 5.0, 0.995
 _PAIR = np.uint32(0x9E3779B1)
 
 
@@ -49,12 +50,13 @@ def features(text: bytes) -> np.ndarray:
 
 def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality",
         max_labels: int = MAX_LABELS) -> tuple[np.ndarray, DataFrame]:
-    """The weight of each bucket, and the ids of the good labelled rows used (a staged table)."""
+    """The weight of each bucket, and the ids of the good labelled rows left out (a staged table)."""
     own = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull()).groupBy(col(id_col).alias("__label_id")) \
         .agg((F.max(col(label_col)) > 0).alias("__good"))
     used = staged(own.orderBy(F.xxhash64("__label_id"), "__label_id").limit(max_labels).where("__good"), "labels")
+    left_out = F.pmod(F.xxhash64(F.lit("left out"), "__label_id"), F.lit(2)) == 0
     rows = df.select(col(id_col).alias("__id"), text_bytes(text_col).alias("text")) \
-        .join(F.broadcast(used), F.col("__id") == F.col("__label_id"), "left") \
+        .join(F.broadcast(used.where(~left_out)), F.col("__id") == F.col("__label_id"), "left") \
         .select("text", F.col("__good").isNotNull().alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +78,10 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
     at = found.column("bucket").to_numpy()
     counts[0][at], counts[1][at] = found.column("n_raw").to_numpy(), found.column("n_good").to_numpy()
     if not counts[1].any():
-        return np.zeros(FEATURES), used
-    raw = (counts[0] + SMOOTH) / (counts[0].sum() + SMOOTH * FEATURES)
-    # the target is smoothed towards the raw shares, so that rare buckets say nothing
-    good = (counts[1] + SMOOTH * FEATURES * raw) / (counts[1].sum() + SMOOTH * FEATURES)
-    return np.log(good / raw), used
+        return np.zeros(FEATURES), used.where(left_out)
+    # raw counts on the target's scale, and the same pseudo-counts for both: rare buckets say little
+    expected = counts[0] * (counts[1].sum() / counts[0].sum())
+    return np.log((counts[1] + SMOOTH) / (expected + SMOOTH)), used.where(left_out)
 
 
 def with_keys(df: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id",
