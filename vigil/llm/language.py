@@ -13,7 +13,7 @@ smallest hashes, of each at most ``dict_bytes // 8`` bytes, ``dict_bytes`` in
 all. It is the only part that does not read all rows.
 
 Defined results: null or letterless text is ``und`` with score 0. Equal sizes
-go to the language that comes first by name, with score 0, not accepted.
+go to the language with more labelled rows, with score 0, not accepted.
 Rows with a null label teach nothing. Without any labelled row all texts are
 ``und``.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import col, pieces, sized, staged, text_bytes
 
-CHUNK = 8192
-LEVEL = 3
+CHUNK = 2048
+LEVEL = 12
 #: Relative margin below which a prediction is not accepted, and from which the score is 1.
 NARROW, WIDE = 0.005, 0.08
 OTHER = re.compile(r"[\W\d_]+")
@@ -43,7 +43,7 @@ def plain(text: bytes) -> bytes:
 
 def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
                        sample_rows: int = 200, dict_bytes: int = 1 << 16) -> dict[str, bytes]:
-    """Dictionary content by language, from the labelled rows of ``df``."""
+    """Dictionary content by language, from the labelled rows of ``df``; frequent languages first."""
     each = max(1, dict_bytes // 8)
     labelled = df.where(col(lang_col).isNotNull() & col(text_col).isNotNull())
     text = text_bytes(text_col)
@@ -60,12 +60,14 @@ def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "l
     found: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1], bytes(r[2]))):
         found.setdefault(lang, []).append(plain(bytes(text)))
-    return {lang: b" ".join(texts)[:dict_bytes] for lang, texts in found.items()}
+    often = {r[0]: r[1] for r in labelled.groupBy(col(lang_col)).count().collect()}
+    order = sorted(found, key=lambda lang: (-often[lang], lang))
+    return {lang: b" ".join(found[lang])[:dict_bytes] for lang in order}
 
 
 def classifier(dictionaries: dict[str, bytes]):
     """A function from a text to (language, score, accepted)."""
-    langs = sorted(dictionaries)
+    langs = list(dictionaries)
     coders = []
     for lang in langs:
         d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
