@@ -51,6 +51,9 @@ def learn_dictionaries(df: DataFrame, text_col: str = "text", lang_col: str = "l
     distinct = (labelled.where(F.octet_length(text) > 0)
                 .groupBy(col(lang_col).alias("lang"), F.xxhash64(text).alias("h"))
                 .agg(F.min(col(id_col)).alias("id")))
+    # a language may have most rows: first ranked in 64 parts, so that few rows meet in one task
+    first = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id"))
+    distinct = distinct.withColumn("rank", first).where(F.col("rank") <= sample_rows)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = staged(distinct.withColumn("rank", rank).where(F.col("rank") <= sample_rows)
                     .select("id", "lang", "h", "rank"), "language-sample")
