@@ -226,8 +226,13 @@ def crossing_pairs(lists: DataFrame, components: DataFrame, tested: DataFrame) -
     # a list's largest component against nothing of itself: only the others look for partners
     own = own.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
     own = own.withColumn("main", F.max(F.struct("size", "component")).over(Window.partitionBy("key"))["component"]).drop("size")
+    # two members of a group share many combinations: of two lists that both are in, the later one leaves them out
+    before = F.collect_list("key").over(Window.partitionBy("rep").orderBy("key").rowsBetween(-8, -1))
+    own = own.where("place < 0").withColumn("before", before) \
+        .unionByName(own.where("place >= 0").withColumn("before", F.lit(None).cast("array<bigint>")))
     x, y = own.where("component != main").alias("x"), own.alias("y")
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") \
+        & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
     pairs = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
