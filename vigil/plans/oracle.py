@@ -237,10 +237,10 @@ def triage_ctes(src: str, prefix: str) -> dict[str, str]:
         f"ORDER BY {score} DESC, path NULLS FIRST, line NULLS FIRST, \"column\" NULLS FIRST, rule NULLS FIRST, id NULLS FIRST) AS _rn, "
         f"count(*) OVER (PARTITION BY project, {key}) AS _gsize FROM {prefix}_ctx")
     c[f"{prefix}_triaged"] = (
-        f"SELECT k.* EXCLUDE (_rn, _gsize), k.id <> p.id AS is_duplicate, "
-        f"CASE WHEN k.id <> p.id THEN p.id END AS duplicate_of "
-        f"FROM {prefix}_keyed k JOIN (SELECT project, group_key, id FROM {prefix}_keyed WHERE _rn = 1) p "
-        f"ON k.project = p.project AND k.group_key = p.group_key")
+        # a window instead of a join of the keyed rows with themselves, which DuckDB does not end under a LIMIT
+        f"SELECT * EXCLUDE (_rn, _gsize, _primary), id <> _primary AS is_duplicate, "
+        f"CASE WHEN id <> _primary THEN _primary END AS duplicate_of "
+        f"FROM (SELECT *, first_value(id) OVER (PARTITION BY project, group_key ORDER BY _rn) AS _primary FROM {prefix}_keyed)")
     w = {"critical": 100.0, "high": 75.0, "medium": 50.0, "low": 25.0, "info": 5.0}
     sev_s = "CASE " + eff_sev() + " " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in w.items()) + " ELSE 0.0::DOUBLE END"
     has = lambda s: f"contains(rule, '{s}')"

@@ -40,7 +40,10 @@ class Corpus:
         import hashlib
         import os
         from ..session import ensure_checkpoint_dir
-        key = hashlib.sha1(f"{os.path.abspath(self.sf_dir)}|{self._version()}".encode()).hexdigest()[:16]
+        # staged for one application: another one may see other data in the same folder
+        where = self.sf_dir if "://" in self.sf_dir else os.path.abspath(self.sf_dir)
+        app = self.spark.sparkContext.applicationId
+        key = hashlib.sha1(f"{where}|{self._version()}|{app}".encode()).hexdigest()[:16]
         return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/vigil-corpus/{key}/{name}"
 
     def _get(self, name):

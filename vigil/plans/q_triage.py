@@ -172,13 +172,11 @@ oracle("priority_score", "SELECT id, project, priority_score, priority_factors.s
 def _(spark, sf):
     p = _prio(spark, sf)
     w = Window.partitionBy("project").orderBy(F.col("priority_score").desc(), F.col("id"))
-    return p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= RP.TOP_CONSOLE).select(
-        "project", "rank", "id", "priority_score")
+    return p.withColumn("rank", F.row_number().over(w)).select("project", "rank", "id", "priority_score")
 
 
 oracle("priority_rank", "SELECT project, rank, id, priority_score FROM (SELECT project, id, priority_score, "
-       "CAST(row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS INTEGER) AS rank FROM fv_prioritized) "
-       f"WHERE rank <= {RP.TOP_CONSOLE}", ["fv_prioritized"])
+       "CAST(row_number() OVER (PARTITION BY project ORDER BY priority_score DESC, id) AS INTEGER) AS rank FROM fv_prioritized)", ["fv_prioritized"])
 
 
 @query("noise_reduction", "2.8")

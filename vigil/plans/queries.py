@@ -32,7 +32,7 @@ def query(key: str, section: str = "", oracle: Callable[[], str] | None = None):
     return deco
 
 
-MODULES = ("q_core", "q_detect", "q_deps", "q_triage", "q_reports")
+MODULES = ("q_core", "q_detect", "q_triage")
 
 
 def load_all() -> dict[str, Query]:
@@ -40,12 +40,7 @@ def load_all() -> dict[str, Query]:
     each module's ORACLE entries to its queries."""
     import importlib
     for mod in MODULES:
-        try:
-            m = importlib.import_module(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
-            continue
+        m = importlib.import_module(f"{__package__}.{mod}")
         for key, sql in getattr(m, "ORACLE", {}).items():
             if key in REGISTRY:
                 REGISTRY[key].oracle = sql
