@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,9 @@ from vigil.session import checkpoint_table
 
 #: Most rows of an id list that is broadcast; longer lists are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
+#: Bytes from which on an Arrow batch is sent to Python, where the session doesn't say.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def col(name: str) -> Column:
@@ -49,7 +54,32 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def trim() -> None:
+    """Freed memory goes back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, so that long texts do not add up, and a worker trimmed after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def pieces(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The byte strings of a batch in runs of about ``max_bytes``: (first row, strings)."""
     values = batch.column(column)
     start, size, run = 0, 0, []

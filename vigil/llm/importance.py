@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces, sized, staged, text_bytes, uniform
+from vigil.llm.common import col, map_batches, pieces, sized, staged, text_bytes, uniform
 
 FEATURES, MAX_LABELS, SMOOTH, KEEP_GOOD = 1 << 16, 20_000, 5.0, 0.995
 _PAIR = np.uint32(0x9E3779B1)
@@ -72,7 +72,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])],
                                          ["bucket", "n_raw", "n_good"])
 
-    found = (rows.mapInArrow(run, "bucket bigint, n_raw bigint, n_good bigint")
+    found = (map_batches(rows, run, "bucket bigint, n_raw bigint, n_good bigint")
              .groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_good").alias("n_good")).toArrow())
     counts = np.zeros((2, FEATURES))
     at = found.column("bucket").to_numpy()
@@ -86,15 +86,18 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
 
 def with_keys(df: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id",
               seed: str = "importance") -> DataFrame:
-    """``df`` with __log_weight and __key, its log weight plus a Gumbel number."""
+    """``df`` with __log_weight, __key (its log weight plus a Gumbel number) and __bits, the key as an
+    unsigned 64-bit number, in a long, in the order of the doubles. One function, so one Python worker a task."""
 
-    @F.pandas_udf("double")
-    def log_weight(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(weights[features(bytes(t))].sum()) for t in texts], dtype="float64")
+    @F.pandas_udf("log_weight double, key double, bits long")
+    def scored(texts: pd.Series, u: pd.Series) -> pd.DataFrame:
+        log_weight = np.array([weights[features(bytes(t))].sum() for t in texts], dtype=np.float64)
+        key = log_weight - np.log(-np.log(u.to_numpy(dtype=np.float64)))
+        raw, top = key.view(np.uint64), np.uint64(1 << 63)
+        return pd.DataFrame({"log_weight": log_weight, "key": key, "bits": np.where(raw & top, ~raw, raw | top).view(np.int64)})
 
-    u = uniform(id_col, seed)
-    return df.withColumn("__log_weight", log_weight(text_bytes(text_col))) \
-        .withColumn("__key", F.col("__log_weight") - F.log(-F.log(u)))
+    return df.withColumn("__scored", scored(text_bytes(text_col), uniform(id_col, seed))).select(
+        *[col(c) for c in df.columns], *[F.col(f"__scored.{c}").alias(f"__{c}") for c in ("log_weight", "key", "bits")])
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -120,24 +123,12 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return float(np.array([raw], dtype=np.uint64).view(np.float64)[0])
 
 
-def ordered_bits(key: str):
-    """An unsigned 64-bit number, as a long, in the order of the doubles."""
-    @F.pandas_udf("long")
-    def bits(x: pd.Series) -> pd.Series:
-        raw = x.to_numpy(dtype=np.float64).view(np.uint64)
-        top = np.uint64(1 << 63)
-        return pd.Series(np.where(raw & top, ~raw, raw | top).view(np.int64))
-
-    return bits(F.col(key))
-
-
 def resample(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
              label_col: str = "quality", keep_good: float = KEEP_GOOD) -> tuple[DataFrame, np.ndarray, float]:
     """id, log_weight, key of every row (a staged table), the weights, and the key from which on rows stay."""
     weights, used = fit(df, labels, text_col, id_col, label_col)
     keys = staged(with_keys(df.select(col(id_col), col(text_col)), weights, text_col, id_col)
-                  .select(col(id_col).alias(id_col), F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key"))
-                  .withColumn("bits", ordered_bits("key")), "importance")
+                  .select(col(id_col).alias(id_col), *[F.col(f"__{c}").alias(c) for c in ("log_weight", "key", "bits")]), "importance")
     good = keys.join(F.broadcast(used), col(id_col) == F.col("__label_id"))
     least = good.agg(F.percentile("log_weight", 1.0 - keep_good)).first()[0]
     k = keys.count() if least is None else keys.where(F.col("log_weight") >= F.lit(least)).count()

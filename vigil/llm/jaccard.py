@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import MAX_BROADCAST_ROWS, col, pieces, sized, staged, text_bytes
+from vigil.llm.common import MAX_BROADCAST_ROWS, col, map_batches, pieces, sized, staged, text_bytes
 from vigil.llm.exact_dedup import smallest_by_key
 from vigil.llm.textnum import mix, shingle_sets
 
@@ -107,7 +107,7 @@ def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
         if held:
             yield repeated()
 
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, token bigint, times bigint")
+    return map_batches(rows, run, "id bigint, n bigint, digest binary, token bigint, times bigint")
 
 
 def frequent_tokens(described: DataFrame) -> np.ndarray:
@@ -185,7 +185,7 @@ def index(df: DataFrame, frequent: np.ndarray, text_col: str, id_col: str) -> Da
                          pa.array(np.concatenate(places).astype(np.int32)),
                          pa.array(np.concatenate(common).astype(np.int32))], ["key", "id", "place", "common"])
 
-    return rows.mapInArrow(run, "key bigint, id bigint, place int, common int")
+    return map_batches(rows, run, "key bigint, id bigint, place int, common int")
 
 
 def shared_lists(indexed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def verify(df: DataFrame, pairs: DataFrame, text_col: str, id_col: str) -> DataF
             left, right = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return stream.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(stream, run, "a bigint, b bigint")
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces, sized, staged, text_bytes
+from vigil.llm.common import col, map_batches, pieces, sized, staged, text_bytes
 
 CHUNK = 2048
 LEVEL = 12
@@ -113,5 +113,5 @@ def predict_language(df: DataFrame, dictionaries: dict[str, bytes], text_col: st
                  pa.array(accepted, pa.bool_())], ["id", "lang_pred", "score", "accepted"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, accepted boolean") \
+    return map_batches(rows, run, f"id {kind}, lang_pred string, score double, accepted boolean") \
         .withColumnRenamed("id", id_col)

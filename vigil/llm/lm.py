@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces, staged, text_bytes
+from vigil.llm.common import col, map_batches, pieces, staged, text_bytes
 
 DELTA, PRIOR = 0.1, 5.0
 HEAD, UNITS, BUCKETS, CLASSES, SWEEPS = 1 << 17, 1024, 128, 48, 12
@@ -72,7 +72,7 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
         if counts:
             yield written()
 
-    parts = df.select(text_bytes(text_col).alias("text")).mapInArrow(run, "word binary, n bigint")
+    parts = map_batches(df.select(text_bytes(text_col).alias("text")), run, "word binary, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -182,7 +182,7 @@ def train(df: DataFrame, text_col: str = "text", head: int = HEAD, units: int =
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["pair", "n"])
 
-    pairs = (df.select(text_bytes(text_col).alias("text")).mapInArrow(run, "pair bigint, n bigint")
+    pairs = (map_batches(df.select(text_bytes(text_col).alias("text")), run, "pair bigint, n bigint")
              .groupBy("pair").agg(F.sum("n").alias("n")).toArrow())
     bigrams = np.zeros(size * size)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
@@ -258,7 +258,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text"
                 ["key", "id", "n_tokens", "n_known", "seen", "way", "word", "times"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    read = staged(rows.mapInArrow(run, f"key bigint, id {kind}, n_tokens bigint, n_known bigint, seen double, "
+    read = staged(map_batches(rows, run, f"key bigint, id {kind}, n_tokens bigint, n_known bigint, seen double, "
                                        "way double, word binary, times bigint"), "lm-rows")
     found = read.where("word IS NOT NULL").select("key", "word", "times").join(counts, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces
+from vigil.llm.common import col, map_batches, pieces
 
 WINDOW, END = 2048, 1
 #: White space as the word pattern has it, by its Unicode property.
@@ -221,4 +221,4 @@ def pack(df: DataFrame, tokenizer: str, pattern: str, text_col: str = "text", id
         if packer.out:
             yield written()
 
-    return rows.mapInArrow(run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces
+from vigil.llm.common import col, map_batches, pieces
 
 CHUNK, LEVEL, BAD_SHARE = 4096, 3, 0.5
 #: Bytes from which on, least and most ratio of a whole text.
@@ -101,5 +101,5 @@ def quality_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
                 ["id"] + [f[0] for f in FIELDS])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in FIELDS)) \
+    return map_batches(rows, run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in FIELDS)) \
         .withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import col, pieces
+from vigil.llm.common import col, map_batches, pieces
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -91,7 +91,7 @@ def find_secrets(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(span))], ["id", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, found array<struct<start:bigint,end:bigint,kind:string>>") \
+    return map_batches(rows, run, f"id {kind}, found array<struct<start:bigint,end:bigint,kind:string>>") \
         .withColumnRenamed("id", id_col)
 
 

@@ -38,7 +38,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
         out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-        if len(out) > 1 << 23:  # a single very long text: not kept
+        if len(out) > 1 << 21:  # a single very long text: not kept
             return out
         _powers[base] = have = out
     return have
