@@ -42,8 +42,8 @@ def test_one_primary_per_group(spark):
     from vigil.plans.q_core import corpus_of
     from vigil.operators import triage
     c = corpus_of(spark, "/root/testdata/sf0.001")
-    t = triage.dedup_flags(c.findings).withColumn("k", triage.dedup_key())
-    per = t.groupBy("project", "k").agg(F.count_if(~F.col("is_duplicate")).alias("primaries"))
+    t = triage.dedup_flags(c.findings).withColumn("k", triage.dedup_key()).withColumn("scan", triage.scan_scope(c.findings))
+    per = t.groupBy("project", "scan", "k").agg(F.count_if(~F.col("is_duplicate")).alias("primaries"))
     assert per.where(F.col("primaries") != 1).count() == 0
     bad = t.where(F.col("is_duplicate") & F.col("duplicate_of").isNull()).count()
     assert bad == 0
@@ -53,10 +53,33 @@ def test_salted_dedup_equals_unsalted(spark):
     from vigil.plans.q_core import corpus_of
     from vigil.operators import triage
     f = corpus_of(spark, "/root/testdata/sf0.001").findings
-    plain = triage.dedup_flags(f).select("id", "is_duplicate", "duplicate_of")
-    salted = triage.dedup_flags(f, hot_group_rows=3).select("id", "is_duplicate", "duplicate_of")
+    plain = triage.dedup_flags(f, salts=1).select("id", "is_duplicate", "duplicate_of")
+    salted = triage.dedup_flags(f, salts=7).select("id", "is_duplicate", "duplicate_of")
     assert salted.count() == plain.count() == f.count()
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
-    # the threshold really produced hot groups at this scale
-    g = triage.dedup_groups(f)
-    assert g.where(F.col("total_count") > 3).count() > 0
+    # groups of several rows do occur at this scale
+    assert triage.dedup_groups(f).where(F.col("total_count") > 3).count() > 0
+
+
+def _stored(spark, rows):
+    """Dependency findings (id, month, cve) of one project, in the findings schema."""
+    from vigil.schemas import conform
+    df = spark.createDataFrame(rows, "id string, month string, cve string")
+    return conform(df.select(
+        "id", F.lit("p").alias("project"), F.lit("sca").alias("scanner"), F.lit("vulnerable-dependency").alias("rule"),
+        F.lit("high").alias("severity"), F.lit("high").alias("confidence"), F.lit("/package.json").alias("path"),
+        F.lit(1).alias("line"), "cve", F.lit("left").alias("package_name"), F.lit("1.0.0").alias("installed_version"),
+        F.to_timestamp(F.concat("month", F.lit("-05 00:00:00"))).alias("scan_ts")))
+
+
+def test_scans_are_judged_apart(spark):
+    """A finding present in two scans counts in both, and a repaired CVE shows as fixed."""
+    from vigil.operators import reports, triage
+    f = _stored(spark, [("a1", "2024-01", "CVE-1"), ("a2", "2024-01", "CVE-2"), ("a3", "2024-01", "CVE-2"),
+                        ("b1", "2024-02", "CVE-1"), ("c1", "2024-03", "CVE-1"), ("c2", "2024-03", "CVE-3")])
+    flags = {r.id: r.duplicate_of for r in triage.dedup_flags(f).collect()}
+    assert flags == {"a1": None, "a2": None, "a3": "a2", "b1": None, "c1": None, "c2": None}
+    tri = triage.dedup_flags(f).withColumn("auto_ignored", F.lit(False)).withColumn("contextual_severity", F.lit(None).cast("string"))
+    status = sorted((r.scan_no, r.status) for r in reports.status_diff(tri).collect())
+    assert status == [(2, "fixed"), (2, "open"), (3, "new"), (3, "open")]
+    assert [r.high for r in reports.trend(tri).orderBy("scan_month").collect()] == [2, 1, 2]

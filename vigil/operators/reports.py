@@ -78,8 +78,10 @@ def trend(triaged: DataFrame) -> DataFrame:
 
 
 def fingerprint() -> Column:
-    """Identity of a finding across scans (ids are per scan)."""
-    return F.sha2(F.concat_ws("|", "scanner", "rule", "path", F.col("line").cast("string")), 256)
+    """Identity of a finding across scans (ids are per scan). Dependency findings of a
+    project share rule, path and line; CVE, package and version tell them apart."""
+    own = [F.coalesce(c, F.lit("")) for c in ("cve", "package_name", "installed_version")]
+    return F.sha2(F.concat_ws("|", "scanner", "rule", "path", F.col("line").cast("string"), *own), 256)
 
 
 def scan_numbers(triaged: DataFrame) -> DataFrame:

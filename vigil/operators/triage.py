@@ -1,18 +1,17 @@
 """Triage: contextual auto-ignore / severity change, dedup, priority.
 
 Scale notes
-* Context is one row per project; it is joined with a size check
-  (``plans.joins.small_side_join``), never assumed small.
-* Dedup never puts a whole group into one task: the primary of each group
-  is an aggregate (``min`` of a struct, partial-aggregated map-side), and
-  the flags come from joining that one-row-per-group table back, with hot
-  groups salted (see ``dedup_flags``); AQE's skew-join splitting covers
-  what remains.
+* Context is one row per project; the join is left to the planner
+  (``plans.joins.small_side_join``), which broadcasts by measured size.
+* Dedup never puts a whole group into one task: every group is dealt into
+  salted parts, each part's best row is an aggregate (``min`` of a struct,
+  partial-aggregated map-side), and the flags come from joining the parts
+  back (see ``dedup_flags``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import confidence_rank, effective_severity, half_up, severity_rank
@@ -118,59 +117,47 @@ def _order_struct() -> Column:
                     F.col("column"), F.col("rule"), F.col("id"))
 
 
+def scan_scope(findings: DataFrame) -> Column:
+    """The scan a finding belongs to: the month of its time stamp, or empty for
+    findings of a single scan. Findings are duplicates within one scan only."""
+    if "scan_ts" not in findings.columns:
+        return F.lit("")
+    return F.coalesce(F.date_format("scan_ts", "yyyy-MM"), F.lit(""))
+
+
 def dedup_groups(findings: DataFrame) -> DataFrame:
-    """One row per (project, group_key): primary id, related count, total."""
-    keyed = findings.withColumn("group_key", dedup_key())
-    g = keyed.groupBy("project", "group_key").agg(
+    """One row per (project, scan, group_key): primary id, related count, total."""
+    keyed = findings.withColumn("group_key", dedup_key()).withColumn("scan", scan_scope(findings))
+    g = keyed.groupBy("project", "scan", "group_key").agg(
         F.min(_order_struct()).alias("best"),
         F.count(F.lit(1)).alias("total_count"))
-    return g.select("project", "group_key", F.col("best.id").alias("primary_id"),
+    return g.select("project", "scan", "group_key", F.col("best.id").alias("primary_id"),
                     (F.col("total_count") - 1).alias("related_count"), "total_count")
 
 
-# Skew handling for the join back: groups with more rows than this are
-# salted (their one group row replicated, their findings spread by id hash).
-HOT_GROUP_ROWS = 1_000_000
-MAX_SALTS = 64
-MAX_HOT_GROUPS = 10_000   # bounds the broadcast list; other groups join unsalted
+# Parts that every group is dealt into by a hash of the finding's id.
+SALTS = 64
 
 
-def dedup_flags(findings: DataFrame, hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+def dedup_flags(findings: DataFrame, salts: int = SALTS) -> DataFrame:
     """Mark ``is_duplicate`` / ``duplicate_of`` on every finding.
 
-    The primary of each group comes from a partial-then-final aggregate; the
-    flags from joining that one-row-per-group table back on (project, key,
-    salt). Groups above ``hot_group_rows`` (at most MAX_HOT_GROUPS of them,
-    the largest: a bounded broadcast list) are split over up to MAX_SALTS
-    salts, so one group holding a third of all rows is spread over many
-    join tasks. Every other group uses salt 0; results are exact either way.
+    One path for groups of every size: each (project, scan, key, salt) part
+    gives its best row (partial aggregation), the best of a group's at most
+    ``salts`` parts is its primary, and each part carries it to its own
+    findings by a join on (project, scan, key, salt). A group holding a third
+    of all rows is so spread over ``salts`` join keys.
     """
-    keyed = findings.withColumn("group_key", dedup_key())
-    groups = dedup_groups(findings).select("project", "group_key", "primary_id", "total_count")
-    if hot_group_rows is None:
-        j = keyed.join(groups.drop("total_count"), ["project", "group_key"], "left")
-        dup = F.col("id") != F.col("primary_id")
-        return (j.withColumn("is_duplicate", dup).withColumn("duplicate_of", F.when(dup, F.col("primary_id")))
-                .drop("primary_id"))
-    # the hot list keeps primary_id so it is the very same aggregate as
-    # ``groups`` (one shuffle, reused), not a second count-only aggregation
-    hot = (groups.where(F.col("total_count") > hot_group_rows)
-           .orderBy(F.col("total_count").desc(), "project", "group_key", "primary_id").limit(MAX_HOT_GROUPS)
-           .select("project", "group_key",
-                   F.least(F.ceil(F.col("total_count") / F.lit(hot_group_rows)), F.lit(MAX_SALTS))
-                   .cast("int").alias("n_salts")))
-    keyed = (keyed.join(F.broadcast(hot), ["project", "group_key"], "left")
-             .withColumn("salt", F.when(F.col("n_salts").isNull(), F.lit(0))
-                         .otherwise(F.pmod(F.xxhash64("id"), F.col("n_salts")).cast("int")))
-             .drop("n_salts"))
-    salted_groups = (groups.join(F.broadcast(hot), ["project", "group_key"], "left")
-                     .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salts"), F.lit(1)) - 1)))
-                     .select("project", "group_key", "salt", "primary_id"))
-    j = keyed.join(salted_groups, ["project", "group_key", "salt"], "left").drop("salt")
+    keyed = (findings.withColumn("group_key", dedup_key()).withColumn("_scan", scan_scope(findings))
+             .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")))
+    group = ["project", "_scan", "group_key"]
+    parts = keyed.groupBy(*group, "_salt").agg(F.min(_order_struct()).alias("best"))
+    primary = F.min("best").over(Window.partitionBy(*group))["id"]
+    j = keyed.join(parts.select(*group, "_salt", primary.alias("primary_id")), [*group, "_salt"], "left")
     dup = F.col("id") != F.col("primary_id")
     return (j.withColumn("is_duplicate", dup)
             .withColumn("duplicate_of", F.when(dup, F.col("primary_id")))
-            .drop("primary_id"))
+            .drop("primary_id", "_scan", "_salt"))
 
 
 def dedup_stats(findings: DataFrame) -> DataFrame:

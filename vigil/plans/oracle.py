@@ -232,15 +232,16 @@ def triage_ctes(src: str, prefix: str) -> dict[str, str]:
            "WHEN scanner = 'secrets' THEN 'secrets:' || coalesce(secret_type, 'undefined') || ':' || coalesce(masked_value, 'unknown') "
            "ELSE concat_ws(':', scanner, path, CAST(line AS VARCHAR), rule) END")
     score = f"({sev_rank('severity')} * 10 + {conf_rank('confidence')})"
+    scan = "coalesce(strftime(scan_ts, '%Y-%m'), '')"
     c[f"{prefix}_keyed"] = (
-        f"SELECT *, {key} AS group_key, row_number() OVER (PARTITION BY project, {key} "
+        f"SELECT *, {key} AS group_key, {scan} AS _scan, row_number() OVER (PARTITION BY project, {scan}, {key} "
         f"ORDER BY {score} DESC, path NULLS FIRST, line NULLS FIRST, \"column\" NULLS FIRST, rule NULLS FIRST, id NULLS FIRST) AS _rn, "
-        f"count(*) OVER (PARTITION BY project, {key}) AS _gsize FROM {prefix}_ctx")
+        f"count(*) OVER (PARTITION BY project, {scan}, {key}) AS _gsize FROM {prefix}_ctx")
     c[f"{prefix}_triaged"] = (
         # a window instead of a join of the keyed rows with themselves, which DuckDB does not end under a LIMIT
-        f"SELECT * EXCLUDE (_rn, _gsize, _primary), id <> _primary AS is_duplicate, "
+        f"SELECT * EXCLUDE (_rn, _gsize, _scan, _primary), id <> _primary AS is_duplicate, "
         f"CASE WHEN id <> _primary THEN _primary END AS duplicate_of "
-        f"FROM (SELECT *, first_value(id) OVER (PARTITION BY project, group_key ORDER BY _rn) AS _primary FROM {prefix}_keyed)")
+        f"FROM (SELECT *, first_value(id) OVER (PARTITION BY project, _scan, group_key ORDER BY _rn) AS _primary FROM {prefix}_keyed)")
     w = {"critical": 100.0, "high": 75.0, "medium": 50.0, "low": 25.0, "info": 5.0}
     sev_s = "CASE " + eff_sev() + " " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in w.items()) + " ELSE 0.0::DOUBLE END"
     has = lambda s: f"contains(rule, '{s}')"

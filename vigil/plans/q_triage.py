@@ -108,10 +108,10 @@ oracle("dedup_key", "SELECT id, project, group_key FROM fv_keyed", ["fv_keyed"])
 
 @query("dedup_primary", "2.8")
 def _(spark, sf):
-    return T.dedup_groups(_contextual(spark, sf)).select("project", "group_key", "primary_id")
+    return T.dedup_groups(_contextual(spark, sf)).select("project", "scan", "group_key", "primary_id")
 
 
-oracle("dedup_primary", "SELECT project, group_key, id AS primary_id FROM fv_keyed WHERE _rn = 1", ["fv_keyed"])
+oracle("dedup_primary", "SELECT project, _scan AS scan, group_key, id AS primary_id FROM fv_keyed WHERE _rn = 1", ["fv_keyed"])
 
 
 @query("dedup_flags", "2.8")
@@ -127,7 +127,7 @@ def _(spark, sf):
     return T.dedup_groups(_contextual(spark, sf))
 
 
-oracle("dedup_groups", "SELECT project, group_key, id AS primary_id, _gsize - 1 AS related_count, _gsize AS total_count "
+oracle("dedup_groups", "SELECT project, _scan AS scan, group_key, id AS primary_id, _gsize - 1 AS related_count, _gsize AS total_count "
        "FROM fv_keyed WHERE _rn = 1", ["fv_keyed"])
 
 
@@ -138,7 +138,7 @@ def _(spark, sf):
 
 oracle("dedup_stats", "SELECT project, sum(total_count)::BIGINT AS total_original, count(*) AS total_after_dedup, "
        "CAST(CASE WHEN sum(total_count) > 0 THEN floor((sum(total_count) - count(*))::DOUBLE / sum(total_count) * 100 + 0.5) ELSE 0 END AS INTEGER) "
-       "AS reduction_percent FROM (SELECT project, group_key, count(*) AS total_count FROM fv_keyed GROUP BY ALL) GROUP BY project",
+       "AS reduction_percent FROM (SELECT project, _scan, group_key, count(*) AS total_count FROM fv_keyed GROUP BY ALL) GROUP BY project",
        ["fv_keyed"])
 
 _PARTS = {"priority_severity": ("_s", T.severity_score), "priority_exploit": ("_e", T.exploitability_score),
@@ -430,7 +430,8 @@ def _(spark, sf):
 
 
 def _status_sql():
-    fp = "sha256(concat_ws('|', scanner, rule, path, CAST(line AS VARCHAR)))"
+    fp = ("sha256(concat_ws('|', scanner, rule, path, CAST(line AS VARCHAR), coalesce(cve, ''), coalesce(package_name, ''), "
+          "coalesce(installed_version, '')))")
     nums = ("SELECT project, scan_month, CAST(row_number() OVER (PARTITION BY project ORDER BY scan_month) AS INTEGER) AS scan_no FROM "
             "(SELECT DISTINCT project, CAST(date_trunc('month', scan_ts) AS TIMESTAMP) AS scan_month FROM fv_triaged)")
     f = (f"SELECT t.project, n.scan_no, {fp} AS fp, max({O.sev_rank(EFF)}) AS sev_rank FROM fv_triaged t "
