@@ -83,3 +83,22 @@ def test_scans_are_judged_apart(spark):
     status = sorted((r.scan_no, r.status) for r in reports.status_diff(tri).collect())
     assert status == [(2, "fixed"), (2, "open"), (3, "new"), (3, "open")]
     assert [r.high for r in reports.trend(tri).orderBy("scan_month").collect()] == [2, 1, 2]
+
+
+def test_every_interval_of_a_range(spark):
+    """A range with two intervals, one open below, one open above, and commits, which are no versions."""
+    from vigil.operators import deps
+
+    def adv(name, kind, events):
+        pairs = ", ".join(f"named_struct('introduced', {i}, 'fixed', {x})" for i, x in events)
+        return (f"SELECT '{name}' AS id, array(named_struct('package', named_struct('ecosystem', 'npm', 'name', 'left'), "
+                f"'ranges', array(named_struct('type', '{kind}', 'events', array({pairs}))), "
+                "'versions', CAST(NULL AS array<string>))) AS affected")
+    none = "CAST(NULL AS string)"
+    two = [("'0'", none), (none, "'1.2.0'"), ("'2.0.0'", none), (none, "'2.3.0'")]
+    advisories = spark.sql(" UNION ALL ".join([
+        adv("two", "SEMVER", two), adv("below", "SEMVER", [(none, "'1.1.0'")]), adv("above", "SEMVER", [("'2.1.0'", none)]),
+        adv("commits", "GIT", two)]))
+    packages = spark.sql("SELECT 'npm' AS ecosystem, 'Left' AS name, explode(array('1.0.0', '1.2.0', '2.1.0', '2.3.0')) AS version")
+    found = sorted((r.version, r.adv_id) for r in deps.sca_match(packages, advisories).collect())
+    assert found == [("1.0.0", "below"), ("1.0.0", "two"), ("2.1.0", "above"), ("2.1.0", "two"), ("2.3.0", "above")]

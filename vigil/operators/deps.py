@@ -76,8 +76,6 @@ def packages_from_manifests(files: DataFrame) -> DataFrame:
 def dependencies_checked(files: DataFrame) -> DataFrame:
     """Per project: keys of dependencies + devDependencies (npm only, before cleaning)."""
     m = root_file(files, "/package.json").select("project", F.from_json("content", MANIFEST).alias("m"))
-    n = (F.coalesce(F.size(F.map_keys("m.dependencies")), F.lit(0)).cast("long")
-         + F.coalesce(F.size(F.map_keys("m.devDependencies")), F.lit(0)).cast("long"))
     # size(null) is -1 in legacy mode; guard explicitly
     n = (F.when(F.col("m.dependencies").isNull(), 0).otherwise(F.size("m.dependencies"))
          + F.when(F.col("m.devDependencies").isNull(), 0).otherwise(F.size("m.devDependencies"))).cast("long")
@@ -94,20 +92,31 @@ def version_key(v: Column) -> Column:
 
 def advisory_affected(advisories: DataFrame) -> DataFrame:
     """One row per (advisory, affected package entry) with everything the
-    match needs precomputed once per entry: version keys of each range's
-    first introduced / fixed event, and the entry's explicit versions."""
+    match needs precomputed once per entry: version keys of every interval
+    of its ranges, and the entry's explicit versions."""
     e = advisories.select(F.col("id").alias("adv_id"), F.posexplode("affected").alias("aff_pos", "aff"))
 
     def bounds(r):
-        intro = F.try_element_at(F.filter(r["events"], lambda x: x["introduced"].isNotNull()), F.lit(1))["introduced"]
-        fixed = F.try_element_at(F.filter(r["events"], lambda x: x["fixed"].isNotNull()), F.lit(1))["fixed"]
-        return F.struct(F.when(intro.isNotNull(), version_key(intro)).alias("lo"),
-                        F.when(fixed.isNotNull(), version_key(fixed)).alias("hi"))
+        """Every interval of a range: an introduced event up to the next fixed one after it. Without
+        an introduced event the interval is open below, without a fixed one it is open above."""
+        events = F.coalesce(r["events"], F.array())
+
+        def first_fixed(ev):
+            fixed = F.try_element_at(F.filter(ev, lambda x: x["fixed"].isNotNull()), F.lit(1))["fixed"]
+            return F.when(fixed.isNotNull(), version_key(fixed)).alias("hi")
+        opened = F.filter(F.transform(events, lambda x, i: F.when(x["introduced"].isNotNull(), F.struct(
+            version_key(x["introduced"]).alias("lo"), first_fixed(F.slice(events, i + 2, F.size(events)))))),
+            lambda x: x.isNotNull())
+        below = F.array(F.struct(F.lit(None).cast("array<int>").alias("lo"), first_fixed(events)))
+        return F.when(F.size(opened) > 0, opened).otherwise(below)
+
+    # commits are no versions
+    ranges = F.filter(F.coalesce(F.col("aff.ranges"), F.array()), lambda r: ~F.coalesce(r["type"] == "GIT", F.lit(False)))
     return e.select(
         "adv_id", "aff_pos",
         F.col("aff.package.ecosystem").alias("adv_ecosystem"),
         F.lower(F.col("aff.package.name")).alias("adv_name_lc"),
-        F.transform(F.coalesce(F.col("aff.ranges"), F.array()), bounds).alias("bounds"),
+        F.flatten(F.transform(ranges, bounds)).alias("bounds"),
         F.col("aff.versions").alias("versions"))
 
 

@@ -100,7 +100,8 @@ def _(spark, sf):
     return e.select("id", F.col("aff.package.name").alias("package_name"),
                     F.col("aff.package.ecosystem").alias("ecosystem"),
                     F.size("aliases").alias("n_aliases"), F.col("database_specific.cvss_score").alias("db_cvss"),
-                    F.size(F.try_element_at(F.col("aff.ranges"), F.lit(1))["events"]).alias("n_events"), "summary")
+                    F.aggregate(F.coalesce(F.col("aff.ranges"), F.array()), F.lit(0),
+                                lambda n, r: n + F.coalesce(F.size(r["events"]), F.lit(0))).alias("n_events"), "summary")
 
 
 oracle("src_advisories",
