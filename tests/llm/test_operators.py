@@ -265,6 +265,16 @@ def test_jaccard(spark, docs, empty, monkeypatch):
     assert jaccard.similarity_join(docs)[0].count() == docs.count() and jaccard.similarity_join(empty)[0].count() == 0
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(11)
+    for n in (1, 8, 150, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for keep in (0, n // 2, n - 1, n):
+            b = np.unique(np.concatenate([a[:keep], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+            odd = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+            assert odd <= len(np.setxor1d(a, b))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -26,8 +26,10 @@ That keeps a group's edited, unlinked copies out of the pairs.
 
 Pairs are found in two rounds so that a large group is not expanded: first
 each index list's most typical member meets the others; then, of lists that
-still hold several components, the pairs across components. All pairs are
-verified on their texts. Which tokens count as frequent decides cost, never
+still hold several components, the pairs across components. Of those, a bitmap
+of each set (every token flips one bit) leaves out pairs that can't link: two
+bitmaps differ in no more bits than the sets differ in tokens, and linked sets
+differ in at most a seventh of both sizes. All pairs are verified on their texts. Which tokens count as frequent decides cost, never
 results: those that several documents of one task share are counted, and the
 ``MAX_FREQUENT`` most frequent taken (a bounded list).
 
@@ -59,6 +61,8 @@ from vigil.llm.textnum import mix, shingle_sets
 FREQUENT, MAX_FREQUENT, COUNTED = 16, 1 << 18, 1 << 22
 #: Sets of fewer tokens have no combinations.
 SMALL = 16
+#: Numbers of 64 bits in a set's bitmap; sets of far more tokens than bits fill it, and it leaves out none of theirs.
+SKETCH = 8
 #: Pairs of one typical member that one stream of texts holds.
 SPLIT = 2000
 
@@ -68,12 +72,19 @@ def need(n: int, m: int) -> int:
     return -(-3 * (n + m) // 7)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap: which bits an odd number of tokens have."""
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Per row id, n and the set's digest; besides, tokens that repeat within a task with their counts."""
+    """Per row id, n, the set's digest and bitmap; besides, tokens that repeat within a task with their counts."""
     rows = df.select(col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "digest", "token", "times"]
+        names = ["id", "n", "digest", "sketch", "token", "times"]
+        bitmap = pa.list_(pa.int64())
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -85,16 +96,17 @@ def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
             k = int(at.sum())
             held, size = [], 0
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, bitmap),
                  pa.array(tokens[at].view(np.int64)), pa.array(times[at])], names)
 
         for batch in batches:
-            n, digest = [], []
+            n, digest, bits = [], [], []
             for _, texts in pieces(batch, "text"):
                 for s in shingle_sets(texts):
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     n.append(len(s))
                     digest.append(d)
+                    bits.append(sketch(s))
                     if len(s) and d not in seen:
                         seen.add(d)
                         held.append(s)
@@ -103,11 +115,11 @@ def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     yield repeated()
             none = len(n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                              pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
+                                              pa.array(bits, bitmap), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
         if held:
             yield repeated()
 
-    return map_batches(rows, run, "id bigint, n bigint, digest binary, token bigint, times bigint")
+    return map_batches(rows, run, "id bigint, n bigint, digest binary, sketch array<bigint>, token bigint, times bigint")
 
 
 def frequent_tokens(described: DataFrame) -> np.ndarray:
@@ -219,20 +231,29 @@ def typical_pairs(lists: DataFrame) -> DataFrame:
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
-def crossing_pairs(lists: DataFrame, components: DataFrame, tested: DataFrame) -> DataFrame:
-    """All pairs of a list whose components differ, without those tested."""
+def near_enough(a: str, b: str):
+    """Linked sets differ in at most (n + m) / 7 tokens; their bitmaps differ in no more bits."""
+    bits = sum(F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH))
+    return F.coalesce(7 * bits <= F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(True))
+
+
+def crossing_pairs(lists: DataFrame, components: DataFrame, tested: DataFrame, sketches: DataFrame) -> DataFrame:
+    """All pairs of a list whose components differ and whose bitmaps (id, sketch) allow a link, without those tested."""
     own = lists.join(components.withColumnRenamed("id", "rep"), "rep", "left") \
         .withColumn("component", F.coalesce("component", "rep"))
     # a list's largest component against nothing of itself: only the others look for partners
     own = own.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
-    own = own.withColumn("main", F.max(F.struct("size", "component")).over(Window.partitionBy("key"))["component"]).drop("size")
+    by = Window.partitionBy("key")
+    own = own.withColumn("main", F.max(F.struct("size", "component")).over(by)["component"]) \
+        .withColumn("several", F.min("component").over(by) != F.max("component").over(by)).where("several").drop("size", "several")
+    own = own.join(sketches.withColumnRenamed("id", "rep"), "rep", "left")
     # two members of a group share many combinations: of two lists that both are in, the later one leaves them out
-    before = F.collect_list("key").over(Window.partitionBy("rep").orderBy("key").rowsBetween(-8, -1))
-    own = own.where("place < 0").withColumn("before", before) \
-        .unionByName(own.where("place >= 0").withColumn("before", F.lit(None).cast("array<bigint>")))
+    combined = F.col("place") < 0
+    earlier = Window.partitionBy("rep", combined).orderBy("key").rowsBetween(-8, -1)
+    own = own.withColumn("before", F.when(combined, F.collect_list("key").over(earlier)))
     x, y = own.where("component != main").alias("x"), own.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") \
-        & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
+        & near_enough("x", "y") & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
     pairs = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -307,7 +328,10 @@ def similarity_join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
                    "lists")
     tested = staged(typical_pairs(lists), "pairs")
     links = staged(verify(df, tested, text_col, id_col), "links")
-    more = staged(crossing_pairs(lists, connected(links), tested), "pairs")
+    # an id of several rows has no bitmap
+    sketches = described.where("id IS NOT NULL AND token IS NULL").groupBy("id") \
+        .agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch"))
+    more = staged(crossing_pairs(lists, connected(links), tested, sketches), "pairs")
     links = staged(links.unionByName(verify(df, more, text_col, id_col)), "links")
     out = classes.join(connected(links).withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
