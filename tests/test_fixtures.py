@@ -110,6 +110,15 @@ def test_manifest_parsing(make_files):
                    ("lodash", "4.17.19", False), ("range", "1.2.3", False)]
 
 
+def test_broken_manifest_counts_for_nothing(make_files):
+    files = make_files([("p", "/package.json", '{"dependencies": {"react": "18.0.0"}, bad'), ("p", "/turbo.json", "{}"),
+                        ("q", "/package.json", ""), ("r", "/package.json", "[1]")])
+    assert deps.packages_from_manifests(files).count() == 0
+    assert {r.project: r.dependencies_checked for r in deps.dependencies_checked(files).collect()} == {"p": 0, "q": 0, "r": 0}
+    for r in project_context(files).collect():
+        assert r.language == [] and r.frameworks == [] and not r.is_monorepo
+
+
 def test_triage_priority_and_score(make_files):
     files = make_files([("demo", "/src/server.js", SERVER_JS), ("demo", "/Dockerfile", DOCKERFILE)])
     plan = ScanPlan(files, scanners=("sast", "secrets", "iac"))

@@ -30,11 +30,13 @@ def test_markdown_and_csv_sinks(spark):
     t = triage.dedup_flags(triage.apply_context(c.findings, c.context))
     out = tempfile.mkdtemp(prefix="vigil-sink-")
     md = os.path.join(out, "md")
-    reports.write_markdown(reports.markdown_lines(t, metrics.security_scores(t)), md)
+    reports.write_markdown(reports.markdown_lines(t, metrics.report_scores(t)), md)
     text = spark.read.text(md).where(F.col("project") == "src0")
     lines = [r.value for r in spark.read.text(os.path.join(md, "project=src0")).collect()]
     assert lines[0] == "# Security Scan Report"
     assert text.count() > 20
+    assert sum(" noise reduction applied — " in x for x in lines) == 1 and lines.count("## Details") == 1
+    assert lines.index("## Details") < min(i for i, x in enumerate(lines) if x.startswith("### ") and "/100" not in x)
     csv = os.path.join(out, "csv")
     reports.write_csv(t.where(metrics.is_active()), csv)
     back = spark.read.option("header", True).csv(csv)

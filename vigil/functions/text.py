@@ -15,6 +15,12 @@ def js_trim(x) -> Column:
     return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
 
 
+def json_object(content, schema) -> Column:
+    """``from_json`` of a text that is a whole JSON object; null for a broken one, of which
+    ``from_json`` alone keeps what it could read."""
+    return F.when(F.json_object_keys(_c(content)).isNotNull(), F.from_json(_c(content), schema))
+
+
 def basename(path) -> Column:
     return F.element_at(F.split(_c(path), "/"), -1)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import json_object
 from ..sources.files import root_file
 
 # Fixed values that must equal the reference's for right results.
@@ -54,7 +55,7 @@ def _exists(paths: list[str]):
 
 
 def parse_manifest(content) -> "F.Column":
-    return F.from_json(content, MANIFEST_SCHEMA)
+    return json_object(content, MANIFEST_SCHEMA)
 
 
 def project_context(files: DataFrame) -> DataFrame:

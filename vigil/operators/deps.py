@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import js_trim
+from ..functions.text import js_trim, json_object
 from ..schemas import conform
 from ..sources.files import root_file
 
@@ -41,7 +41,7 @@ def clean_npm_version(spec: Column) -> Column:
 
 def npm_packages(files: DataFrame, manifest_path: str = "/package.json") -> DataFrame:
     m = root_file(files, manifest_path).select(
-        "project", F.from_json("content", MANIFEST).alias("m"))
+        "project", json_object("content", MANIFEST).alias("m"))
     parts = []
     for col, dev in (("dependencies", False), ("devDependencies", True)):
         e = m.select("project", F.explode(F.col(f"m.{col}")).alias("name", "spec"))
@@ -75,7 +75,7 @@ def packages_from_manifests(files: DataFrame) -> DataFrame:
 
 def dependencies_checked(files: DataFrame) -> DataFrame:
     """Per project: keys of dependencies + devDependencies (npm only, before cleaning)."""
-    m = root_file(files, "/package.json").select("project", F.from_json("content", MANIFEST).alias("m"))
+    m = root_file(files, "/package.json").select("project", json_object("content", MANIFEST).alias("m"))
     # size(null) is -1 in legacy mode; guard explicitly
     n = (F.when(F.col("m.dependencies").isNull(), 0).otherwise(F.size("m.dependencies"))
          + F.when(F.col("m.devDependencies").isNull(), 0).otherwise(F.size("m.devDependencies"))).cast("long")

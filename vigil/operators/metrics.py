@@ -42,6 +42,14 @@ def security_scores(triaged: DataFrame, keys=("project",)) -> DataFrame:
     return with_score(severity_counts(triaged, keys))
 
 
+def report_scores(triaged: DataFrame) -> DataFrame:
+    """``security_scores`` with what a report says about noise, in the same aggregate."""
+    counts = triaged.groupBy("project").agg(
+        *severity_count_aggs(), F.count_if(is_active()).cast("long").alias("total"),
+        F.count(F.lit(1)).alias("raw_findings"), F.count_if(_truthy(F.col("auto_ignored"))).alias("auto_ignored"))
+    return with_score(counts).withColumn("noise_reduction_percent", noise_reduction(F.col("raw_findings"), F.col("total")))
+
+
 def ci_gate(triaged: DataFrame, fail_on=("critical", "high")) -> DataFrame:
     """Per project: pass / fail when any active finding has a listed severity."""
     eff = effective_severity()

@@ -115,8 +115,8 @@ def status_of(triaged: DataFrame) -> Column:
 
 
 def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
-    """Report rows: part 0 header, 1 findings table (all active findings),
-    2 details (first 20), with their sort keys (severity rank, path, line,
+    """Report rows from triaged findings and their ``metrics.report_scores``: part 0 header,
+    1 findings table (all active findings), 2 details (heading, first 20), with their sort keys (severity rank, path, line,
     rule, id); ``write_markdown`` writes them in order per project. No
     per-project window over all findings: the table part is ordered by a
     global sort, the details by a bounded top-n."""
@@ -135,6 +135,9 @@ def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
                     F.concat(F.lit("| 🔵 Low | "), F.col("low").cast("string"), F.lit(" |")),
                     F.concat(F.lit("| ⚪ Info | "), F.col("info").cast("string"), F.lit(" |")),
                     F.concat(F.lit("| **Total** | **"), F.col("total").cast("string"), F.lit("** |")),
+                    F.lit(""),
+                    F.concat(F.lit("> "), F.col("noise_reduction_percent").cast("string"), F.lit("% noise reduction applied — "),
+                             F.col("auto_ignored").cast("string"), F.lit(" findings auto-suppressed")),
                     F.lit(""), F.lit("## Findings"), F.lit(""),
                     F.lit("| Severity | Scanner | Rule | File | Line | Message |"),
                     F.lit("|----------|---------|------|------|------|---------|")).alias("text"))
@@ -153,7 +156,10 @@ def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:
         F.when(F.length("snippet") > 0, F.concat_ws("\n", F.lit("```"), F.col("snippet"), F.lit("```"), F.lit(""))),
         F.when(F.length("fix_suggestion") > 0, F.concat(F.lit("**Fix:** "), F.col("fix_suggestion"), F.lit("\n"))),
         F.lit("---"), F.lit("")).alias("text"))
-    header = header.select("project", "part", F.lit(None).cast("int").alias("sev_rank"),
+    # without keys: before the findings of its part
+    heading = scores.select("project", F.lit(2).alias("part"), F.lit("\n## Details\n").alias("text"))
+    header = header.select("project", "part", "text").unionByName(heading).select(
+        "project", "part", F.lit(None).cast("int").alias("sev_rank"),
                            F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"),
                            F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("id"), "text")
     return header.unionByName(table).unionByName(details)
@@ -171,9 +177,19 @@ def write_markdown(lines: DataFrame, out_dir: str) -> None:
      .write.mode("overwrite").partitionBy("project").text(out_dir))
 
 
-def json_summary(summary: DataFrame) -> DataFrame:
-    """One JSON document per project (the whole-result JSON, per project)."""
-    return summary.select("project", F.to_json(F.struct(*[F.col(c) for c in summary.columns])).alias("json"))
+#: What the JSON output says of a finding.
+JSON_FINDING = ["id", "scanner", "rule", "severity", "confidence", "path", "line", "message", "cwe", "owasp", "snippet",
+                "fix_suggestion", "contextual_severity", "auto_ignored", "auto_ignore_reason", "is_duplicate", "duplicate_of"]
+
+
+def json_lines(triaged: DataFrame, summary: DataFrame) -> DataFrame:
+    """The whole result as JSON lines: a summary per project and a line per finding, ignored ones and
+    duplicates too (no document per project: a project may hold a third of all findings)."""
+    keep = {"ignoreNullFields": "false"}
+    total = summary.select("project", F.lit("summary").alias("kind"),
+                           F.to_json(F.struct(*[F.col(c) for c in summary.columns]), keep).alias("json"))
+    return total.unionByName(triaged.select("project", F.lit("finding").alias("kind"),
+                                            F.to_json(F.struct(*JSON_FINDING), keep).alias("json")))
 
 
 def write_csv(findings: DataFrame, out_dir: str) -> None:
@@ -187,12 +203,12 @@ def cwe_resources(spark) -> DataFrame:
     return spark.createDataFrame(rows, "cwe string, url string")
 
 
-def finding_lookup(findings: DataFrame, ids: DataFrame) -> DataFrame:
-    """Findings by id with their CWE resource links (left join to the fixed
-    six-row table, broadcast: bounded by construction)."""
+def finding_lookup(findings: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Findings (with ``ids``: those) with their CWE resource links (left join to
+    the fixed six-row table, broadcast: bounded by construction)."""
     spark = findings.sparkSession
     res = cwe_resources(spark).groupBy("cwe").agg(F.sort_array(F.collect_list("url")).alias("resources"))
-    hit = findings.join(ids, "id", "left_semi")
+    hit = findings if ids is None else findings.join(ids, "id", "left_semi")
     return hit.join(F.broadcast(res), "cwe", "left").withColumn(
         "resources", F.coalesce(F.col("resources"), F.array().cast("array<string>")))
 

@@ -606,15 +606,13 @@ oracle("severity_rank", f"SELECT id, {O.sev_rank('severity')} AS severity_rank F
 
 @query("finding_lookup", "2.2")
 def _(spark, sf):
-    t = _tri(spark, sf)
-    ids = t.where(M.is_active()).select("id")
-    r = RP.finding_lookup(t, ids)
-    return r.select("id", "cwe", "fix_suggestion", F.array_join("resources", " ").alias("resources"))
+    r = RP.finding_lookup(_tri(spark, sf).where(M.is_active()))
+    return r.select("id", "cwe", "message", "description", "fix_suggestion", F.array_join("resources", " ").alias("resources"))
 
 
 def _lookup_sql():
     vals = ", ".join(f"({O.q(k)}, {O.q(' '.join(sorted(v)))})" for k, v in RP.CWE_RESOURCES.items())
-    return (f"SELECT t.id, t.cwe, t.fix_suggestion, coalesce(r.res, '') AS resources FROM fv_triaged t "
+    return (f"SELECT t.id, t.cwe, t.message, t.description, t.fix_suggestion, coalesce(r.res, '') AS resources FROM fv_triaged t "
             f"LEFT JOIN (SELECT * FROM (VALUES {vals}) v(cwe, res)) r ON t.cwe = r.cwe WHERE {ACT}")
 
 
@@ -627,20 +625,32 @@ ORACLE["finding_lookup"] = lambda: O.with_ctes(_lookup_sql(), ["fv_triaged"])
 
 @query("sink_json", "2.1")
 def _(spark, sf):
-    s = M.security_scores(_tri(spark, sf)).select("project", "critical", "high", "medium", "low", "info", "total",
-                                                  "security_score", "grade")
-    return RP.json_summary(s)
+    t = _tri(spark, sf)
+    s = M.report_scores(t).select(*_SUMMARY)
+    return RP.json_lines(t, s)
+
+
+_SUMMARY = ["project", "critical", "high", "medium", "low", "info", "total", "raw_findings", "auto_ignored",
+            "noise_reduction_percent", "security_score", "grade"]
+_REPORT = _with_score(
+    f"SELECT project, {O.sev_counts_select()}, CAST(count(*) FILTER (WHERE {ACT}) AS BIGINT) AS total, count(*) AS raw_findings, "
+    "count(*) FILTER (WHERE coalesce(auto_ignored, false)) AS auto_ignored, "
+    f"CAST(floor((count(*) - count(*) FILTER (WHERE {ACT}))::DOUBLE / count(*) * 100 + 0.5) AS INTEGER) AS noise_reduction_percent "
+    "FROM fv_triaged GROUP BY project")
+
+
+def _json_sql(cols):
+    return "CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in cols) + "}) AS VARCHAR) AS json"
 
 
-oracle("sink_json", "SELECT project, CAST(to_json({'project': project, 'critical': critical, 'high': high, 'medium': medium, "
-       "'low': low, 'info': info, 'total': total, 'security_score': security_score, 'grade': grade}) AS VARCHAR) AS json FROM ("
-       + _with_score(_COUNTS) + ")", ["fv_triaged"])
+oracle("sink_json", f"SELECT project, 'summary' AS kind, {_json_sql(_SUMMARY)} FROM ({_REPORT}) UNION ALL "
+       f"SELECT project, 'finding' AS kind, {_json_sql(RP.JSON_FINDING)} FROM fv_triaged", ["fv_triaged"])
 
 
 @query("sink_markdown", "2.1")
 def _(spark, sf):
     t = _tri(spark, sf)
-    return RP.markdown_lines(t, M.security_scores(t))
+    return RP.markdown_lines(t, M.report_scores(t))
 
 
 def _markdown_sql():
@@ -653,8 +663,9 @@ def _markdown_sql():
               "'| 🔴 Critical | ' || CAST(critical AS VARCHAR) || ' |', '| 🟠 High | ' || CAST(high AS VARCHAR) || ' |', "
               "'| 🟡 Medium | ' || CAST(medium AS VARCHAR) || ' |', '| 🔵 Low | ' || CAST(low AS VARCHAR) || ' |', "
               "'| ⚪ Info | ' || CAST(info AS VARCHAR) || ' |', '| **Total** | **' || CAST(total AS VARCHAR) || '** |', "
-              "'', '## Findings', '', '| Severity | Scanner | Rule | File | Line | Message |', "
-              f"'|----------|---------|------|------|------|---------|') AS text FROM ({_with_score(_COUNTS)})")
+              "'', '> ' || CAST(noise_reduction_percent AS VARCHAR) || '% noise reduction applied — ' || CAST(auto_ignored AS VARCHAR) "
+              "|| ' findings auto-suppressed', '', '## Findings', '', '| Severity | Scanner | Rule | File | Line | Message |', "
+              f"'|----------|---------|------|------|------|---------|') AS text FROM ({_REPORT})")
     ranked = (f"SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_ORDER}) AS rank FROM fv_triaged WHERE {ACT}")
     keys = f"{O.sev_rank(EFF)} AS sev_rank, path, line, rule, id"
     table = (f"SELECT project, 1 AS part, {keys}, '| ' || {emoji} || ' ' || {EFF} || ' | ' || scanner || ' | `' || rule || '` | `' || "
@@ -667,7 +678,10 @@ def _markdown_sql():
     header = header.replace("SELECT project, 0 AS part, 0 AS rank,", "SELECT project, 0 AS part, CAST(NULL AS INTEGER) AS sev_rank, "
                             "CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS rule, "
                             "CAST(NULL AS VARCHAR) AS id,")
-    return f"{header} UNION ALL {table} UNION ALL {details}"
+    heading = ("SELECT project, 2 AS part, CAST(NULL AS INTEGER) AS sev_rank, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, "
+               "CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS id, chr(10) || '## Details' || chr(10) AS text "
+               "FROM (SELECT DISTINCT project FROM fv_triaged)")
+    return f"{header} UNION ALL {heading} UNION ALL {table} UNION ALL {details}"
 
 
 ORACLE["sink_markdown"] = lambda: O.with_ctes(_markdown_sql(), ["fv_triaged"])
