@@ -3,6 +3,7 @@ configuration, dependencies and reachability."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.entropy import is_placeholder, mask_value, shannon_entropy
@@ -467,19 +468,25 @@ def _(spark, sf):
         F.count_if(F.col("worst").isNotNull()).alias("vulnerable"),
         F.count_if(F.col("worst") == 5).alias("critical"), F.count_if(F.col("worst") == 4).alias("high"),
         F.count_if(F.col("worst") == 3).alias("medium"), F.count_if(F.col("worst") <= 2).alias("low"))
+    # the report's list: the five worst packages, by name within a severity
+    worst_first = Window.partitionBy("project").orderBy(F.desc("worst"), "name")
+    top = per_pkg.withColumn("rank", F.row_number().over(worst_first)).where("rank <= 5").groupBy("project").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("rank", "name")))["name"], ", ").alias("top_vulnerable"))
+    agg = agg.join(top, "project", "left").withColumn("top_vulnerable", F.coalesce("top_vulnerable", F.lit("")))
     return agg.select("project", "total", "vulnerable", (F.col("total") - F.col("vulnerable")).alias("safe"),
                       F.when(F.col("total") > 0, F.floor(F.lit(0.5) + (F.col("total") - F.col("vulnerable")) * 100.0
                                                          / F.col("total"))).otherwise(100).cast("int").alias("percent_healthy"),
-                      "critical", "high", "medium", "low")
+                      "critical", "high", "medium", "low", "top_vulnerable")
 
 
 oracle("dep_health",
-       "SELECT project, total, vulnerable, total - vulnerable AS safe, "
+       "SELECT project, total, vulnerable, top_vulnerable, total - vulnerable AS safe, "
        "CAST(CASE WHEN total > 0 THEN floor(0.5 + (total - vulnerable) * 100.0::DOUBLE / total) ELSE 100 END AS INTEGER) AS percent_healthy, "
        "critical, high, medium, low FROM (SELECT project, count(*) AS total, count(worst) AS vulnerable, "
        "count(*) FILTER (WHERE worst = 5) AS critical, count(*) FILTER (WHERE worst = 4) AS high, "
-       "count(*) FILTER (WHERE worst = 3) AS medium, count(*) FILTER (WHERE worst <= 2) AS low FROM ("
-       "SELECT p.project, p.name, v.worst FROM (SELECT DISTINCT project, name FROM packages) p LEFT JOIN ("
+       "count(*) FILTER (WHERE worst = 3) AS medium, count(*) FILTER (WHERE worst <= 2) AS low, "
+       "coalesce(string_agg(name, ', ' ORDER BY worst DESC, name) FILTER (WHERE worst IS NOT NULL AND nth <= 5), '') AS top_vulnerable FROM ("
+       "SELECT p.project, p.name, v.worst, row_number() OVER (PARTITION BY p.project ORDER BY v.worst DESC NULLS LAST, p.name) AS nth FROM (SELECT DISTINCT project, name FROM packages) p LEFT JOIN ("
        "SELECT project, package_name AS name, max(CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 "
        "WHEN 'low' THEN 2 ELSE 1 END) AS worst FROM sca_raw GROUP BY ALL) v ON p.project = v.project AND p.name = v.name) GROUP BY project)",
        ["packages", "sca_raw"])
