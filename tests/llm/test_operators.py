@@ -98,6 +98,53 @@ def test_lm_score(spark, docs, empty):
     assert lm.score(docs, nothing, none).count() == docs.count() and lm.score(empty, model, counts).count() == 0
 
 
+def test_lm_classes_follow_contexts_beyond_units(spark):
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(f"the n{min(rng.integers(0, 40, 2))}x a v{min(rng.integers(0, 40, 2))}x" for _ in range(30))) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    for head in (20, 80):  # most of the rare words out of the head, and none
+        model, table = lm.train(df, head=head, units=14, buckets=1, classes=5)
+        of = {bytes(r.word): r["class"] for r in table.collect()}
+        words = Counter(w for _, t in texts for w in t.encode().split())
+        assert {bytes(r.word): r.n for r in table.collect()} == words
+        assert len({of[w] for w in sorted(words, key=lambda w: (-words[w], w))[14:]}) > 1  # all in one bucket
+        moves = np.zeros((6, 6))
+        for _, t in texts:
+            path = [5, *(of[w] for w in t.encode().split()), 5]
+            np.add.at(moves, (path[:-1], path[1:]), 1)
+        share = (moves.sum(axis=0) + 0.1) / (moves.sum() + 0.6)
+        assert np.allclose(model.moves, np.log10((moves + 5 * share) / (moves.sum(axis=1, keepdims=True) + 5)))
+        size = Counter([5, *of.values()])
+        emits = np.log10(moves.sum(axis=0) + 0.1 * (np.array([size[c] for c in range(6)]) + 1))
+        got = {r.doc_id: r.score for r in lm.score(df, model, table).collect()}
+        for i, t in texts:
+            w = t.encode().split()
+            path = [5, *(of[x] for x in w), 5]
+            want = sum(np.log10(words[x] + 0.1) for x in w) + np.log10(20.1) + model.moves[path[:-1], path[1:]].sum() - emits[path[1:]].sum()
+            assert abs(got[i] - want) < 1e-6
+
+
+def test_lm_gains_are_those_of_a_move():
+    rng = np.random.default_rng(4)
+    rest = rng.integers(1, 40, (6, 6)).astype(float)
+    before, after, old = {3: 2, 5: 1}, {3: 1, 4: 2}, 0  # of a word in class 0, by neighbour class
+
+    def moved(c):
+        t = rest.copy()
+        for d, n in before.items():
+            t[d, c] += n
+        for d, n in after.items():
+            t[c, d] += n
+        return t
+    worth = lambda t: lm.h(t).sum() - lm.h(t.sum(axis=1)).sum() - lm.h(t.sum(axis=0)).sum()
+    got = lm.gains(np.zeros(4, dtype=np.int64), np.array([3, 5, 9, 10]), np.array([2.0, 1, 1, 2]), np.array([old]), moved(old))[0]
+    assert np.allclose(got[:3] - got[old], [worth(moved(c)) - worth(moved(old)) for c in range(3)])
+
+
+def test_lm_units_and_classes_grow():
+    assert lm.units_for(10**7) > lm.units_for(10**4) and lm.classes_for(10**7) > lm.classes_for(10**5)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     counts = np.zeros((9, 9))

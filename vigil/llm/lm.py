@@ -3,20 +3,27 @@
 Words are put into classes by exchange clustering, and a text is scored by a
 class bigram: P(word | before) = P(class | class before) P(word | class).
 
-Counting reads all training texts twice. The first pass counts words; the
-``head`` most frequent (a bounded list) are then known to every task. The
-second pass counts bigrams of *units*: the ``units`` most frequent words, and
-for all other words one of ``buckets`` groups by their last three bytes, so
-that every word, known or not, has a unit. The unit bigrams are a table of at
-most (units + buckets + 2)**2 sums, whatever the corpus' size; on it the
-exchange runs on the driver: each unit in turn moves to the class that raises
-the bigram likelihood most, until no sweep moves one or ``sweeps`` are done.
-
-Scoring reads every text once. Class transitions, and counts of head words,
-are summed where the text is read. All other words go out as (word, document,
-times) and meet the table of word counts in a join, so no table of the whole
-vocabulary is ever sent to tasks; head words are those that would be its hot
-keys.
+Training reads all texts four times. The first pass counts words; the ``head``
+most frequent (a bounded list) are then known to every task. The second counts
+bigrams of *units*: the most frequent words, and for all other words one of
+``buckets`` groups by their last three bytes. On that table, of at most
+(units + buckets + 1)**2 sums, the exchange runs on the driver: each unit in
+turn moves to the class that raises the bigram likelihood most, until no sweep
+moves one or ``sweeps`` are done. The third pass counts, for every word that is
+not a unit, the classes on both its sides; each such word then gets, in a Spark
+task, the class in which these counts raise the likelihood most, while its
+neighbours keep the classes of the exchange. The fourth counts class bigrams
+under the classes found. Units and classes grow with the vocabulary
+(``units_for``, ``classes_for``).
+
+The classes of all words are a table. Head words have theirs in every task; all
+others meet it in a join, in training as (word, class beside it, times) and in
+scoring as (word, document, places), so no table of the whole vocabulary is
+ever sent to tasks; head words are those that would be its hot keys. A word
+never seen in training has its bucket's class.
+
+Scoring reads every text once, and then a path of classes for each, completed
+by the classes that the join found.
 
 Smoothing: transitions are mixed with the next class's share (weight
 ``PRIOR`` counts); a word's share of its class has ``DELTA`` added, with one
@@ -29,10 +36,12 @@ empty model, and so is the score.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +55,18 @@ DELTA, PRIOR = 0.1, 5.0
 HEAD, UNITS, BUCKETS, CLASSES, SWEEPS = 1 << 17, 1024, 128, 48, 12
 #: Most different words that a task counts before it hands its counts on.
 FLUSH = 300_000
+FIELDS = ["word", "after", "code", "n"]
+#: Most context counts of head words that a task holds, and that are weighed at once.
+HELD, WEIGHED = 2_000_000, 20_000
+
+
+def units_for(words: int) -> int:
+    """Units of a vocabulary: their table of bigrams has to fit a task."""
+    return min(4 * UNITS, max(UNITS, math.isqrt(words)))
+
+
+def classes_for(words: int) -> int:
+    return max(CLASSES, round(words ** 0.3))
 
 
 def bucket_of(word: bytes, buckets: int) -> int:
@@ -76,6 +97,10 @@ def count_words(df: DataFrame, text_col: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def h(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
+
+
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes for the units of a square table of bigram counts; the last unit, the
     text's border, stays alone in the last class. Maximises the sum of n log n over class
@@ -92,9 +117,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     right, left = bigrams @ member, bigrams.T @ member  # unit before class, class before unit
     table = member.T @ right
 
-    def h(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-12))
-
     ids = np.arange(classes)
     for _ in range(sweeps):
         moved = 0
@@ -134,15 +156,32 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
+def gains(at: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Likelihood gain of each class for each word, its neighbours' classes held: ``at`` (rising, no
+    word left out) is the word of a context count, ``code`` the class before it, or the number of
+    classes and the class after it, ``n`` the times. ``old`` is the class that ``table``, of class
+    bigrams, has the word in."""
+    k = len(table)
+    beside = np.concatenate([table[:, :k - 1], table.T[:, :k - 1]])[code]
+    beside[np.arange(len(at)), old[at]] -= n
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.add.reduceat(h(beside + n[:, None]) - h(beside), starts)
+    times = np.add.reduceat(np.where(code < k, n, 0.0), starts)
+    for sums in (table.sum(axis=1), table.sum(axis=0)):
+        rest = np.repeat(sums[None, :k - 1], len(old), axis=0)
+        rest[np.arange(len(old)), old] -= times
+        out -= h(rest + times[:, None]) - h(rest)
+    return out
+
+
 @dataclass
 class Model:
     """What every task needs, of a size that the parameters bound."""
 
     head: list[bytes]        # most frequent words, by count
     counts: np.ndarray       # theirs
-    units: int               # the first of them are units of their own
-    buckets: int
-    classes: np.ndarray      # of each unit; the border last
+    head_class: np.ndarray   # theirs
+    unknown: np.ndarray      # class of each bucket of words not known, then the border's
     moves: np.ndarray        # log10 P(class | class before)
     emits: np.ndarray        # log10 of the denominator of P(word | class), by class
     tokens: int              # N, ends included
@@ -150,12 +189,150 @@ class Model:
     ends: int                # training texts
 
 
-def train(df: DataFrame, text_col: str = "text", head: int = HEAD, units: int = UNITS, buckets: int = BUCKETS,
-          classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model, and the staged table of the counts of all words."""
+def contexts(df: DataFrame, text_col: str, head: list[bytes], look: np.ndarray, first: int) -> DataFrame:
+    """Counts of what stands side by side. ``look`` has the classes of the ``head`` words, then of
+    each bucket of other words, then the border's; -1 is a class not known. Rows are
+
+    * word, code, n for words other than the ``first`` of the head: ``code`` is the class before the
+      word, or the number of classes and the class after it; sides not known are left out;
+    * word, after, n for two words in turn with classes not known;
+    * code, n for two known classes in turn: the first times the number of classes, and the second.
+    """
+    sent = df.sparkSession.sparkContext.broadcast((head, look))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, look = sent.value
+        size, k = len(words), int(look[-1]) + 1
+        buckets, border = len(look) - size - 1, len(look) - 1
+        get = {w: i for i, w in enumerate(words)}.get
+        other: dict[bytes, int] = {}
+        table = np.zeros(k * k, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        beside: Counter = Counter()
+        turns: Counter = Counter()
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, where = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return keys, np.bincount(where, np.concatenate([y for _, y in held])).astype(np.int64)
+
+        def rows(word: pa.Array, after: pa.Array | None, code: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
+            none = pa.nulls(len(n), pa.binary())
+            return pa.RecordBatch.from_arrays([word, none if after is None else after,
+                                               pa.nulls(len(n), pa.int32()) if code is None else code, n], FIELDS)
+
+        def written(some: Counter, two: bool) -> Iterator[pa.RecordBatch]:
+            items = iter(some.items())
+            while part := list(islice(items, 1 << 15)):
+                second = pa.array([b for (_, b), _ in part], pa.binary() if two else pa.int32())
+                yield rows(pa.array([w for (w, _), _ in part], pa.binary()), second if two else None,
+                           None if two else second, pa.array([n for _, n in part], pa.int64()))
+            some.clear()
+
+        def written_head() -> Iterator[pa.RecordBatch]:
+            keys, n = merged()
+            names = pa.array(words, pa.binary())
+            for a in range(0, len(keys), 1 << 16):
+                part = keys[a:a + (1 << 16)]
+                yield rows(names.take(pa.array(part // (2 * k))), None, pa.array((part % (2 * k)).astype(np.int32)),
+                           pa.array(n[a:a + (1 << 16)]))
+            held.clear()
+
+        for batch in batches:
+            for _, texts in pieces(batch, "text"):
+                ids, at, far = [border], [], []
+                for text in texts:
+                    for w in text.lower().split():
+                        i = get(w)
+                        if i is None:
+                            at.append(len(ids))
+                            far.append(w)
+                            i = other.get(w[-3:])
+                            if i is None:
+                                i = other[w[-3:]] = size + bucket_of(w, buckets)
+                        ids.append(i)
+                    ids.append(border)
+                line = np.array(ids, dtype=np.int64)
+                path = look[line]
+                known = (path[:-1] >= 0) & (path[1:] >= 0)
+                table += np.bincount((path[:-1] * k + path[1:])[known], minlength=k * k)
+                own = np.flatnonzero((line >= first) & (line < size))
+                if len(own):
+                    held.append(np.unique(np.concatenate([line[own] * 2 * k + path[own - 1], line[own] * 2 * k + k + path[own + 1]]),
+                                          return_counts=True))
+                place = np.array(at, dtype=np.int64)
+                before, after = path[place - 1], path[place + 1]
+                beside.update(p for p in zip(far, before.tolist(), strict=True) if p[1] >= 0)
+                beside.update((w, k + c) for w, c in zip(far, after.tolist(), strict=True) if c >= 0)
+                turns.update((far[j], far[j + 1]) for j in np.flatnonzero(after < 0).tolist())
+                if len(held) > 16:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield from written_head()
+                if len(beside) + len(turns) > FLUSH:
+                    yield from written(beside, False)
+                    yield from written(turns, True)
+        yield from written(beside, False)
+        yield from written(turns, True)
+        if held:
+            yield from written_head()
+        at = np.flatnonzero(table)
+        yield rows(pa.nulls(len(at), pa.binary()), None, pa.array(at.astype(np.int32)), pa.array(table[at]))
+
+    return map_batches(df.select(text_bytes(text_col).alias("text")), run, "word binary, after binary, code int, n bigint")
+
+
+def assigned(found: DataFrame, table: np.ndarray, unknown: np.ndarray) -> DataFrame:
+    """word, n, class from the words' context counts: the class of the largest gain, the old one if none is larger."""
+    sums = found.where("word IS NOT NULL").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    rows = sums.groupBy("word").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(table)
+        for batch in batches:
+            words, codes, counts = batch.column("word").to_pylist(), batch.column("code"), batch.column("n")
+            many = codes.value_lengths().to_numpy()
+            ends = np.cumsum(many)
+            code, n = codes.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
+            old = np.array([unknown[bucket_of(w, len(unknown) - 1)] for w in words], dtype=np.int64)
+            new, a = old.copy(), 0
+            while a < len(words):
+                start = int(ends[a] - many[a])
+                b = max(a + 1, int(np.searchsorted(ends, start + WEIGHED, side="right")))
+                at = np.repeat(np.arange(b - a), many[a:b])
+                gain = gains(at, code[start:ends[b - 1]], n[start:ends[b - 1]], old[a:b], table)
+                best, each = gain.argmax(axis=1), np.arange(b - a)
+                new[a:b] = np.where(gain[each, best] > gain[each, old[a:b]], best, old[a:b])
+                a = b
+            times = np.add.reduceat(np.where(code < k, n, 0.0), ends - many) if len(words) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(times.astype(np.int64)),
+                                              pa.array(new.astype(np.int32))], ["word", "n", "class"])
+
+    return map_batches(rows, run, "word binary, n bigint, class int")
+
+
+def class_bigrams(found: DataFrame, table: DataFrame, k: int) -> np.ndarray:
+    """Counts of two classes in turn, all words' classes known: ``found`` of ``contexts``, the other words' from ``table``."""
+    of = table.select("word", F.col("class").alias("__of"))
+    lone = found.where("word IS NOT NULL AND after IS NULL").join(of, "word")
+    side = F.pmod(F.col("code"), F.lit(k))
+    lone = lone.select(F.when(F.col("code") < k, side * k + F.col("__of")).otherwise(F.col("__of") * k + side).alias("code"), "n")
+    both = found.where("after IS NOT NULL").select("word", "after", "n").join(of, "word").select("after", F.col("__of").alias("__left"), "n")
+    both = both.join(of.withColumnRenamed("word", "after"), "after").select((F.col("__left") * k + F.col("__of")).alias("code"), "n")
+    sums = (found.where("word IS NULL").select("code", "n").unionByName(lone).unionByName(both)
+            .groupBy("code").agg(F.sum("n").alias("n")).toArrow())
+    out = np.zeros(k * k)
+    out[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(k, k)
+
+
+def train(df: DataFrame, text_col: str = "text", head: int = HEAD, units: int | None = None, buckets: int = BUCKETS,
+          classes: int | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the staged table of all words with their counts and classes."""
+    spark = df.sparkSession
     counts = staged(count_words(df, text_col), "word-counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = df.count()
+    units, classes = units or units_for(totals[1]), classes or classes_for(totals[1])
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     words = [bytes(r[0]) for r in top]
     own = min(units, len(words))
@@ -191,22 +368,27 @@ def train(df: DataFrame, text_col: str = "text", head: int = HEAD, units: int =
     k = classes + 1
     member = np.zeros((size, k))
     member[np.arange(size), of] = 1
-    moves = member.T @ bigrams @ member
-    share = (moves.sum(axis=0) + DELTA) / (moves.sum() + DELTA * k)
+    # every other word by its own contexts; those of the head have their bucket's class until then
+    unknown = of[own:]
+    look = np.concatenate([of[:own], np.array([unknown[bucket_of(w, buckets)] for w in words[own:]], dtype=np.int64), unknown])
+    rest = assigned(contexts(df, text_col, words, look, own), member.T @ bigrams @ member, unknown)
+    first = spark.createDataFrame([(w, int(r[1]), int(c)) for w, r, c in zip(words[:own], top, of, strict=False)],
+                                  "word binary, n bigint, class int")
+    table = staged(first.unionByName(rest), "word-classes")
+    head_class = np.array([r[0] for r in table.orderBy(F.desc("n"), "word").limit(head).select("class").collect()], dtype=np.int64)
+    found = staged(contexts(df, text_col, words, np.concatenate([head_class, np.full(buckets, -1), unknown[-1:]]), len(words)),
+                   "class-contexts")
+    moves = class_bigrams(found, table, k)
+    into = moves.sum(axis=0)
+    share = (into + DELTA) / (moves.sum() + DELTA * k)
     moves = (moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR)
-    # different words by class: units one each, buckets as counted
-    tail = counts.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in words[:own]], "word binary")),
-                       "word", "left_anti") if own else counts
-    last = F.substring(F.col("word"), -3, 3)
-    per_bucket = dict(tail.groupBy(F.pmod(F.crc32(last), F.lit(buckets)).alias("b")).count().collect())
-    vocabulary = np.zeros(k)
-    vocabulary[of[-1]] = 1
-    np.add.at(vocabulary, of[:own], 1)
-    for b, n in per_bucket.items():
-        vocabulary[of[own + int(b)]] += n
-    emits = np.log10(bigrams.sum(axis=0) @ member + DELTA * (vocabulary + 1))
-    return Model(words, np.array([r[1] for r in top], dtype=np.float64), own, buckets, of, np.log10(moves), emits,
-                 int(totals[0]) + ends, int(totals[1]) + (1 if ends else 0), ends), counts
+    vocabulary = np.zeros(k)  # different words by class
+    vocabulary[-1] = 1
+    for c, n in table.groupBy("class").count().collect():
+        vocabulary[c] += n
+    emits = np.log10(into + DELTA * (vocabulary + 1))
+    return Model(words, np.array([r[1] for r in top], dtype=np.float64), head_class, unknown, np.log10(moves), emits,
+                 int(totals[0]) + ends, int(totals[1]) + (1 if ends else 0), ends), table
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -217,56 +399,67 @@ def score(df: DataFrame, model: Model, counts: DataFrame, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
-        classes = m.classes.tolist()
-        get = {w: i for i, w in enumerate(m.head)}.get
-        head_class = [classes[i] if i < m.units else classes[m.units + bucket_of(w, m.buckets)]
-                      for i, w in enumerate(m.head)]
+        get, buckets = {w: i for i, w in enumerate(m.head)}.get, len(m.unknown) - 1
+        head_class, unknown = m.head_class.tolist(), m.unknown.tolist()
         log_counts = np.log10(m.counts + DELTA)
-        log_end, border = float(np.log10(m.ends + DELTA)), classes[-1]
+        log_end, border = float(np.log10(m.ends + DELTA)), unknown[-1]
         key = TaskContext.get().partitionId() << 40  # a number for each row; the table is written once
         for batch in batches:
             out, tail = [], []
             for _, texts in pieces(batch, "text"):
                 for text in texts:
                     words = text.lower().split()
-                    rest: Counter = Counter()
+                    rest: dict[bytes, list[int]] = {}
                     path, known = [border], []
                     for w, i in zip(words, map(get, words), strict=True):
                         if i is None:
-                            rest[w] += 1
-                            path.append(classes[m.units + bucket_of(w, m.buckets)])
+                            rest.setdefault(w, []).append(len(path))
+                            path.append(unknown[bucket_of(w, buckets)])
                         else:
                             known.append(i)
                             path.append(head_class[i])
                     path.append(border)
-                    line = np.array(path, dtype=np.int64)
                     seen = float(log_counts[known].sum()) + log_end if known else log_end
-                    way = float(m.moves[line[:-1], line[1:]].sum() - m.emits[line[1:]].sum())
-                    out.append((key, len(words) + 1, len(known) + (m.ends > 0), seen, way))
-                    tail += [(key, w, n) for w, n in rest.items()]
+                    out.append((key, len(words) + 1, len(known) + (m.ends > 0), seen, np.array(path, dtype="<u2").tobytes()))
+                    tail += [(key, w, len(places), np.array(places, dtype="<u4").tobytes()) for w, places in rest.items()]
                     key += 1
             own = list(zip(*out, strict=True)) or [()] * 5
-            far = list(zip(*tail, strict=True)) or [()] * 3
-            none = len(tail)
+            far = list(zip(*tail, strict=True)) or [()] * 4
+            none, some = (None,) * len(tail), (None,) * len(out)
             yield pa.RecordBatch.from_arrays([
                 pa.array(own[0] + far[0], pa.int64()),
-                pa.concat_arrays([batch.column("id"), pa.nulls(none, batch.schema.field("id").type)]),
-                *[pa.array(own[i] + (None,) * none, t) for i, t in
-                  ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()))],
-                pa.array((None,) * len(out) + far[1], pa.binary()),
-                pa.array((None,) * len(out) + far[2], pa.int64())],
-                ["key", "id", "n_tokens", "n_known", "seen", "way", "word", "times"])
+                pa.concat_arrays([batch.column("id"), pa.nulls(len(tail), batch.schema.field("id").type)]),
+                *[pa.array(own[i] + none, t) for i, t in
+                  ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.binary()))],
+                pa.array(some + far[1], pa.binary()), pa.array(some + far[2], pa.int64()), pa.array(some + far[3], pa.binary())],
+                ["key", "id", "n_tokens", "n_known", "seen", "path", "word", "times", "places"])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = sent.value
+        for batch in batches:
+            way = []
+            for path, of, places in zip(*(batch.column(c) for c in ("path", "of", "places")), strict=True):
+                line = np.frombuffer(path.as_py(), "<u2").astype(np.int64)
+                for c, at in zip(of.as_py() or (), places.as_py() or (), strict=True):
+                    line[np.frombuffer(at, "<u4")] = c
+                way.append(float(m.moves[line[:-1], line[1:]].sum() - m.emits[line[1:]].sum()))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("id", "n_tokens", "n_known", "seen")], pa.array(way, pa.float64())],
+                ["id", "n_tokens", "n_known", "seen", "way"])
 
     kind = rows.schema["id"].dataType.simpleString()
     read = staged(map_batches(rows, run, f"key bigint, id {kind}, n_tokens bigint, n_known bigint, seen double, "
-                                       "way double, word binary, times bigint"), "lm-rows")
-    found = read.where("word IS NOT NULL").select("key", "word", "times").join(counts, "word", "left")
+                                       "path binary, word binary, times bigint, places binary"), "lm-rows")
+    found = read.where("word IS NOT NULL").select("key", "word", "times", "places").join(counts, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
+    of, places = (F.when(n > 0, F.col(c)) for c in ("class", "places"))
     tail = found.groupBy("key").agg(F.sum(F.col("times") * F.log10(n + F.lit(DELTA))).alias("more"),
-                                    F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    own = read.where("word IS NULL").drop("word", "times").join(tail, "key", "left")
-    seen = F.col("seen") + F.coalesce(F.col("more"), F.lit(0.0))
-    return own.select(
-        F.col("id").alias(id_col), "n_tokens",
-        (F.col("n_known") + F.coalesce(F.col("more_known"), F.lit(0))).cast("long").alias("n_known"),
-        (seen - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (seen + F.col("way")).alias("score"))
+                                    F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"),
+                                    F.collect_list(of).alias("of"), F.collect_list(places).alias("places"))
+    own = read.where("word IS NULL").drop("word", "times", "places").join(tail, "key", "left").select(
+        "id", "n_tokens", (F.col("n_known") + F.coalesce(F.col("more_known"), F.lit(0))).cast("long").alias("n_known"),
+        (F.col("seen") + F.coalesce(F.col("more"), F.lit(0.0))).alias("seen"), "path", "of", "places")
+    done = map_batches(own, walked, f"id {kind}, n_tokens bigint, n_known bigint, seen double, way double")
+    return done.select(F.col("id").alias(id_col), "n_tokens", "n_known",
+                       (F.col("seen") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+                       (F.col("seen") + F.col("way")).alias("score"))
