@@ -141,6 +141,19 @@ def test_lm_gains_are_those_of_a_move():
     assert np.allclose(got[:3] - got[old], [worth(moved(c)) - worth(moved(old)) for c in range(3)])
 
 
+def test_secrets_of_letters_and_beside_words():
+    enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    make = lambda signs, n: "".join(rng.choice(list(signs), n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for text in [*(make(letters, n) for n in (24, 32, 40) for _ in range(50)), *(make(letters + "0123456789", 20) for _ in range(50)),
+                 *("/services/notifications/incoming/" + make(letters + "0123456789", 24) for _ in range(50))]:
+        assert secrets.random_spans(text, enc, []) == [(0, len(text), "random")], text
+    for text in ("getUserAuthenticationTokenFactoryImpl", "com/example/service/HttpRequestHandlerAdapter", "a" * 30,
+                 "donaudampfschifffahrtsgesellschaft", "0123456789" * 3, "some_long_name/with_many_parts-and-2024"):
+        assert secrets.random_spans(text, enc, []) == [], text
+
+
 def test_lm_units_and_classes_grow():
     assert lm.units_for(10**7) > lm.units_for(10**4) and lm.classes_for(10**7) > lm.classes_for(10**5)
 

@@ -2,12 +2,17 @@
 
 Three patterns find assigned values, access keys and long hexadecimal runs.
 Beyond them, every run of at least ``MIN_CHARS`` characters of the base64 and
-URL alphabets that holds letters and digits is encoded with a byte-level BPE
+URL alphabets that holds letters is encoded with a byte-level BPE
 vocabulary: ordinary words give three to five characters a token, random
 strings hardly two. A run with fewer than ``MAX_RATIO`` characters a token is
 reported as ``random``, unless it is a known digest (hexadecimal, of a usual
-digest's length), a UUID, or an identifier (few changes between letters and
-digits, as in words with numbers), or meets a span found by a pattern.
+digest's length), a UUID, or an identifier, or meets a span found by a pattern.
+The parts of a run between ``/``, ``=``, ``_``, ``-`` and ``+`` of at least
+``MIN_CHARS`` are tested as well, so that words beside a random string don't
+hide it; the whole run is reported. A run, or part, is an identifier if it is
+made of words: cut at these signs, at digits and where the case rises, the
+pieces of letters with ``WORD_RATIO`` characters a token or more hold more
+than half of its characters.
 
 Defined results: null or empty text has no spans. Offsets are code points, end
 exclusive. Spans come by start, then kind in the order of ``KINDS``.
@@ -33,9 +38,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-MIN_CHARS, MAX_RATIO, MIN_CHANGES = 20, 2.2, 3
+MIN_CHARS, MAX_RATIO, WORD_RATIO = 20, 2.2, 2.5
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+PART = re.compile(r"[A-Za-z0-9]{20,}")
+WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
@@ -54,16 +60,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, k, b in sorted(out)]
 
 
+def is_random(word: str, enc: tiktoken.Encoding) -> bool:
+    if not any(c.isalpha() for c in word) or DIGEST.fullmatch(word) or UUID.fullmatch(word):
+        return False
+    if len(word) / len(enc.encode_ordinary(word)) >= MAX_RATIO:
+        return False
+    words = [w for w in WORD.findall(word) if len(w) >= 4 and len(w) / len(enc.encode_ordinary(w)) >= WORD_RATIO]
+    return 2 * sum(map(len, words)) <= len(word)
+
+
 def random_spans(text: str, enc: tiktoken.Encoding, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        word = m.group().strip("-_=/+") or m.group()
-        if len(word) < MIN_CHARS or len(CHANGE.findall(word)) < MIN_CHANGES:
+        if any(x < b and a < y for x, y, _ in taken):
             continue
-        if DIGEST.fullmatch(word) or UUID.fullmatch(word) or any(x < b and a < y for x, y, _ in taken):
+        word = m.group().strip("-_=/+") or m.group()
+        if DIGEST.fullmatch(word) or UUID.fullmatch(word):
             continue
-        if len(word) / len(enc.encode_ordinary(word)) < MAX_RATIO:
+        parts = dict.fromkeys([word, *PART.findall(word)])
+        if any(len(x) >= MIN_CHARS and is_random(x, enc) for x in parts):
             out.append((a, b, "random"))
     return out
 
