@@ -200,6 +200,27 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_reject_random_text():
+    import zstandard
+    coder = zstandard.ZstdCompressor(level=quality_rules.LEVEL, write_content_size=False)
+    rng = np.random.default_rng(8)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+    def noise(signs, size):
+        return " ".join("".join(rng.choice(list(signs), rng.integers(6, 13))) for _ in range(size // 6))[:size].encode()
+    for size in (300, 800, 3000, 6000, 16000, 40000):
+        assert not quality_rules.verdict(noise(upper + lower + digits, size), coder)[0], size
+    for size in (1500, 3000, 6000, 16000, 40000):
+        assert not quality_rules.verdict(noise(lower + digits, size), coder)[0], size
+    for size in (5000, 16000, 40000):
+        assert not quality_rules.verdict(noise("0123456789abcdef", size), coder)[0], size
+    import pyarrow.parquet as pq
+    texts = [t.encode() for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    prose = max((t for t in texts if quality_rules.verdict(t, coder)[0] and not quality_rules.repeated_words(t.split())), key=len)[:4096]
+    # the last, shorter chunk takes part, by its own length's limits
+    assert quality_rules.verdict(prose + noise(upper + lower + digits, 3000), coder)[2] == 3000 / (len(prose) + 3000)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
