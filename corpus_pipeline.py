@@ -20,8 +20,8 @@ from vigil.llm.queries import TOKENIZER
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling towards the texts labelled as good takes."""
-    _, weights, least = importance.resample(docs, table(spark, sf_dir, "labels"))
-    return importance.with_keys(docs, weights).where(F.col("__key") >= F.lit(least)).drop("__log_weight", "__key", "__bits")
+    _, scorer, least = importance.resample(docs, table(spark, sf_dir, "labels"))
+    return importance.with_keys(docs, scorer).where(F.col("__key") >= F.lit(least)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,6 +261,22 @@ def test_importance(spark, docs, empty):
         assert keys.count() == other.count()
 
 
+def test_importance_judges_each_length_by_its_own(spark):
+    rng = np.random.default_rng(9)
+    common, own, junk = ([f"{x}{i}" for i in range(400)] for x in "cgj")
+
+    def text(n, other):
+        at = rng.integers(0, 10**6, n)
+        return " ".join((other if u < 0.35 else common)[i % (len(other) if u < 0.35 else len(common))] for i, u in zip(at, rng.random(n)))
+    sizes = [(30, own, 1)] * 300 + [(3000, [*own, *(f"r{i}" for i in range(40_000))], 1)] * 130 + [(30, junk, 0)] * 200
+    df = spark.createDataFrame([(i, text(n, o)) for i, (n, o, _) in enumerate(sizes)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(sizes)], "doc_id bigint, quality int")
+    keys, _, least = importance.resample(df, labels)
+    kept = {r.doc_id for r in keys.collect() if r.key >= least}
+    assert len(kept & set(range(300, 430))) >= 0.95 * 130 and len(kept & set(range(300))) >= 0.9 * 300
+    assert len(kept & set(range(430, 630))) <= 0.3 * 200
+
+
 def test_mixing(spark, docs, empty):
     import pandas as pd
     rng = np.random.default_rng(3)

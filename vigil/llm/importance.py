@@ -3,12 +3,19 @@
 Two bags of hashed word n-grams (one and two words, ``FEATURES`` buckets) are
 estimated: the target's from labelled good texts, the raw one from all texts
 of the corpus. A text's log weight is the sum over its n-grams of log(target
-share / raw share): how much likelier it is under the target. Documents are
-resampled without replacement by Gumbel top-k: a Gumbel number drawn from the
-id is added to each log weight, and the k largest stay. k is the number of
-rows whose log weight is at least the one that ``KEEP_GOOD`` of the good
-labelled rows reach: the corpus' own share of texts like the target. Half of
-the good labelled rows make the target, the other half, unseen by it, sets k.
+share / raw share): how much likelier it is under the target. Such a sum grows
+with the text, and so do its noise and the loss of a text that the target has
+not seen; so each length has its own cut. Texts fall into bands by the power of
+two of their number of n-grams, and a band's cut is the mean log ratio that
+``KEEP_GOOD`` of the good labelled rows in it reach (a band with fewer than
+``BAND_ROWS`` of them takes the cut of the nearest that has enough). A text's
+margin is its log weight less its n-grams times its band's cut.
+
+Documents are resampled without replacement by Gumbel top-k: a Gumbel number
+drawn from the id is added to each margin, and the k largest stay. k is the
+number of rows with a margin of at least 0: the corpus' own share of texts
+like the target. Half of the good labelled rows make the target, the other
+half, unseen by it, sets the cuts.
 
 The raw counts cover every text. The target's labels are a bounded sample: the
 ``max_labels`` labelled rows with the smallest hashes of their ids.
@@ -27,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,8 +44,9 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import col, map_batches, pieces, sized, staged, text_bytes, uniform
 
-FEATURES, MAX_LABELS, SMOOTH, KEEP_GOOD = 1 << 16, 20_000, 5.0, 0.995
+FEATURES, MAX_LABELS, SMOOTH, KEEP_GOOD, BAND_ROWS, BANDS = 1 << 16, 20_000, 5.0, 0.995, 50, 64
 _PAIR = np.uint32(0x9E3779B1)
+SCORES = ("log_weight", "margin", "band", "each", "key", "bits")
 
 
 def features(text: bytes) -> np.ndarray:
@@ -84,20 +93,44 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str =
     return np.log((counts[1] + SMOOTH) / (expected + SMOOTH)), used.where(left_out)
 
 
-def with_keys(df: DataFrame, weights: np.ndarray, text_col: str = "text", id_col: str = "doc_id",
+class Scorer(NamedTuple):
+    weights: np.ndarray  # of each bucket of n-grams
+    cuts: np.ndarray     # of each band of lengths, by n-gram
+
+
+def with_keys(df: DataFrame, scorer: Scorer, text_col: str = "text", id_col: str = "doc_id",
               seed: str = "importance") -> DataFrame:
-    """``df`` with __log_weight, __key (its log weight plus a Gumbel number) and __bits, the key as an
-    unsigned 64-bit number, in a long, in the order of the doubles. One function, so one Python worker a task."""
+    """``df`` with __log_weight, __margin, __band, __each (log weight by n-gram), __key (the margin plus a Gumbel number)
+    and __bits, the key as an unsigned 64-bit number, in a long, in the order of the doubles. One function, so one
+    Python worker a task."""
 
-    @F.pandas_udf("log_weight double, key double, bits long")
+    @F.pandas_udf("log_weight double, margin double, band int, each double, key double, bits long")
     def scored(texts: pd.Series, u: pd.Series) -> pd.DataFrame:
-        log_weight = np.array([weights[features(bytes(t))].sum() for t in texts], dtype=np.float64)
-        key = log_weight - np.log(-np.log(u.to_numpy(dtype=np.float64)))
+        found = np.array([(len(f), scorer.weights[f].sum()) for f in (features(bytes(t)) for t in texts)],
+                         dtype=np.float64).reshape(-1, 2)
+        n, log_weight = found[:, 0], found[:, 1]
+        band = np.frexp(n)[1]
+        margin = log_weight - n * scorer.cuts[band]
+        key = margin - np.log(-np.log(u.to_numpy(dtype=np.float64)))
         raw, top = key.view(np.uint64), np.uint64(1 << 63)
-        return pd.DataFrame({"log_weight": log_weight, "key": key, "bits": np.where(raw & top, ~raw, raw | top).view(np.int64)})
+        return pd.DataFrame({"log_weight": log_weight, "margin": margin, "band": band, "each": log_weight / np.maximum(n, 1),
+                             "key": key, "bits": np.where(raw & top, ~raw, raw | top).view(np.int64)})
 
     return df.withColumn("__scored", scored(text_bytes(text_col), uniform(id_col, seed))).select(
-        *[col(c) for c in df.columns], *[F.col(f"__scored.{c}").alias(f"__{c}") for c in ("log_weight", "key", "bits")])
+        *[col(c) for c in df.columns], *[F.col(f"__scored.{c}").alias(f"__{c}") for c in SCORES])
+
+
+def band_cuts(df: DataFrame, weights: np.ndarray, used: DataFrame, text_col: str, id_col: str, keep_good: float) -> np.ndarray:
+    """The cut of each band, from the rows of ``df`` with an id in ``used``."""
+    good = df.select(col(id_col), col(text_col)).join(F.broadcast(used), col(id_col) == F.col("__label_id"), "left_semi")
+    scored = with_keys(good, Scorer(weights, np.zeros(BANDS)), text_col, id_col).where("__band > 0")
+    # one group more, of all bands, for when none has enough rows
+    found = {r[0]: (r[1], r[2]) for r in scored.select(F.explode(F.array("__band", F.lit(-1))).alias("band"), "__each")
+             .groupBy("band").agg(F.count("*"), F.percentile("__each", 1.0 - keep_good)).collect()}
+    enough = sorted(b for b, (n, _) in found.items() if b >= 0 and n >= BAND_ROWS) or ([-1] if found else [])
+    if not enough:
+        return np.full(BANDS, -np.inf)
+    return np.array([found[min(enough, key=lambda e: abs(e - b))][1] for b in range(BANDS)])
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -124,12 +157,13 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 
 def resample(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-             label_col: str = "quality", keep_good: float = KEEP_GOOD) -> tuple[DataFrame, np.ndarray, float]:
-    """id, log_weight, key of every row (a staged table), the weights, and the key from which on rows stay."""
+             label_col: str = "quality", keep_good: float = KEEP_GOOD) -> tuple[DataFrame, Scorer, float]:
+    """id, log_weight, margin, key of every row (a staged table), the scorer, and the key from which on rows stay."""
     weights, used = fit(df, labels, text_col, id_col, label_col)
-    keys = staged(with_keys(df.select(col(id_col), col(text_col)), weights, text_col, id_col)
-                  .select(col(id_col).alias(id_col), *[F.col(f"__{c}").alias(c) for c in ("log_weight", "key", "bits")]), "importance")
-    good = keys.join(F.broadcast(used), col(id_col) == F.col("__label_id"))
-    least = good.agg(F.percentile("log_weight", 1.0 - keep_good)).first()[0]
-    k = keys.count() if least is None else keys.where(F.col("log_weight") >= F.lit(least)).count()
-    return keys, weights, kth_largest(keys, k)
+    cuts = band_cuts(df, weights, used, text_col, id_col, keep_good)
+    known = bool(np.isfinite(cuts).all())
+    scorer = Scorer(weights, cuts if known else np.zeros(BANDS))
+    keys = staged(with_keys(df.select(col(id_col), col(text_col)), scorer, text_col, id_col)
+                  .select(col(id_col).alias(id_col), *[F.col(f"__{c}").alias(c) for c in SCORES]), "importance")
+    k = keys.where("margin >= 0").count() if known else keys.count()
+    return keys, scorer, kth_largest(keys, k)
