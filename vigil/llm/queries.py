@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import (
-    exact_dedup, importance, jaccard, language, lm, mixing, packing, quality_rules, secrets, urls,
+    centroids, dialogue, exact_dedup, importance, jaccard, language, lm, mixing, packing, quality_rules, secrets, urls,
 )
 from vigil.llm.common import fold, staged, table
 
@@ -90,9 +90,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damage(said), said.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language, op3_lm_score, op4_secrets, op5_mix, op6_packing, op7_quality, op8_url_filter,
-    op9_quality_rules, op10_jaccard)}
+    op9_quality_rules, op10_jaccard, op11_dialogue, op13_centroids)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -115,4 +124,6 @@ ORACLES = {
         SELECT u.page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN rule_verdict
                WHEN regexp_extract(host, '{BLOCKED_LABEL}', 1) <> '' THEN 'block' ELSE 'allow' END AS verdict
         FROM u LEFT JOIN fits USING (page_id)""",
+    "op11_dialogue": dialogue.repair_sql(),
+    "op13_centroids": centroids.cluster_sql(),
 }
