@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import (
-    centroids, dialogue, exact_dedup, importance, jaccard, language, lm, mixing, packing, quality_rules, secrets, urls,
+    centroids, dialogue, disclosure, exact_dedup, importance, jaccard, language, lm, mixing, packing, quality_rules, secrets, urls,
 )
 from vigil.llm.common import fold, staged, table
 
@@ -95,13 +95,22 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damage(said), said.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("personal", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in disclosure.KINDS],
+                        F.sha2(disclosure.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        disclosure.joined(F.col("personal")).alias("spans"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language, op3_lm_score, op4_secrets, op5_mix, op6_packing, op7_quality, op8_url_filter,
-    op9_quality_rules, op10_jaccard, op11_dialogue, op13_centroids)}
+    op9_quality_rules, op10_jaccard, op11_dialogue, op12_disclosure, op13_centroids)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
