@@ -242,3 +242,68 @@ def sanitized(text: Column, spans: Column) -> Column:
 
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+#: Fixed values of the task: the patterns as given.
+GIVEN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def personal_sql(table: str = "documents") -> str:
+    """op12's rows in DuckDB SQL, from the patterns as given."""
+    term, edge = r"[\p{L}\p{N}]{3,}", r"[\p{L}\p{N}]+"
+    class_sql = r"CASE WHEN regexp_matches(w, '\p{N}') THEN '[number]' WHEN regexp_matches(w, '^\p{Lu}') THEN '[name]' ELSE '[word]' END"
+    matches_sql = "\n            UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, {n} AS nr, regexp_extract_all(t, '{p}') AS v, string_split_regex(t, '{p}') AS p FROM d"
+        for n, (k, p) in enumerate(GIVEN.items()))
+    share = lambda t: f"log2(joint::DOUBLE * n / (e::DOUBLE * {t})) / nullif(log2(n::DOUBLE / e), 0) >= {DISCLOSURE}"
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM {table}),
+        total AS (SELECT count(*) AS n FROM d),
+        m AS ({matches_sql}),
+        placed AS (
+            SELECT r, kind, nr, v[i] AS value, right(p[i], {WINDOW}) AS b, left(p[i + 1], {WINDOW}) AS a,
+                   (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)),
+        base AS MATERIALIZED (
+            SELECT r, kind, nr, s, s + length(value) AS e, b, a, kind || ':' || CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE g END AS entity
+            FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS g FROM placed)
+            WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(g) BETWEEN 10 AND 15
+                  WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(right(x, 9) AS INT) > 255)) = 0
+                  ELSE length(g) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(g)), lambda i:
+                       CASE WHEN i % 2 = 0 THEN g[length(g) - i]::INT WHEN g[length(g) - i]::INT > 4 THEN 2 * g[length(g) - i]::INT - 9
+                            ELSE 2 * g[length(g) - i]::INT END)) % 10 = 0 END),
+        context AS (SELECT r, list({{'b': b, 'e': entity, 'a': a}} ORDER BY s, nr) AS c FROM base GROUP BY r),
+        words AS (
+            SELECT r, entity, unnest(list_concat(
+                regexp_extract_all(CASE WHEN length(b) = {WINDOW} THEN regexp_replace(b, '^{edge}', '') ELSE b END, '{term}'),
+                regexp_extract_all(CASE WHEN length(a) = {WINDOW} THEN regexp_replace(a, '{edge}\z', '') ELSE a END, '{term}'))) AS w FROM base),
+        pairs AS (SELECT r, entity, lower(w) AS term FROM words UNION SELECT r, entity, {class_sql} FROM words UNION SELECT r, entity, '' FROM base),
+        seen AS (SELECT entity, term, count(*) AS joint, count(DISTINCT c) AS contexts FROM pairs JOIN context USING (r) GROUP BY entity, term),
+        often AS MATERIALIZED (
+            SELECT seen.*, es.joint AS e FROM seen JOIN (SELECT entity, joint FROM seen WHERE term = '') es USING (entity)
+            WHERE term <> '' AND contexts >= {CONTEXTS}),
+        spelled AS MATERIALIZED (SELECT DISTINCT r, unnest(regexp_extract_all(t, '{term}')) AS w FROM d),
+        held AS (SELECT lower(w) AS term, count(DISTINCT r) AS t FROM spelled WHERE lower(w) IN (SELECT term FROM often) GROUP BY 1),
+        found AS (SELECT DISTINCT term FROM often JOIN held USING (term), total WHERE {share("t")}),
+        term_matches AS (
+            SELECT r, regexp_extract_all(t, '{term}') AS v, string_split_regex(t, '{term}') AS p FROM d
+            WHERE r IN (SELECT r FROM spelled WHERE lower(w) IN (SELECT term FROM found))),
+        term_spans AS (
+            SELECT r, 'term' AS kind, {len(KINDS)} AS nr, s, s + length(value) AS e FROM (
+                SELECT r, v[i] AS value, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+                FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM term_matches)) q
+            WHERE lower(value) IN (SELECT term FROM found)
+              AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = q.r AND base.s < q.s + length(q.value) AND q.s < base.e)),
+        every AS (SELECT r, kind, nr, s, e FROM base UNION ALL SELECT r, kind, nr, s, e FROM term_spans),
+        said AS (
+            SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+                   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nr) FILTER (kind <> 'term'), '') AS base_spans,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nr) AS spans
+            FROM every GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)},
+               sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN said USING (r)"""

@@ -134,5 +134,6 @@ ORACLES = {
                WHEN regexp_extract(host, '{BLOCKED_LABEL}', 1) <> '' THEN 'block' ELSE 'allow' END AS verdict
         FROM u LEFT JOIN fits USING (page_id)""",
     "op11_dialogue": dialogue.repair_sql(),
+    "op12_disclosure": disclosure.personal_sql(),
     "op13_centroids": centroids.cluster_sql(),
 }
