@@ -1,44 +1,52 @@
-"""Code-pattern detection without a parser, as one pass over all lines.
-
-For every line ``i`` of a JavaScript / TypeScript file the *statement
-window* is lines i..i+5 joined by '\\n' (array slice on the per-file line
-array: no shuffle). Each rule is an anchored regex whose callee must start
-on the window's first line (``^([^\\n]*?...)``); arguments may continue on
-the following lines. Negative conditions (no auth middleware, argument is
-not a string literal, ...) are second expressions on captured groups, so
-every pattern is valid in Java and RE2 alike (no look-around).
-
-One row per (file, line, rule), the grain at which the reference dedups
-code findings. All rules are evaluated in one projection.
+"""Code-pattern detection without a parser.
+
+``spans.calls`` gives every call of a watched name with its callee, its arguments
+split at their own commas, and where its expression begins, however many lines it
+runs over; nothing inside comments, strings and templates counts as code. A rule
+is a test of the callee and a test of the arguments, on the argument's text
+(route, interpolations) or its *shape* (strings and parentheses emptied).
+
+One row per (file, line, rule), the grain at which the reference dedups code
+findings; of several the first by column stays. All rules are evaluated where
+the file is read: neither its text nor its lines are copied for a call.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import basename
 from ..schemas import conform
 from ..sources.files import code_files
-from .lines import lines_explode, snippet_window
+from . import spans
+from .lines import snippet_window
 
 # ---------------------------------------------------------------------------
-# Regex building blocks
+# Regex building blocks, valid in Java and RE2 alike
 # ---------------------------------------------------------------------------
-# start of a callee on the first line: nothing, or a non-identifier char
-LEAD = r"^((?:[^\n]*?[^\w$.\n])?)"
-# user-input expression used directly as an argument (ends at ',' or ')')
-UI_DIRECT = (r"(?:(?:req|request|ctx|context)\.[\w$]+(?:\.[\w$]+)?"
-             r"|[\w$]+(?:\.[\w$]+)*\.(?:body|params|query|headers|cookies)"
-             r"|(?i:input|data|payload|params|body|query))\s*[,)]")
-# template literal with a user-input interpolation
-UI_TEMPLATE = (r"`[^`]*\$\{\s*(?:(?:req|request|ctx|context)\.[\w$]+(?:\.[\w$]+)*"
-               r"|[\w$]+(?:\.[\w$]+)*\.(?:body|params|query|headers|cookies)(?:\.[\w$]+)*"
-               r"|(?i:input|data|payload|params|body|query)(?:\.[\w$]+)*)\s*\}")
-BINARY_ARG = r"[^,)`]*?\+"
-NOT_STRING_ARG = r"""(?:[^\s)'"]|'[^'\n]*'\s*[^\s,)]|"[^"\n]*"\s*[^\s,)])"""
+#: One step of a member chain.
+STEP = r"(?:\s*!?\s*\.\s*[\w$]+|\s*!?\s*\[[^\[\]]*\])"
+#: A member chain of any length, with calls (their parentheses emptied).
+LINK = r"(?:\s*!?\s*\.\s*[\w$]+|\s*!?\s*\[[^\[\]]*\]|\s*\(\))"
+INPUT_PROPERTY = r"(?:body|params|query|headers|cookies)"
+#: A whole expression that is user input: a member of the request or its context, anything's
+#: body/params/..., or a variable of such a name.
+USER_INPUT = (r"(?:(?:req|request)" + STEP + "{1,2}|(?:ctx|context)" + STEP
+              + r"|(?:[\w$]+|\(\))" + LINK + r"*\s*!?\s*(?:\.\s*" + INPUT_PROPERTY + r"|\[\s*" + INPUT_PROPERTY + r"\s*\])"
+              + r"|(?i:input|data|payload|params|body|query))")
+IS_USER_INPUT = "^" + USER_INPUT + "$"
+#: An interpolated expression: user input, or a member of it.
+IS_INTERPOLATED_INPUT = "^" + USER_INPUT + STEP + "?$"
+INTERPOLATION = r"\$\{([^{}]*)\}"
+IS_TEMPLATE, IS_STRING = "^``$", """^(?:''|"")$"""
+#: A binary expression: an operator between operands, no lower one outside of parentheses.
+BINARY = r"""[\w$)\]'"`}]\s*(?:\+|-|\*|/|%|<|>|[=!]==?|\binstanceof\b|\bin\b)\s*[\w$(\['"`{.+!~-]"""
+LOWER = r"&&|\|\||\?|=>|(?:^|[^=!<>])=(?:[^=>]|$)"
 
 # Fixed values that must equal the reference's for right results.
 AUTH_MIDDLEWARE = ["auth", "authenticate", "requireAuth", "isAuthenticated", "verifyToken",
@@ -66,9 +74,9 @@ class CodeRule:
     confidence: str
     cwe: str
     owasp: str
-    message: str        # may hold {g2} style references to captured groups
+    message: str        # {method}, {route}, {name}: taken from the call
     fix: str
-    pattern: str        # full anchored regex; group 1 = text before callee
+    callee: str         # pattern of the callee, or of the variable's name
     ref_dead: bool = False
 
 
@@ -77,62 +85,60 @@ CODE_RULES = [
     CodeRule("sast_sql_raw_unsafe", "sql-injection-raw-unsafe", "critical", "high", "CWE-89", A03,
              "SQL injection via Prisma $queryRawUnsafe with dynamic query construction",
              "Use $queryRaw with tagged template literals or parameterized queries: prisma.$queryRaw`SELECT * FROM users WHERE id = ${id}`",
-             LEAD + r"(?:[\w$]+\.)+\$queryRawUnsafe\s*\(\s*(?:`|" + BINARY_ARG + ")"),
+             r"\.\$queryRawUnsafe$"),
     CodeRule("sast_sql_template", "sql-injection-template-literal", "critical", "high", "CWE-89", A03,
              "SQL injection via template literal interpolation in database query",
              'Use parameterized queries: db.query("SELECT * FROM users WHERE id = ?", [userId])',
-             LEAD + r"(?:[\w$]+\.)+query\s*\(\s*" + UI_TEMPLATE),
+             r"\.query$"),
     CodeRule("sast_cmd_member", "command-injection", "critical", "high", "CWE-78", A03,
              "Command injection via child_process.{method} with user-controlled input",
              "Use execFile with an array of arguments instead of string interpolation, or use a whitelist of allowed commands",
-             LEAD + r"(?:[\w$]+\.)+(exec|execSync|execFile|execFileSync|spawn|spawnSync)\s*\(\s*(?:"
-             + UI_TEMPLATE + "|" + UI_DIRECT + "|" + BINARY_ARG + ")"),
+             r"\.(exec|execSync|execFile|execFileSync|spawn|spawnSync)$"),
     CodeRule("sast_cmd_bare", "command-injection", "critical", "high", "CWE-78", A03,
              "Command injection via exec() with user-controlled input",
              "Use execFile with an array of arguments, or sanitize input with a strict allowlist",
-             LEAD + r"(?:exec|execSync)\s*\(\s*(?:" + UI_TEMPLATE + "|" + UI_DIRECT + ")"),
+             r"^(?:exec|execSync)$"),
     CodeRule("sast_eval", "unsafe-eval", "critical", "high", "CWE-94", A03,
              "Use of eval() with dynamic content allows arbitrary code execution",
              "Avoid eval() entirely. Use JSON.parse() for data, or specific APIs for dynamic behavior",
-             LEAD + r"eval\s*\(\s*" + NOT_STRING_ARG),
+             r"^eval$"),
     CodeRule("sast_function_ctor", "function-constructor-injection", "high", "medium", "CWE-94", A03,
              "Dynamic Function() constructor can execute arbitrary code",
              "Avoid the Function constructor with dynamic arguments. Refactor to use explicit function declarations",
-             LEAD + r"new\s+Function\s*\(([^()]*)\)", ref_dead=True),
+             r"^new Function$", ref_dead=True),
     CodeRule("sast_path_traversal", "path-traversal", "high", "high", "CWE-22", A01,
              "Path traversal vulnerability: file system access with user-controlled path",
              "Validate and sanitize file paths. Use path.resolve() and verify the result starts with an allowed base directory",
-             LEAD + r"fs\.(?:readFile|readFileSync|writeFile|writeFileSync|createReadStream|createWriteStream)\s*\(\s*(?:"
-             + UI_DIRECT + "|" + UI_TEMPLATE + r"|[\w$]+\.(?:join|resolve)\s*\((?:[^()]*?,)?\s*" + UI_DIRECT + ")"),
+             r"^fs\.(?:readFile|readFileSync|writeFile|writeFileSync|createReadStream|createWriteStream)$"),
     CodeRule("sast_nosql", "nosql-injection", "high", "medium", "CWE-943", A03,
              "NoSQL injection: MongoDB query built directly from user input without sanitization",
              "Sanitize query inputs. Use a schema validation library (e.g., Zod) and only extract expected fields from user input",
-             LEAD + r"(?:[\w$]+\.)+(?:find|findOne|findById|where|update|updateOne|deleteOne|remove)\s*\(\s*" + UI_DIRECT),
+             r"\.(?:find|findOne|findById|where|update|updateOne|deleteOne|remove)$"),
     CodeRule("sast_idor", "idor", "high", "medium", "CWE-639", A01,
              "IDOR: Database query using req.params.id without ownership verification",
              "Verify the authenticated user owns the requested resource before returning data",
-             LEAD + r"(?:[\w$]+\.)+(?:findById|findOne|find)\s*\(\s*[\w$]+(?:\.[\w$]+)*\.params(?:\.[\w$]+){0,3}\s*[,)]"),
+             r"\.(?:findById|findOne|find)$"),
     CodeRule("sast_proto_pollution", "prototype-pollution", "high", "medium", "CWE-1321", A08,
              "Prototype pollution: Object.assign() with external user input may pollute Object prototype",
              "Use Object.create(null) for safe merge targets, or validate input with a schema before merging",
-             LEAD + r"Object\.assign\s*\((?:[^()]*?,)+\s*" + UI_DIRECT),
+             r"^Object\.assign$"),
     CodeRule("sast_missing_auth", "missing-auth-middleware", "high", "medium", "CWE-306", A07,
              "Sensitive route '{route}' lacks authentication middleware",
              "Add authentication middleware: app.{method}('{route}', authenticate, handler)",
-             LEAD + r"(?:app|router|api)\.(get|post|put|delete|patch)\s*\(\s*['\"]([^'\"\n]*)['\"]\s*,((?:\s*[\w$]+(?:\.[\w$]+)*\s*,)*)"),
+             r"^(?:app|router|api)\.(get|post|put|delete|patch)$"),
     CodeRule("sast_xss_inner_html", "xss-dangerous-inner-html", "high", "high", "CWE-79", A03,
              "XSS vulnerability: dangerouslySetInnerHTML used without sanitization",
              "Sanitize HTML content using DOMPurify before setting innerHTML: dangerouslySetInnerHTML={{ __html: DOMPurify.sanitize(content) }}",
-             LEAD + r"dangerouslySetInnerHTML\s*=\s*\{\s*(?:\{(?:[^{}]*?,)?\s*__html\s*:\s*" + NOT_STRING_ARG.replace(",)", ",}")
-             + r"|([^\s{}][^{}]*?)\s*\})"),
+             r"^dangerouslySetInnerHTML$"),
     CodeRule("sast_hardcoded_assign", "hardcoded-credentials", "high", "high", "CWE-798", A07,
              "Hardcoded credential detected in variable '{name}'",
              "Move secrets to environment variables: process.env.SECRET_KEY",
-             r"^(\s*)(?:[\w$]+\.)*([\w$]+)\s*=\s*(?:'([^'\n]*)'|\"([^\"\n]*)\")", ref_dead=True),
+             r"([\w$]+(?:\s*\.\s*[\w$]+)*)\s*=\s*$", ref_dead=True),
     CodeRule("sast_hardcoded_decl", "hardcoded-credentials", "high", "high", "CWE-798", A07,
              "Hardcoded credential detected in variable '{name}'",
              "Move secrets to environment variables and use process.env.SECRET_KEY",
-             r"^([^\n]*?\b(?:const|let|var)\s+)([\w$]+)\s*=\s*(?:'([^'\n]*)'|\"([^\"\n]*)\")", ref_dead=True),
+             r"([\w$]+)(?:\s*:\s*[\w$<>\[\]|. ]+)?\s*=\s*$", ref_dead=True),
+
 ]
 RULES_BY_KEY = {r.key: r for r in CODE_RULES}
 
@@ -143,101 +149,174 @@ def is_test_file_code(path: Column) -> Column:
             | F.contains(path, F.lit("__tests__")) | F.contains(path, F.lit("__mocks__")))
 
 
-# Callee tokens: every rule needs one of these on the window's first line,
-# so other lines never get a window built or a rule regex run (superset test).
-CALLEE_TOKENS = ["query", "exec", "spawn", "eval", "Function", "fs.", "find", "where", "update",
-                 "deleteOne", "remove", "Object.assign", "app.", "router.", "api.", "dangerouslySetInnerHTML"]
-ASSIGN_STRING = r"=\s*['\"]"
-
-
-def callee_prefilter(text: Column) -> Column:
-    cond = None
-    for tok in CALLEE_TOKENS:
-        c = F.contains(text, F.lit(tok))
-        cond = c if cond is None else cond | c
-    return cond | text.rlike(ASSIGN_STRING)
-
-
-def code_windows(files: DataFrame, span: int = 6) -> DataFrame:
-    """(project, path, line, lines, window) for every non-comment line that
-    holds a callee token."""
-    lines = lines_explode(code_files(files), with_array=True)
-    t = F.regexp_replace(F.col("text"), r"^\s+", "")
-    lines = lines.where(~(t.startswith("//") | t.startswith("/*") | t.startswith("*"))
-                        & callee_prefilter(F.col("text")))
-    return lines.withColumn("window", F.array_join(F.slice(F.col("lines"), F.col("line"), span), "\n"))
-
-
-def _g(w: Column, rule: CodeRule, i: int) -> Column:
-    return F.regexp_extract(w, rule.pattern, i)
-
-
-def _extra_condition(rule: CodeRule, w: Column, path: Column) -> Column:
-    """Second-stage predicates on captured groups (negative conditions)."""
-    if rule.key == "sast_function_ctor":
-        args = _g(w, rule, 2)
-        non_str = F.exists(F.split(args, ","), lambda a: ~F.regexp_replace(a, r"^\s+|\s+$", "")
-                           .rlike(r"""^('[^']*'|"[^"]*")\z"""))
-        return (F.length(F.regexp_replace(args, r"\s", "")) > 0) & non_str
-    if rule.key == "sast_missing_auth":
-        route, middles = _g(w, rule, 3), _g(w, rule, 4)
-        names = F.transform(F.filter(F.split(middles, ","), lambda m: F.length(F.regexp_replace(m, r"\s", "")) > 0),
-                            lambda m: F.element_at(F.split(F.regexp_replace(m, r"\s", ""), r"\."), -1))
-        has_auth = F.exists(names, lambda n: n.isin(AUTH_MIDDLEWARE))
-        return route.rlike(SENSITIVE_ROUTE) & ~has_auth & ~is_test_file_code(path)
+#: What may stand before the bracket of a watched call; other brackets only bound arguments.
+WATCHED = (r"(?:(?:queryRawUnsafe|query|exec|execSync|execFile|execFileSync|spawn|spawnSync|eval|Function|readFile|readFileSync"
+           r"|writeFile|writeFileSync|createReadStream|createWriteStream|find|findOne|findById|where|update|updateOne|deleteOne"
+           r"|remove|assign|get|post|put|delete|patch)\s*(?:<[^<>()]*>)?|dangerouslySetInnerHTML\s*=)\s*$")
+#: A file without any of these has no watched call.
+CALLEE_TOKENS = ["query", "exec", "spawn", "eval", "Function", "fs", "find", "where", "update", "deleteOne", "remove", "assign",
+                 "app", "router", "api", "dangerouslySetInnerHTML"]
+#: The code before a method's or a function's name where it is declared, not called.
+DECLARES = r"\b(?:function|get|set|static|async)\s*\*?\s*$"
+DECLARED = r"\b(?:const|let|var)\s+$"
+IN_DECLARATION = r"\b(?:const|let|var)\s"
+#: After a call's bracket: a body, so it was a declaration. After a string: the expression goes on.
+OPENS_BODY, CONTINUES = r"^\s*(?::[^=;]*)?\{$", r"^\s*[.+*/%?&|=<>\[(-]"
+#: Before an assignment's target: a statement begins.
+BEGINS = r"(?:^|[;\n>])[ \t]*$"
+PATH_JOIN = r"^[\w$.]+\.\s*(?:join|resolve)\s*\(((?s:.)*)\)$"
+MIDDLEWARE = r"^(?:[\w$]+(?:\s*\([^()]*\))?\s*\.\s*)*([\w$]+)$"
+HTML_VALUE = r"""^\{\s*(?:[^{}]*?,)?\s*__html\s*:\s*(''\s*[,}]|""\s*[,}]|[^\s,}])"""
+HTML_STRING = """^(''|"")"""
+IS_PARAMS = r"^(?:[\w$]+|\(\))" + LINK + r"*\s*!?\s*(?:\.\s*params|\[\s*params\s*\])" + STEP + "{0,3}$"
+
+
+def _arg(c: Column, i: int) -> Column:
+    return F.coalesce(F.get(c["args"], i), F.lit(""))
+
+
+def user_input(arg: Column) -> Column:
+    return spans.shape(arg).rlike(IS_USER_INPUT)
+
+
+def input_template(arg: Column) -> Column:
+    """A template with an interpolation that is user input or a member of it."""
+    return spans.shape(arg).rlike(IS_TEMPLATE) & F.exists(
+        F.regexp_extract_all(arg, F.lit(INTERPOLATION), F.lit(1)), lambda e: spans.trimmed(spans.shape(e)).rlike(IS_INTERPOLATED_INPUT))
+
+
+def binary(arg: Column) -> Column:
+    return let(F.regexp_replace(F.regexp_replace(spans.shape(arg), r"\{[^{}]*\}", "{}"), r"\[[^\[\]]*\]", "[]"),
+               lambda s: s.rlike(BINARY) & ~s.rlike(LOWER))
+
+
+def string_value(arg: Column) -> Column:
+    """What a string literal says; null for any other expression."""
+    return F.when(spans.shape(arg).rlike(IS_STRING), F.substring(arg, F.lit(2), F.length(arg) - 2))
+
+
+def _path_argument(arg: Column) -> Column:
+    """User input itself, or among the arguments of a join or resolve."""
+    inner = F.regexp_extract(arg, PATH_JOIN, 1)
+    return user_input(arg) | input_template(arg) | F.exists(spans.parts(spans.shape(inner)), lambda p: p.rlike(IS_USER_INPUT))
+
+
+def _has_auth(c: Column) -> Column:
+    """Among the arguments between route and handler is a name, or a member, that authenticates."""
+    middle = F.slice(c["args"], F.lit(2), F.greatest(F.size(c["args"]) - 2, F.lit(0)))
+    return F.exists(middle, lambda a: F.regexp_extract(a, MIDDLEWARE, 1).isin(AUTH_MIDDLEWARE))
+
+
+def _dynamic_html(arg: Column) -> Column:
+    """An expression, or an object whose __html is no string."""
+    value = F.regexp_extract(spans.shape(arg), HTML_VALUE, 1)
+    return F.when(spans.shape(arg).startswith("{"), (value != "") & ~value.rlike(HTML_STRING)).otherwise(~arg.isin("", "null"))
+
+
+#: Tests of the arguments of a call whose callee matches.
+ARGUMENTS: dict[str, Callable[[Column, Column], Column]] = {
+    "sast_sql_raw_unsafe": lambda c, path: spans.shape(_arg(c, 0)).rlike(IS_TEMPLATE) | binary(_arg(c, 0)),
+    "sast_sql_template": lambda c, path: input_template(_arg(c, 0)),
+    "sast_cmd_member": lambda c, path: input_template(_arg(c, 0)) | user_input(_arg(c, 0)) | binary(_arg(c, 0)),
+    "sast_cmd_bare": lambda c, path: input_template(_arg(c, 0)) | user_input(_arg(c, 0)),
+    "sast_eval": lambda c, path: (F.size(c["args"]) > 0) & ~spans.shape(_arg(c, 0)).rlike(IS_STRING),
+    "sast_function_ctor": lambda c, path: F.exists(c["args"], lambda a: ~spans.shape(a).rlike(IS_STRING)),
+    "sast_path_traversal": lambda c, path: _path_argument(_arg(c, 0)),
+    "sast_nosql": lambda c, path: user_input(_arg(c, 0)),
+    "sast_idor": lambda c, path: spans.shape(_arg(c, 0)).rlike(IS_PARAMS),
+    "sast_proto_pollution": lambda c, path: F.exists(F.slice(c["args"], F.lit(2), F.greatest(F.size(c["args"]) - 1, F.lit(0))), user_input),
+    "sast_missing_auth": lambda c, path: (F.size(c["args"]) >= 2) & F.coalesce(string_value(_arg(c, 0)), F.lit("")).rlike(SENSITIVE_ROUTE)
+    & ~_has_auth(c) & ~is_test_file_code(path),
+    "sast_xss_inner_html": lambda c, path: _dynamic_html(_arg(c, 0)),
+}
+
+
+def _fires(rule: CodeRule, c: Column, path: Column) -> Column:
+    called = c["callee"].rlike(rule.callee)
     if rule.key == "sast_xss_inner_html":
-        expr = _g(w, rule, 2)
-        return (expr == "") | (F.regexp_replace(expr, r"\s", "") != "null")
-    if rule.key in ("sast_hardcoded_assign", "sast_hardcoded_decl"):
-        name = F.lower(_g(w, rule, 2))
-        value = F.concat(_g(w, rule, 3), _g(w, rule, 4))
-        words = CRED_WORDS_ASSIGN if rule.key == "sast_hardcoded_assign" else CRED_WORDS_DECL
-        ph = CRED_PLACEHOLDERS_ASSIGN if rule.key == "sast_hardcoded_assign" else CRED_PLACEHOLDERS_DECL
-        has_word = F.exists(F.array(*map(F.lit, words)), lambda x: F.contains(name, x))
-        has_ph = F.exists(F.array(*map(F.lit, ph)), lambda x: F.contains(F.lower(value), x))
-        not_decl = ~name.isin("const", "let", "var") if rule.key == "sast_hardcoded_assign" else F.lit(True)
-        return has_word & (F.length(value) > 4) & ~has_ph & not_decl
-    return F.lit(True)
-
-
-def _message(rule: CodeRule, w: Column) -> tuple[Column, Column]:
-    if rule.key == "sast_cmd_member":
-        return (F.concat(F.lit("Command injection via child_process."), _g(w, rule, 2),
-                         F.lit(" with user-controlled input")), F.lit(rule.fix))
-    if rule.key == "sast_missing_auth":
-        route, method = _g(w, rule, 3), _g(w, rule, 2)
-        return (F.concat(F.lit("Sensitive route '"), route, F.lit("' lacks authentication middleware")),
-                F.concat(F.lit("Add authentication middleware: app."), method, F.lit("('"), route,
-                         F.lit("', authenticate, handler)")))
-    if rule.key == "sast_hardcoded_assign":
-        return (F.concat(F.lit("Hardcoded credential detected in variable '"), F.lower(_g(w, rule, 2)), F.lit("'")),
-                F.lit(rule.fix))
-    if rule.key == "sast_hardcoded_decl":
-        return (F.concat(F.lit("Hardcoded credential detected in variable '"), _g(w, rule, 2), F.lit("'")),
-                F.lit(rule.fix))
-    return F.lit(rule.message), F.lit(rule.fix)
+        called = called & (c["opened"] == "{")
+    else:
+        called = called & (c["opened"] == "(") & ~c["callee"].startswith("?")
+        if rule.key != "sast_function_ctor":
+            called = called & ~c["callee"].startswith("new ")
+        if rule.key in ("sast_cmd_bare", "sast_eval"):
+            called = called & ~c["prefix"].rlike(DECLARES) & ~c["after"].rlike(OPENS_BODY)
+    return called & ARGUMENTS[rule.key](c, path)
+
+
+def _texts(rule: CodeRule, c: Column) -> tuple[Column, Column]:
+    """Message and fix, with what they name of the call filled in."""
+    method = F.regexp_extract(c["callee"], rule.callee, 1) if "(" in rule.callee.replace("(?:", "") else F.lit("")
+    route = F.coalesce(string_value(_arg(c, 0)), F.lit(""))
+
+    def fill(text: str) -> Column:
+        out: Column = F.lit(text)
+        for name, value in (("{method}", method), ("{route}", route)):
+            if name in text:
+                out = F.replace(out, F.lit(name), value)
+        return out
+
+    return fill(rule.message), fill(rule.fix)
+
+
+def _hit(rule: CodeRule, c: Column, message: Column, fix: Column, lines: Column) -> Column:
+    return F.struct(c["line"].alias("line"), F.lit(rule.rule).alias("rule"), c["column"].alias("column"),
+                    F.lit([r.key for r in CODE_RULES].index(rule.key)).alias("nr"), F.lit(rule.key).alias("key"), message.alias("message"),
+                    fix.alias("fix_suggestion"), snippet_window(lines, c["line"]).alias("snippet"))
+
+
+def _call_hits(path: Column, lines: Column, rules: list[CodeRule]) -> Column:
+    def of(c: Column) -> Column:
+        return F.filter(F.array(*(F.when(_fires(r, c, path), _hit(r, c, *_texts(r, c), lines)) for r in rules)), lambda h: h.isNotNull())
+
+    return F.flatten(F.transform("#calls", of))
+
+
+def _credential_hits(lines: Column, rule: CodeRule) -> Column:
+    """Strings given to a variable, or a member, whose name says credential."""
+    declared = rule.key == "sast_hardcoded_decl"
+    words, placeholders = ((CRED_WORDS_DECL, CRED_PLACEHOLDERS_DECL) if declared else (CRED_WORDS_ASSIGN, CRED_PLACEHOLDERS_ASSIGN))
+
+    def fires(s: Column) -> Column:
+        name, value = F.lower(F.regexp_extract(s["name"], r"[\w$]+$", 0)), F.lower(s["value"])
+        ends = ~s["after"].rlike(CONTINUES)
+        where = s["prefix"].rlike(DECLARED) if declared else (
+            ~s["prefix"].rlike(IN_DECLARATION) & s["prefix"].rlike(BEGINS) & ~s["before"].isin("(", ","))
+        return (where & ends & F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
+                & (F.length(s["value"]) > 4) & ~F.exists(F.array(*map(F.lit, placeholders)), lambda w: F.contains(value, w)))
+
+    def hit(s: Column) -> Column:
+        own = F.regexp_extract(s["name"], r"[\w$]+$", 0)
+        message = F.replace(F.lit(rule.message), F.lit("{name}"), own if declared else F.lower(own))
+        return _hit(rule, s, message, F.lit(rule.fix), lines)
+
+    return F.transform(F.filter("#strings", fires), hit)
 
 
 def code_hits(files: DataFrame, include_ref_dead: bool = False, rules=None) -> DataFrame:
-    """One row per (project, path, line, rule key) that fires."""
+    """One row per (project, path, line, rule) that fires."""
     rules = [r for r in (rules or CODE_RULES) if include_ref_dead or not r.ref_dead]
-    win = code_windows(files)
-    w, p = F.col("window"), F.col("path")
-    structs = []
-    member = RULES_BY_KEY["sast_cmd_member"].pattern
-    for r in rules:
-        msg, fix = _message(r, w)
-        cond = w.rlike(r.pattern) & _extra_condition(r, w, p)
-        if r.key == "sast_cmd_bare":
-            # one row per (file, line, rule): the member-call branch wins
-            cond = cond & ~w.rlike(member)
-        structs.append(F.when(cond, F.struct(
-            F.lit(r.key).alias("key"), F.lit(r.rule).alias("rule"),
-            F.length(_g(w, r, 1)).cast("int").alias("column"),
-            msg.alias("message"), fix.alias("fix_suggestion"))))
-    hits = win.select("project", "path", "line", "lines",
-                      F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("h"))
-    return hits.select("project", "path", "line", "lines", "h.*")
+    called = [r for r in rules if r.key in ARGUMENTS]
+    given = [r for r in rules if r.key not in ARGUMENTS]
+    content, path = F.col("content"), F.col("path")
+    some = F.lit(bool(given)) & content.rlike(r"=\s*['\"]")
+    for token in CALLEE_TOKENS if called else []:
+        some = some | F.contains(content, F.lit(token))
+
+    def first(hits: Column) -> Column:
+        """Of hits on one line by one rule the first by column, then in the order of the rules."""
+        return F.filter(hits, lambda h, i: (i == 0) | F.coalesce(F.get(hits, i - 1)["line"] != h["line"], F.lit(True))
+                        | F.coalesce(F.get(hits, i - 1)["rule"] != h["rule"], F.lit(True)))
+
+    found = spans.with_units(code_files(files).where(some).select("project", "path", "content"))
+    hits = []
+    if called:
+        found, hits = spans.with_calls(found, WATCHED), [let(F.col("#lines"), lambda lines: _call_hits(path, lines, called))]
+    for r in given:
+        found = spans.with_strings(found, r.callee).withColumn(f"#{r.key}", let(F.split(content, "\n", -1), (lambda rule: lambda lines: _credential_hits(lines, rule))(r))).drop("#strings")
+        hits.append(F.col(f"#{r.key}"))
+    found = found.withColumn("#lines", F.split(content, "\n", -1)).withColumn("#hits", F.array_sort(F.concat(*hits)))
+    return found.select("project", "path", F.explode(first(F.col("#hits"))).alias("h")).select("project", "path", "h.*")
 
 
 def code_findings(files: DataFrame, include_ref_dead: bool = False, rules=None) -> DataFrame:
@@ -249,5 +328,5 @@ def code_findings(files: DataFrame, include_ref_dead: bool = False, rules=None)
         "project", F.lit("sast").alias("scanner"), "rule", attr("severity").alias("severity"),
         attr("confidence").alias("confidence"), "path", "line", "column", "message",
         attr("cwe").alias("cwe"), attr("owasp").alias("owasp"),
-        snippet_window(F.col("lines"), F.col("line")).alias("snippet"), "fix_suggestion")
+        "snippet", "fix_suggestion")
     return conform(out)

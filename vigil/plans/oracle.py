@@ -312,7 +312,12 @@ def with_ctes(select: str, needed: list[str] | None = None) -> str:
     c = all_ctes()
     if needed is not None:
         c = _closure(c, needed)
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in c.items()) + "\n" + select
+    kept = lambda k: "MATERIALIZED " if k in MATERIALIZED else ""
+    return "WITH " + ",\n".join(f"{k} AS {kept(k)}({v})" for k, v in c.items()) + "\n" + select
+
+
+#: Tables that are used more than once and costly.
+MATERIALIZED: set[str] = set()
 
 
 def _closure(c: dict[str, str], needed: list[str]) -> dict[str, str]:

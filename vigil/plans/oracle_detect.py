@@ -7,6 +7,7 @@ from ..operators import code as C
 from ..operators import config as G
 from ..operators import deps as D
 from ..operators import reach as R
+from ..operators import spans as SP
 from ..sources import files as FS
 from . import oracle as O
 from .oracle import conform_sql, js_trim_sql, q, rx
@@ -29,60 +30,180 @@ def _exists_word(col, words):
     return "(" + " OR ".join(f"contains({col}, {q(w)})" for w in words) + ")"
 
 
-def _code_extra(r: C.CodeRule) -> str:
-    g = lambda i: f"regexp_extract(win, {q(r.pattern)}, {i})"
+def _p(pattern: str) -> str:
+    """A pattern of the rules as RE2 takes it, quoted."""
+    return q(pattern.replace("*+", "*"))
+
+
+def _sub(x: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({x}, {_p(pattern)}, {q(to)}, 'g')"
+
+
+def _trimmed(x: str) -> str:
+    return _sub(x, r"^\s+|\s+$", "")
+
+
+def _shape(x: str) -> str:
+    out = _sub(x, SP.STRINGS, r"\1\1\2\2\3\3")
+    for _ in range(SP.NESTING):
+        out = _sub(out, r"\([^()]+\)", "()")
+    return out
+
+
+def _is(x: str, pattern: str) -> str:
+    return f"regexp_matches({x}, {_p(pattern)})"
+
+
+def _some(items: str, test) -> str:
+    return f"len(list_filter({items}, lambda z: {test('z')})) > 0"
+
+
+def _code_args(r: C.CodeRule) -> str:
+    """The test of a call's arguments, over columns args (texts) and shapes."""
+    a, s = "coalesce(args[1], '')", "coalesce(shapes[1], '')"
+    said = f"CASE WHEN {_is(s, C.IS_STRING)} THEN substr({a}, 2, length({a}) - 2) ELSE '' END"
+    template = (f"({_is(s, C.IS_TEMPLATE)} AND " + _some(
+        f"regexp_extract_all({a}, {_p(C.INTERPOLATION)}, 1)", lambda z: _is(_trimmed(_shape(z)), C.IS_INTERPOLATED_INPUT)) + ")")
+    flat = _sub(_sub(s, r"\{[^{}]*\}", "{}"), r"\[[^\[\]]*\]", "[]")
+    binary = f"({_is(flat, C.BINARY)} AND NOT {_is(flat, C.LOWER)})"
+    is_input = _is(s, C.IS_USER_INPUT)
+    if r.key == "sast_sql_raw_unsafe":
+        return f"({_is(s, C.IS_TEMPLATE)} OR {binary})"
+    if r.key == "sast_sql_template":
+        return template
+    if r.key == "sast_cmd_member":
+        return f"({template} OR {is_input} OR {binary})"
+    if r.key == "sast_cmd_bare":
+        return f"({template} OR {is_input})"
+    if r.key == "sast_eval":
+        return f"len(args) > 0 AND NOT {_is(s, C.IS_STRING)}"
     if r.key == "sast_function_ctor":
-        a = g(2)
-        return (f"length(regexp_replace({a}, '\\s', '', 'g')) > 0 AND len(list_filter(string_split({a}, ','), "
-                f"lambda x: NOT regexp_matches(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^(''[^'']*''|\"[^\"]*\")$'))) > 0")
+        return _some("shapes", lambda z: f"NOT {_is(z, C.IS_STRING)}")
+    if r.key == "sast_path_traversal":
+        inner = _shape(f"regexp_extract({a}, {_p(C.PATH_JOIN)}, 1)")
+        pieces = f"string_split({_sub(_sub(inner, r'\{[^{}]*\}', '{}'), r'\[[^\[\]]*,[^\[\]]*\]', '[]')}, ',')"
+        return f"({is_input} OR {template} OR {_some(pieces, lambda z: _is(_trimmed(z), C.IS_USER_INPUT))})"
+    if r.key == "sast_nosql":
+        return is_input
+    if r.key == "sast_idor":
+        return _is(s, C.IS_PARAMS)
+    if r.key == "sast_proto_pollution":
+        return _some("shapes[2:]", lambda z: _is(z, C.IS_USER_INPUT))
     if r.key == "sast_missing_auth":
-        names = (f"list_transform(list_filter(string_split({g(4)}, ','), lambda m: length(regexp_replace(m, '\\s', '', 'g')) > 0), "
-                 f"lambda m: string_split(regexp_replace(m, '\\s', '', 'g'), '.')[-1])")
-        auth = "[" + ", ".join(q(a) for a in C.AUTH_MIDDLEWARE) + "]"
-        return (f"regexp_matches({g(3)}, {q(C.SENSITIVE_ROUTE)}) AND NOT list_has_any({names}, {auth}) "
-                f"AND NOT {test_file_code_sql()}")
+        auth = ", ".join(q(x) for x in C.AUTH_MIDDLEWARE)
+        has = _some("args[2:len(args) - 1]", lambda z: f"regexp_extract({z}, {_p(C.MIDDLEWARE)}, 1) IN ({auth})")
+        return f"len(args) >= 2 AND {_is(said, C.SENSITIVE_ROUTE)} AND NOT ({has}) AND NOT {test_file_code_sql()}"
     if r.key == "sast_xss_inner_html":
-        return f"({g(2)} = '' OR regexp_replace({g(2)}, '\\s', '', 'g') <> 'null')"
-    if r.key in ("sast_hardcoded_assign", "sast_hardcoded_decl"):
-        name, value = f"lower({g(2)})", f"({g(3)} || {g(4)})"
-        assign = r.key == "sast_hardcoded_assign"
-        words = C.CRED_WORDS_ASSIGN if assign else C.CRED_WORDS_DECL
-        ph = C.CRED_PLACEHOLDERS_ASSIGN if assign else C.CRED_PLACEHOLDERS_DECL
-        out = f"{_exists_word(name, words)} AND length({value}) > 4 AND NOT {_exists_word(f'lower({value})', ph)}"
-        if assign:
-            out += f" AND {name} NOT IN ('const', 'let', 'var')"
-        return out
-    if r.key == "sast_cmd_bare":
-        return f"NOT {rx('win', C.RULES_BY_KEY['sast_cmd_member'].pattern)}"
-    return "true"
+        value = f"regexp_extract({s}, {_p(C.HTML_VALUE)}, 1)"
+        return (f"CASE WHEN starts_with({s}, '{{') THEN {value} <> '' AND NOT {_is(value, C.HTML_STRING)} "
+                f"ELSE {a} NOT IN ('', 'null') END")
+    raise KeyError(r.key)
 
 
-def _code_msg(r: C.CodeRule) -> tuple[str, str]:
-    g = lambda i: f"regexp_extract(win, {q(r.pattern)}, {i})"
-    if r.key == "sast_cmd_member":
-        return f"'Command injection via child_process.' || {g(2)} || ' with user-controlled input'", q(r.fix)
-    if r.key == "sast_missing_auth":
-        return (f"'Sensitive route ''' || {g(3)} || ''' lacks authentication middleware'",
-                f"'Add authentication middleware: app.' || {g(2)} || '(''' || {g(3)} || ''', authenticate, handler)'")
-    if r.key == "sast_hardcoded_assign":
-        return f"'Hardcoded credential detected in variable ''' || lower({g(2)}) || ''''", q(r.fix)
-    if r.key == "sast_hardcoded_decl":
-        return f"'Hardcoded credential detected in variable ''' || {g(2)} || ''''", q(r.fix)
-    return q(r.message), q(r.fix)
+def _code_called(r: C.CodeRule) -> str:
+    out = _is("callee", r.callee)
+    if r.key == "sast_xss_inner_html":
+        return out + " AND opened = '{'"
+    out += " AND opened = '(' AND NOT starts_with(callee, '?')"
+    if r.key != "sast_function_ctor":
+        out += " AND NOT starts_with(callee, 'new ')"
+    if r.key in ("sast_cmd_bare", "sast_eval"):
+        out += f" AND NOT {_is('prefix', C.DECLARES)} AND NOT {_is('after', C.OPENS_BODY)}"
+    return out
+
+
+def _code_texts(r: C.CodeRule) -> tuple[str, str]:
+    a, s = "coalesce(args[1], '')", "coalesce(shapes[1], '')"
+    values = {"{method}": f"regexp_extract(callee, {_p(r.callee)}, 1)",
+              "{route}": f"CASE WHEN {_is(s, C.IS_STRING)} THEN substr({a}, 2, length({a}) - 2) ELSE '' END"}
+    out = []
+    for text in (r.message, r.fix):
+        sql = q(text)
+        for name, value in values.items():
+            if name in text:
+                sql = f"replace({sql}, {q(name)}, {value})"
+        out.append(sql)
+    return out[0], out[1]
+
+
+def _credentials(r: C.CodeRule) -> str:
+    declared = r.key == "sast_hardcoded_decl"
+    words, ph = (C.CRED_WORDS_DECL, C.CRED_PLACEHOLDERS_DECL) if declared else (C.CRED_WORDS_ASSIGN, C.CRED_PLACEHOLDERS_ASSIGN)
+    where = _is("prefix", C.DECLARED) if declared else (
+        f"NOT {_is('prefix', C.IN_DECLARATION)} AND {_is('prefix', C.BEGINS)} AND before NOT IN ('(', ',')")
+    name = "own" if declared else "lower(own)"
+    hit = (f"SELECT f, project, path, content, {q(r.key)} AS key, off + length(prefix) AS pos, "
+           f"replace({q(r.message)}, '{{name}}', {name}) AS message, {q(r.fix)} AS fix FROM ("
+           f"SELECT *, regexp_extract(name, '[\\w$]+$', 0) AS own, left(g, (length(g) - length(whole) + instr(whole, name) - 1)::BIGINT) AS prefix FROM ("
+           f"SELECT *, regexp_extract(g, {_p(r.callee)}, 0) AS whole, regexp_extract(g, {_p(r.callee)}, 1) AS name, "
+           "substr(t, 2, length(t) - 2) AS value, coalesce(lag(k) OVER w, '') AS before, coalesce(lead(g) OVER w, '') AS following "
+           "FROM code_units WINDOW w AS (PARTITION BY f ORDER BY i)) x "
+           f"WHERE k IN ({q(chr(39))}, {q(chr(34))}) AND {_is('g', r.callee)}) y ")
+    return (hit + f"WHERE {where} AND NOT {_is('following', C.CONTINUES)} AND {_exists_word('lower(own)', words)} "
+            f"AND length(value) > 4 AND NOT {_exists_word('lower(value)', ph)}")
+
+
+O.MATERIALIZED |= {"code_cut", "code_units", "code_marks", "code_pairs", "code_calls"}
 
 
-def code_ctes(include_ref_dead: bool, suffix: str) -> dict[str, str]:
+def code_ctes() -> dict[str, str]:
+    """Calls by window functions over the marks of each file: depth as a running count, the bracket that closes as the next
+    one of its depth, an expression's start as the last one known there."""
     c = {}
-    rules = [r for r in C.CODE_RULES if include_ref_dead or not r.ref_dead]
-    parts = []
-    for r in rules:
-        msg, fix = _code_msg(r)
-        parts.append(
-            f"SELECT project, path, line, lines, {q(r.key)} AS key, {q(r.rule)} AS rule, {q(r.severity)} AS severity, "
-            f"{q(r.confidence)} AS confidence, {q(r.cwe)} AS cwe, {q(r.owasp)} AS owasp, "
-            f"CAST(length(regexp_extract(win, {q(r.pattern)}, 1)) AS INTEGER) AS col, {msg} AS message, {fix} AS fix "
-            f"FROM code_win WHERE {rx('win', r.pattern)} AND {_code_extra(r)}")
-    c[f"code_hits{suffix}"] = " UNION ALL ".join(parts)
+    some = " OR ".join([f"contains(content, {q(x)})" for x in C.CALLEE_TOKENS] + [_is("content", r"=\s*['\"]")])
+    c["code_cut"] = (f"SELECT row_number() OVER () AS f, project, path, content, regexp_extract_all(content, {_p(SP.MARKS)}) AS toks, "
+                     f"string_split_regex(content, {_p(SP.MARKS)}) AS gaps FROM code_src WHERE {some}")
+    c["code_units"] = (
+        "SELECT *, (sum(length(g) + length(t)) OVER (PARTITION BY f ORDER BY i) - length(g) - length(t))::BIGINT AS off, "
+        "sum(CASE WHEN k IN ('(', '[', '{') THEN 1 WHEN k IN (')', ']', '}') THEN -1 ELSE 0 END) OVER (PARTITION BY f ORDER BY i) AS depth FROM ("
+        "SELECT *, left(t, 1) AS k FROM (SELECT f, project, path, content, i, gaps[i] AS g, coalesce(toks[i], '') AS t FROM ("
+        "SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM code_cut)))")
+    callee = lambda n: (f"CASE WHEN k = '{{' THEN regexp_extract(g, {_p(SP.ATTRIBUTE)}, {n}) "
+                        f"ELSE regexp_extract(g, {_p(SP.CHAIN)}, {n}) END")
+    c["code_marks"] = (
+        "SELECT *, k IN ('(', '[', '{') AS opens, depth + (k IN (')', ']', '}'))::INT AS inside FROM ("
+        "SELECT *, lag(k) OVER w AS before_k, lag(off) OVER w + length(lag(g) OVER w) AS before_at, lag(off) OVER w + length(lag(prefix) OVER w) AS before_head, lag(chain) OVER w AS before_chain FROM ("
+        f"SELECT *, left(g, (length(g) - length({callee(0)}))::BIGINT) AS prefix, {callee(1)} AS chain FROM code_units) "
+        "WINDOW w AS (PARTITION BY f ORDER BY i)) WHERE k IN ('(', '[', '{', ')', ']', '}', ',')")
+    goes_on = _is("prefix", r"\.\s*$")
+    c["code_open"] = (
+        f"SELECT *, coalesce(last_value(CASE WHEN NOT opens THEN NULL WHEN NOT {goes_on} THEN off + length(prefix) "
+        "WHEN before_k = '/' THEN CASE WHEN before_chain <> '' THEN before_head END WHEN before_k NOT IN (')', ']', '}') THEN before_at END IGNORE NULLS) OVER (PARTITION BY f, inside ORDER BY i "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), off + length(prefix)) AS pos FROM code_marks")
+    c["code_pairs"] = (
+        "SELECT * FROM (SELECT *, lead(i) OVER w AS close_i, lead(opens) OVER w AS next_opens FROM code_open WHERE k <> ',' "
+        f"WINDOW w AS (PARTITION BY f, inside ORDER BY i)) WHERE opens AND NOT next_opens AND {_is('g', C.WATCHED)}")
+    c["code_calls"] = (
+        "SELECT *, list_transform(args, lambda z: " + _shape("z") + ") AS shapes FROM ("
+        "SELECT f, i, project, path, content, opened, prefix, pos, callee, after, "
+        "CASE WHEN args[-1] = '' THEN args[1:len(args) - 1] ELSE args END AS args FROM ("
+        "SELECT p.f, p.i, any_value(p.project) AS project, any_value(p.path) AS path, any_value(p.content) AS content, any_value(p.k) AS opened, "
+        "any_value(p.prefix) AS prefix, any_value(p.pos) AS pos, any_value(CASE WHEN " + _is("p.prefix", r"\?\.\s*$") + " THEN '?.' WHEN "
+        + _is("p.prefix", r"\.\s*$") + " THEN '.' ELSE '' END || CASE WHEN " + _is("p.chain", r"^new\s") + " THEN 'new ' ELSE '' END || "
+        + _sub(_sub("p.chain", r"^new\s+", ""), r"[\s!]", "") + ") AS callee, any_value(n.g || n.k) AS after, "
+        "list(" + _trimmed(_sub("substr(p.content, (b.from_at + 1)::BIGINT, (b.to_at - b.from_at)::BIGINT)", SP.COMMENTS, "\\1")) + " ORDER BY b.from_at) AS args "
+        "FROM code_pairs p JOIN code_units n ON n.f = p.f AND n.i = p.close_i + 1 JOIN ("
+        "SELECT p.f, p.i, m.off + length(m.g) + length(m.t) AS from_at, lead(m.off + length(m.g)) OVER (PARTITION BY p.f, p.i ORDER BY m.i) AS to_at "
+        "FROM code_pairs p JOIN code_marks m ON m.f = p.f AND m.inside = p.inside AND m.i BETWEEN p.i AND p.close_i) b "
+        "ON b.f = p.f AND b.i = p.i AND b.to_at IS NOT NULL GROUP BY p.f, p.i))")
+    found = []
+    for r in C.CODE_RULES:
+        if r.key in C.ARGUMENTS:
+            msg, fix = _code_texts(r)
+            found.append(f"SELECT f, project, path, content, {q(r.key)} AS key, pos, {msg} AS message, {fix} AS fix FROM code_calls "
+                         f"WHERE {_code_called(r)} AND {_code_args(r)}")
+        else:
+            found.append(_credentials(r))
+    meta = ", ".join(f"({n}, {q(r.key)}, {q(r.rule)}, {q(r.severity)}, {q(r.confidence)}, {q(r.cwe)}, {q(r.owasp)}, {str(r.ref_dead).lower()})"
+                     for n, r in enumerate(C.CODE_RULES))
+    c["code_rules"] = f"SELECT * FROM (VALUES {meta}) v(nr, key, rule, severity, confidence, cwe, owasp, dead)"
+    c["code_fired"] = " UNION ALL ".join(found)
+    c["code_placed"] = (
+        "SELECT *, string_split(content, chr(10)) AS lines, (1 + length(said) - length(replace(said, chr(10), '')))::INTEGER AS line, "
+        "length(string_split(said, chr(10))[-1])::INTEGER AS col FROM (SELECT *, left(content, pos::BIGINT) AS said FROM code_fired) JOIN code_rules USING (key)")
+    first = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY col, nr) AS n FROM code_placed{where}) WHERE n = 1"
+    c["code_hits_all"] = first.format(by="f, line, rule, key IN ('sast_cmd_member'), key IN ('sast_cmd_bare')", where="")
+    c["code_hits"] = first.format(by="f, line, rule", where=" WHERE NOT dead")
     present = {
         "id": "sha256(concat_ws('|', 'sast', project, path, CAST(line AS VARCHAR), rule, ''))",
         "project": "project", "scanner": "'sast'", "rule": "rule", "severity": "severity",
@@ -90,7 +211,7 @@ def code_ctes(include_ref_dead: bool, suffix: str) -> dict[str, str]:
         "cwe": "cwe", "owasp": "owasp", "fix_suggestion": "fix",
         "snippet": "array_to_string(lines[greatest(line - 2, 1):least(line + 2, len(lines))], chr(10))",
     }
-    c[f"code_findings{suffix}"] = f"SELECT {conform_sql(present)} FROM code_hits{suffix}"
+    c["code_findings"] = f"SELECT {conform_sql(present)} FROM code_hits"
     return c
 
 
@@ -109,13 +230,7 @@ def detect_ctes() -> dict[str, str]:
     c["code_src"] = (f"SELECT * FROM files WHERE {rx('path', r'\.(js|jsx|ts|tsx)$')} "
                      f"AND NOT {rx('path', _dirs(FS.CODE_IGNORE_DIRS))} AND NOT {rx('path', r'\.min\.js$')} "
                      f"AND NOT {rx('path', r'\.d\.ts$')} AND NOT {rx('path', r'(^|/)\.')}")
-    c["code_lines"] = ("SELECT project, path, l AS lines, unnest(generate_series(1, len(l)))::INTEGER AS line, unnest(l) AS text "
-                       "FROM (SELECT project, path, string_split(content, chr(10)) AS l FROM code_src)")
-    lt = "regexp_replace(text, '^\\s+', '')"
-    c["code_win"] = (f"SELECT project, path, lines, line, array_to_string(lines[line:line + 5], chr(10)) AS win "
-                     f"FROM code_lines WHERE NOT (starts_with({lt}, '//') OR starts_with({lt}, '/*') OR starts_with({lt}, '*'))")
-    c.update(code_ctes(False, ""))
-    c.update(code_ctes(True, "_all"))
+    c.update(code_ctes())
     # ---- config --------------------------------------------------------
     b = _b()
     kind = (f"CASE WHEN {b} = 'Dockerfile' OR starts_with({b}, 'Dockerfile.') THEN 'dockerfile' "
