@@ -1,22 +1,26 @@
 """Dependency analysis: manifests -> packages; packages x advisories ->
 dependency findings.
 
-The advisory service lookup of the reference becomes a join. It is done
-on *distinct* (ecosystem, name, version) first, so the range test runs once
-per package version however many projects use it, then joined back to the
-projects. The equi part is (ecosystem, lower(name)); the range part is a
-post-join predicate on comparable version keys (arrays of ints). No side is
-broadcast without a bound: AQE picks broadcast or shuffle from the measured
-sizes at runtime.
+The advisory service lookup of the reference becomes a join on *distinct*
+(ecosystem, name, version), so it runs once per package version however many
+projects use it. Versions and the bounds of affected intervals of a package are
+sorted together by their version keys, which makes both plain ranks. An interval
+of ranks is cut into the few dyadic blocks that cover it, a version lies in one
+block of each level, so the range test is an equi-join on (package, block): no
+pair is made that doesn't match, and a package with many versions and advisories
+spreads over its blocks. Findings then meet projects in one join, whose package
+side is dealt into ``SPLIT`` parts by project, the other side repeated for each:
+a package that a third of all projects use has no key of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import js_trim, json_object
+from ..functions.versions import version_key
 from ..schemas import conform
 from ..sources.files import root_file
 
@@ -28,6 +32,11 @@ EXPLOIT_URL_MARKERS = ["exploit", "metasploit", "packetstorm", "exploit-db"]
 CVSS_TRAILING = r"(\d+\.\d+)\z"
 CVSS_BASE = r"AV:[^/]+/AC:[^/]+/[^/]+/[^/]+/[^/]+/[^/]+/[^/]+/[^/]+:([0-9.]+)"
 
+#: A key above those of all versions.
+ABOVE = "\U0010ffff"
+#: Parts into which the rows of a package are dealt where projects meet its findings.
+SPLIT = 8
+
 MANIFEST = T.StructType([
     T.StructField("dependencies", T.MapType(T.StringType(), T.StringType())),
     T.StructField("devDependencies", T.MapType(T.StringType(), T.StringType())),
@@ -82,64 +91,82 @@ def dependencies_checked(files: DataFrame) -> DataFrame:
     return m.groupBy("project").agg(F.sum(n).alias("dependencies_checked"))
 
 
-def version_key(v: Column) -> Column:
-    """Dotted numeric version -> array<int> of 4 parts (pre-release and build
-    suffixes dropped, non-numeric parts -> 0); arrays compare lexicographically."""
-    core = F.regexp_replace(v, r"[-+].*\z", "")
-    parts = F.transform(F.split(core, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array(*[F.lit(0)] * 4)), 1, 4)
+def affected_intervals(advisories: DataFrame) -> DataFrame:
+    """(adv_id, nr, ecosystem, name_lc, lo, hi, closed) of every interval of an advisory's ranges: from an introduced event up to
+    the next fixed one after it, or through the next last_affected one (closed). Without an introduced event it is open
+    below, without an end open above. Commits are no versions."""
+    entry = advisories.select(F.col("id").alias("adv_id"), F.posexplode("affected").alias("e", "a"))
+    ranges = F.filter(F.coalesce(F.col("a.ranges"), F.array()), lambda r: ~F.coalesce(r["type"] == "GIT", F.lit(False)))
+    entry = entry.select("adv_id", "e", F.col("a.package.ecosystem").alias("ecosystem"), F.lower(F.col("a.package.name")).alias("name_lc"),
+                         F.posexplode(F.transform(ranges, lambda r: F.coalesce(r["events"], F.array()))).alias("r", "events"))
 
+    has_last = "last_affected" in entry.schema["events"].dataType.elementType.names
+    last = lambda x: x["last_affected"] if has_last else F.lit(None).cast("string")
 
-def advisory_affected(advisories: DataFrame) -> DataFrame:
-    """One row per (advisory, affected package entry) with everything the
-    match needs precomputed once per entry: version keys of every interval
-    of its ranges, and the entry's explicit versions."""
-    e = advisories.select(F.col("id").alias("adv_id"), F.posexplode("affected").alias("aff_pos", "aff"))
+    def interval(lo: Column, after: Column) -> Column:
+        end = F.try_element_at(F.filter(after, lambda x: x["fixed"].isNotNull() | last(x).isNotNull()), F.lit(1))
+        return F.struct(lo.alias("lo"), F.coalesce(end["fixed"], last(end)).alias("hi"),
+                        (end["fixed"].isNull() & last(end).isNotNull()).alias("closed"))
 
-    def bounds(r):
-        """Every interval of a range: an introduced event up to the next fixed one after it. Without
-        an introduced event the interval is open below, without a fixed one it is open above."""
-        events = F.coalesce(r["events"], F.array())
+    events = F.col("events")
+    opened = F.filter(F.transform(events, lambda x, i: F.when(x["introduced"].isNotNull(), interval(
+        x["introduced"], F.slice(events, i + 2, F.size(events))))), lambda x: x.isNotNull())
+    below = F.array(interval(F.lit(None).cast("string"), events))
+    out = entry.select("adv_id", "e", "r", "ecosystem", "name_lc",
+                       F.posexplode(F.when(F.size(opened) > 0, opened).otherwise(below)).alias("n", "i"))
+    key = lambda c: F.when(F.col(c).isNotNull(), version_key(F.col(c), F.col("ecosystem")))
+    return out.select("adv_id", F.struct("e", "r", "n").alias("nr"), "ecosystem", "name_lc", key("i.lo").alias("lo"), key("i.hi").alias("hi"), F.col("i.closed").alias("closed"))
 
-        def first_fixed(ev):
-            fixed = F.try_element_at(F.filter(ev, lambda x: x["fixed"].isNotNull()), F.lit(1))["fixed"]
-            return F.when(fixed.isNotNull(), version_key(fixed)).alias("hi")
-        opened = F.filter(F.transform(events, lambda x, i: F.when(x["introduced"].isNotNull(), F.struct(
-            version_key(x["introduced"]).alias("lo"), first_fixed(F.slice(events, i + 2, F.size(events)))))),
-            lambda x: x.isNotNull())
-        below = F.array(F.struct(F.lit(None).cast("array<int>").alias("lo"), first_fixed(events)))
-        return F.when(F.size(opened) > 0, opened).otherwise(below)
 
-    # commits are no versions
-    ranges = F.filter(F.coalesce(F.col("aff.ranges"), F.array()), lambda r: ~F.coalesce(r["type"] == "GIT", F.lit(False)))
-    return e.select(
-        "adv_id", "aff_pos",
-        F.col("aff.package.ecosystem").alias("adv_ecosystem"),
-        F.lower(F.col("aff.package.name")).alias("adv_name_lc"),
-        F.flatten(F.transform(ranges, bounds)).alias("bounds"),
-        F.col("aff.versions").alias("versions"))
+def _levels(n: Column) -> Column:
+    """Levels 0 up to the first whose one block holds n points and the end."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(2))).cast("int"))
 
 
-def _affects(vk: Column, version: Column, bounds: Column, versions: Column) -> Column:
-    by_range = F.coalesce(F.exists(bounds, lambda b: (b["lo"].isNull() | (vk >= b["lo"]))
-                                   & (b["hi"].isNull() | (vk < b["hi"]))), F.lit(False))
-    listed = F.coalesce(F.array_contains(versions, version), F.lit(False))
-    return by_range | listed
+def _shifted(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
 
 
-def sca_match(packages: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Distinct (ecosystem, name, version) x advisory ids that affect it.
+def covering_blocks(lo: Column, hi: Column, n: Column) -> Column:
+    """The dyadic blocks (level, block) that make up [lo, hi): of each level the odd one at the left end and the even one
+    at the right end, as far as ends are left."""
+    def at(level: Column) -> Column:
+        a, b = -_shifted(-lo, level), _shifted(hi, level)
+        left = F.when((a < b) & (a % 2 == 1), F.struct(level.alias("level"), a.alias("block")))
+        return F.array(left, F.when((a < b) & (b % 2 == 1), F.struct(level.alias("level"), (b - 1).alias("block"))))
+
+    return F.filter(F.flatten(F.transform(_levels(n), at)), lambda x: x.isNotNull())
+
 
-    Distinct package versions (with their version key, computed once) are
-    equi-joined to affected entries on (ecosystem, lower(name)); the range
-    test is then a comparison of precomputed int arrays.
-    """
-    pv = (packages.select("ecosystem", "name", "version").distinct()
-          .withColumn("vk", version_key(F.col("version"))))
-    aff = advisory_affected(advisories)
-    j = pv.join(aff, (pv.ecosystem == aff.adv_ecosystem) & (F.lower(pv.name) == aff.adv_name_lc))
-    hit = j.where(_affects(F.col("vk"), F.col("version"), F.col("bounds"), F.col("versions")))
-    return hit.select("ecosystem", "name", "version", "adv_id").distinct()
+def blocks_of(point: Column, n: Column) -> Column:
+    return F.transform(_levels(n), lambda level: F.struct(level.alias("level"), _shifted(point, level).alias("block")))
+
+
+def sca_match(packages: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Distinct (ecosystem, name, version) x advisory ids that affect it: by an interval, or listed by version."""
+    versions = packages.select("ecosystem", "name", "version").distinct().withColumn("name_lc", F.lower("name"))
+    versions = versions.withColumn("key", version_key(F.col("version"), F.col("ecosystem")))
+    package = ["ecosystem", "name_lc"]
+    ends = F.array(F.struct(F.lit(False).alias("upper"), F.coalesce("lo", F.lit("")).alias("key")),
+                   F.struct(F.lit(True).alias("upper"), F.coalesce("hi", F.lit(ABOVE)).alias("key")))
+    bounds = affected_intervals(advisories).select(*package, "adv_id", "nr", "closed", F.explode(ends).alias("x")).select(
+        *package, "adv_id", "nr", "closed", "x.*")
+    same_package = Window.partitionBy(*package)
+    points = versions.unionByName(bounds, allowMissingColumns=True).withColumn(
+        "rank", (F.dense_rank().over(same_package.orderBy("key")) - 1).cast("long"))
+    points = points.withColumn("n", F.max("rank").over(same_package) + 1)
+    intervals = points.where(F.col("adv_id").isNotNull()).groupBy("adv_id", "nr", *package, "n").agg(
+        F.min(F.when(~F.col("upper"), F.col("rank"))).alias("a"),
+        F.min(F.when(F.col("upper"), F.col("rank") + F.col("closed").cast("int"))).alias("b"))
+    cover = intervals.select("adv_id", *package, F.explode(covering_blocks(F.col("a"), F.col("b"), F.col("n"))).alias("x"))
+    held = points.where(F.col("adv_id").isNull()).select(
+        *package, "name", "version", F.explode(blocks_of(F.col("rank"), F.col("n"))).alias("x"))
+    by_range = held.join(cover, [*package, "x"]).select("ecosystem", "name", "version", "adv_id")
+    listed = advisories.select(F.col("id").alias("adv_id"), F.explode("affected").alias("a")).select(
+        "adv_id", F.col("a.package.ecosystem").alias("ecosystem"), F.lower(F.col("a.package.name")).alias("name_lc"),
+        F.explode("a.versions").alias("version"))
+    by_name = versions.join(listed, [*package, "version"]).select("ecosystem", "name", "version", "adv_id")
+    return by_range.unionByName(by_name).distinct()
 
 
 def cvss_score(adv: Column) -> Column:
@@ -211,11 +238,11 @@ def advisory_facts(advisories: DataFrame) -> DataFrame:
 
 
 def sca_findings(packages: DataFrame, advisories: DataFrame, conform_schema: bool = True) -> DataFrame:
-    m = sca_match(packages, advisories)
     facts = advisory_facts(advisories)
-    per_project = packages.join(m, ["ecosystem", "name", "version"])
-    j = per_project.join(facts, (per_project.adv_id == facts.adv_id) & (F.lower(per_project.name) == facts.name_lc)) \
-        .drop(facts.adv_id)
+    m = sca_match(packages, advisories).withColumn("name_lc", F.lower("name")).join(facts, ["adv_id", "name_lc"])
+    parts = m.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    dealt = packages.withColumn("part", F.pmod(F.xxhash64("project"), F.lit(SPLIT)).cast("int"))
+    j = dealt.join(parts, ["ecosystem", "name", "version", "part"])
     name, ver = F.col("name"), F.col("version")
     out = j.select(
         F.sha2(F.concat_ws("|", F.lit("sca"), "project", F.lit("/package.json"), F.lit("1"),

@@ -8,6 +8,7 @@ from ..operators import config as G
 from ..operators import deps as D
 from ..operators import reach as R
 from ..operators import spans as SP
+from ..functions import versions as V
 from ..sources import files as FS
 from . import oracle as O
 from .oracle import conform_sql, js_trim_sql, q, rx
@@ -215,6 +216,27 @@ def code_ctes() -> dict[str, str]:
     return c
 
 
+def version_key_sql(v: str, ecosystem: str) -> str:
+    """Sort keys of versions, written apart from the Spark side's: a number as its length and digits."""
+    num = lambda x: f"(lpad(length(ltrim({x}, '0'))::VARCHAR, 4, '0') || ltrim({x}, '0'))"
+    core = lambda x: (
+        f"(regexp_replace(list_aggregate(list_transform(string_split({x}, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') "
+        f"THEN ',' || {num('p')} ELSE ',0000' END), 'string_agg', '') || '!', '(,0000)+!$', '!'))")
+    pre = f"regexp_extract({v}, {q(V.SEMVER_PRE)}, 1)"
+    ids = (f"list_aggregate(list_transform(string_split({pre}, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '1' || {num('p')} "
+           "ELSE '2' || p || '!' END), 'string_agg', '')")
+    semver = f"({core(f'regexp_extract({v}, {q(V.SEMVER_CORE)}, 1)')} || CASE WHEN {pre} = '' THEN '~' ELSE '-' || {ids} || '0' END)"
+    g = lambda i: f"regexp_extract(lower({v}), {q(V.PEP440)}, {i})"
+    phase = "CASE " + g(3) + " " + " ".join(f"WHEN {q(k)} THEN '{n}'" for k, n in V.PHASES.items()) + " END"
+    post, dev = f"({g(5)} <> '' OR {g(7)} <> '')", f"{g(8)} <> ''"
+    post_key, dev_key = f"'6' || {num(g(6) + ' || ' + g(7))}", f"'1' || {num(g(9))}"
+    pep = (f"({num(g(1))} || {core(g(2))} || CASE WHEN {g(3)} <> '' THEN {phase} || {num(g(4))} WHEN {post} THEN {post_key} WHEN {dev} THEN {dev_key} ELSE '5' END "
+           f"|| CASE WHEN {g(3)} <> '' AND {post} THEN {post_key} WHEN ({g(3)} <> '' OR {post}) AND {dev} THEN {dev_key} ELSE '5' END "
+           f"|| CASE WHEN {g(3)} <> '' AND {post} AND {dev} THEN {dev_key} ELSE '5' END)")
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN {ecosystem} = 'PyPI' AND regexp_matches(lower({v}), {q(V.PEP440)}) THEN {pep} "
+            f"WHEN {ecosystem} = 'PyPI' THEN '0000' || {semver} ELSE {semver} END")
+
+
 def cvss_sql(a: str) -> str:
     return (f"coalesce(CASE WHEN {a}.db_cvss IS NOT NULL AND {a}.db_cvss <> 0 THEN {a}.db_cvss "
             f"WHEN {a}.sev_type IN ('CVSS_V3', 'CVSS_V2') AND {rx(a + '.sev_score', D.CVSS_TRAILING)} "
@@ -344,18 +366,25 @@ def detect_ctes() -> dict[str, str]:
     c["deps_checked"] = ("SELECT project, sum(coalesce(cardinality(m.dependencies), 0) + coalesce(cardinality(m.devDependencies), 0))::BIGINT "
                          "AS dependencies_checked FROM manifest GROUP BY project")
 
-    def vk(v):
-        return (f"(list_transform(string_split(regexp_replace({v}, '[-+].*$', ''), '.'), "
-                f"lambda x: coalesce(TRY_CAST(x AS INTEGER), 0)) || [0, 0, 0, 0])[1:4]")
+    key = lambda v: version_key_sql(v, "a.pkg_ecosystem")
+    c["adv_intervals"] = (
+        "SELECT id, pkg_ecosystem, pkg_name, lo, hi, closed FROM ("
+        "SELECT id, pkg_ecosystem, pkg_name, introduced AS lo, coalesce(fixed, last_affected, fixed2) AS hi, "
+        "coalesce(fixed IS NULL AND last_affected IS NOT NULL, false) AS closed, introduced IS NOT NULL OR introduced2 IS NULL AS there FROM advisories_flat "
+        "UNION ALL SELECT id, pkg_ecosystem, pkg_name, introduced2, fixed2, false, introduced2 IS NOT NULL FROM advisories_flat) WHERE there")
+    c["adv_keys"] = (f"SELECT id, pkg_ecosystem, lower(pkg_name) AS name_lc, closed, {key('lo')} AS lo, {key('hi')} AS hi FROM adv_intervals a")
+    c["sca_versions"] = (f"SELECT *, {version_key_sql('version', 'ecosystem')} AS vk FROM (SELECT DISTINCT ecosystem, name, version FROM packages)")
     c["sca_match"] = (
-        "SELECT DISTINCT p.ecosystem, p.name, p.version, a.id AS adv_id FROM (SELECT DISTINCT ecosystem, name, version FROM packages) p "
-        "JOIN advisories_flat a ON p.ecosystem = a.pkg_ecosystem AND lower(p.name) = lower(a.pkg_name) "
-        f"WHERE ((a.introduced IS NULL OR {vk('p.version')} >= {vk('a.introduced')}) AND (a.fixed IS NULL OR {vk('p.version')} < {vk('a.fixed')})) "
-        "OR coalesce(p.version = a.extra_version, false)")
+        "SELECT DISTINCT p.ecosystem, p.name, p.version, a.id AS adv_id FROM sca_versions p "
+        "JOIN adv_keys a ON p.ecosystem = a.pkg_ecosystem AND lower(p.name) = a.name_lc "
+        "WHERE (a.lo IS NULL OR p.vk >= a.lo) AND (a.hi IS NULL OR p.vk < a.hi OR (a.closed AND p.vk = a.hi)) "
+        "UNION SELECT p.ecosystem, p.name, p.version, a.id FROM sca_versions p JOIN advisories_flat a "
+        "ON p.ecosystem = a.pkg_ecosystem AND lower(p.name) = lower(a.pkg_name) AND p.version = a.extra_version")
     cvss = cvss_sql("a")
-    fixed = "CASE WHEN length(a.fixed) > 0 THEN a.fixed END"
-    rng = ("CASE WHEN length(a.introduced) > 0 AND length(a.fixed) > 0 THEN '>= ' || a.introduced || ', < ' || a.fixed "
-           "WHEN length(a.introduced) > 0 THEN '>= ' || a.introduced WHEN length(a.fixed) > 0 THEN '< ' || a.fixed ELSE '< *' END")
+    fixed = "coalesce(a.fixed, a.fixed2)"
+    lo, hi = "coalesce(a.introduced2, a.introduced)", "coalesce(a.fixed2, a.fixed)"
+    rng = (f"CASE WHEN {lo} IS NOT NULL AND {hi} IS NOT NULL THEN '>= ' || {lo} || ', < ' || {hi} "
+           f"WHEN {lo} IS NOT NULL THEN '>= ' || {lo} WHEN {hi} IS NOT NULL THEN '< ' || {hi} ELSE '< *' END")
     expl = ("(a.ref_type = 'EVIDENCE' OR contains(a.ref_url, 'exploit') OR contains(a.ref_url, 'metasploit') "
             "OR contains(a.ref_url, 'packetstorm') OR contains(a.ref_url, 'exploit-db'))")
     cve = "coalesce(CASE WHEN starts_with(a.cve_alias, 'CVE-') THEN a.cve_alias END, a.id)"

@@ -107,7 +107,8 @@ def _(spark, sf):
 
 oracle("src_advisories",
        "SELECT id, pkg_name AS package_name, pkg_ecosystem AS ecosystem, CAST(cve_alias IS NOT NULL AS INTEGER) AS n_aliases, "
-       "db_cvss, CAST(introduced IS NOT NULL AS INTEGER) + CAST(fixed IS NOT NULL AS INTEGER) AS n_events, summary FROM advisories_flat",
+       "db_cvss, " + " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ("introduced", "fixed", "last_affected", "introduced2", "fixed2"))
+       + " AS n_events, summary FROM advisories_flat",
        ["advisories_flat"])
 
 
@@ -363,18 +364,15 @@ oracle("sca_match", "SELECT * FROM sca_match", ["sca_match"])
 
 @query("version_key", "2.6")
 def _(spark, sf):
-    p = _packages(spark, sf).select("version").distinct()
-    k = D.version_key(F.col("version"))
-    return p.select("version", *[k[i].alias(f"k{i}") for i in range(4)])
+    """Every version's key, and its place among the versions of its package."""
+    p = _packages(spark, sf).select("ecosystem", "name", "version").distinct()
+    p = p.withColumn("sort_key", D.version_key(F.col("version"), F.col("ecosystem")))
+    place = F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy("sort_key")).cast("long")
+    return p.withColumn("place", place)
 
 
-def _vk(v):
-    return (f"(list_transform(string_split(regexp_replace({v}, '[-+].*$', ''), '.'), "
-            f"lambda x: coalesce(TRY_CAST(x AS INTEGER), 0)) || [0, 0, 0, 0])")
-
-
-oracle("version_key", "SELECT version, " + ", ".join(f"{_vk('version')}[{i + 1}] AS k{i}" for i in range(4))
-       + " FROM (SELECT DISTINCT version FROM packages)", ["packages"])
+oracle("version_key", f"SELECT *, dense_rank() OVER (PARTITION BY ecosystem, name ORDER BY sort_key) AS place FROM ("
+       f"SELECT DISTINCT ecosystem, name, version, {oracle_detect.version_key_sql('version', 'ecosystem')} AS sort_key FROM packages)", ["packages"])
 
 
 @query("sca_cvss", "2.6")

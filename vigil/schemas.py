@@ -34,7 +34,8 @@ ADVISORIES = T.StructType([
         T.StructField("ranges", T.ArrayType(T.StructType([
             T.StructField("type", T.StringType()),
             T.StructField("events", T.ArrayType(T.StructType([
-                T.StructField("introduced", T.StringType()), T.StructField("fixed", T.StringType())]))),
+                T.StructField("introduced", T.StringType()), T.StructField("fixed", T.StringType()),
+                T.StructField("last_affected", T.StringType())]))),
         ]))),
         T.StructField("versions", T.ArrayType(T.StringType())),
     ]))),

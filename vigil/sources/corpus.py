@@ -298,6 +298,14 @@ def package_spec_sql() -> str:
             "WHEN 4 THEN '*' WHEN 5 THEN '<' || version ELSE version END")
 
 
+def version_sql() -> str:
+    """Plain, pre-release, four-part and date versions."""
+    return ("CASE WHEN p_partkey % 29 = 7 THEN '2024010112345.' || CAST(p_size % 3 AS STRING) ELSE "
+            "CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 20 AS STRING) || '.' || CAST(p_size % 10 AS STRING) "
+            "|| CASE WHEN p_partkey % 17 = 2 THEN '-beta.' || CAST(p_size % 12 AS STRING) WHEN p_partkey % 17 = 5 THEN '-rc' "
+            "WHEN p_partkey % 13 = 4 THEN '.' || CAST(p_size % 4 AS STRING) ELSE '' END END")
+
+
 def advisory_exprs() -> dict[str, str]:
     """Flat advisory fields over ``part`` (shared by both engines)."""
     k = "p_partkey"
@@ -316,7 +324,11 @@ def advisory_exprs() -> dict[str, str]:
         "pkg_name": package_name_sql(),
         "pkg_ecosystem": ecosystem_sql(),
         "introduced": f"CASE WHEN {k} % 6 = 5 THEN NULL ELSE CAST(p_size % 3 AS STRING) || '.0.0' END",
-        "fixed": f"CASE WHEN {k} % 11 = 0 THEN NULL ELSE CAST(p_size % 5 + 1 AS STRING) || '.' || CAST({k} % 10 AS STRING) || '.0' END",
+        "fixed": (f"CASE WHEN {k} % 11 = 0 OR {k} % 7 = 5 THEN NULL ELSE CAST(p_size % 5 + 1 AS STRING) || '.' || CAST({k} % 10 AS STRING) || '.0' "
+                  f"|| CASE WHEN {k} % 7 = 3 THEN '-rc.1' ELSE '' END END"),
+        "last_affected": f"CASE WHEN {k} % 7 = 5 THEN CAST(p_size % 5 + 1 AS STRING) || '.' || CAST({k} % 20 AS STRING) END",
+        "introduced2": f"CASE WHEN {k} % 8 = 1 AND {k} % 6 <> 5 AND {k} % 11 <> 0 THEN CAST(p_size % 5 + 2 AS STRING) || '.0.0-beta' END",
+        "fixed2": f"CASE WHEN {k} % 8 = 1 AND {k} % 6 <> 5 AND {k} % 11 <> 0 AND {k} % 5 <> 0 THEN CAST(p_size % 5 + 2 AS STRING) || '.9.1.4' END",
         "extra_version": f"CASE WHEN {k} % 9 = 0 THEN CAST(p_size % 5 AS STRING) || '.' || CAST({k} % 20 AS STRING) || '.' || CAST(p_size % 10 AS STRING) END",
         "ref_type": f"CASE WHEN {k} % 10 = 0 THEN 'EVIDENCE' ELSE 'WEB' END",
         "ref_url": (f"CASE WHEN {k} % 10 = 5 THEN 'https://www.exploit-db.com/exploits/' || CAST({k} AS STRING) "
@@ -437,8 +449,7 @@ def packages_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(_project_of("l_suppkey")).alias("project"),
         F.expr(ecosystem_sql()).alias("ecosystem"),
         F.expr(package_name_sql()).alias("name"),
-        F.expr("CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 20 AS STRING) || '.' "
-               "|| CAST(p_size % 10 AS STRING)").alias("version"),
+        F.expr(version_sql()).alias("version"),
     )
     agg = rows.groupBy("project", "ecosystem", "name").agg(F.max("version").alias("version"))
     return agg.withColumn(
@@ -492,6 +503,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .unionByName(root_files(spark, sf_dir)))
 
 
+#: The events of an advisory's range in order: kind, expression.
+EVENTS = (("introduced", "introduced"), ("fixed", "fixed"), ("last_affected", "last_affected"),
+          ("introduced", "introduced2"), ("fixed", "fixed2"))
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested advisory records, one per part row (same shape as the JSON feed)."""
     part = read(spark, sf_dir, "part")
@@ -508,10 +524,10 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(e["pkg_name"].alias("name"), e["pkg_ecosystem"].alias("ecosystem")).alias("package"),
             F.array(F.struct(
                 F.lit("SEMVER").alias("type"),
-                F.filter(F.array(
-                    F.struct(e["introduced"].alias("introduced"), F.lit(None).cast("string").alias("fixed")),
-                    F.struct(F.lit(None).cast("string").alias("introduced"), e["fixed"].alias("fixed"))),
-                    lambda ev: ev["introduced"].isNotNull() | ev["fixed"].isNotNull()).alias("events"),
+                F.filter(F.array(*(F.struct(*((e[source] if field == kind else F.lit(None).cast("string")).alias(field)
+                                              for field in ("introduced", "fixed", "last_affected")))
+                                   for kind, source in EVENTS)),
+                         lambda ev: F.coalesce(ev["introduced"], ev["fixed"], ev["last_affected"]).isNotNull()).alias("events"),
             )).alias("ranges"),
             F.filter(F.array(e["extra_version"]), lambda x: x.isNotNull()).alias("versions"),
         )).alias("affected"),
@@ -551,7 +567,7 @@ def duck_ctes() -> dict[str, str]:
         "SELECT project, ecosystem, name, max(version) AS version, "
         "(length(name) + CAST(substr(project, 4) AS INT)) % 4 = 0 AS is_dev FROM ("
         f"SELECT {_project_of('l_suppkey')} AS project, {ecosystem_sql()} AS ecosystem, {package_name_sql()} AS name, "
-        "CAST(p_size % 5 AS STRING) || '.' || CAST(p_partkey % 20 AS STRING) || '.' || CAST(p_size % 10 AS STRING) AS version "
+        f"{version_sql()} AS version "
         "FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY project, ecosystem, name")
     ctes["projects0"] = "SELECT source AS project, min(doc_id) AS d0 FROM documents GROUP BY source"
     v = root_variant_sql(d)
