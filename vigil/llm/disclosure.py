@@ -143,16 +143,16 @@ def _text(df: DataFrame, text_col: str) -> DataFrame:
 
 def co_occurrences(texts: DataFrame) -> DataFrame:
     """(entity, term, both, contexts): documents with the term, or a term of that class, near the entity, and in how many
-    different surroundings. The entity itself stands as term ''."""
+    different surroundings. The entity itself stands as term ''; entity '' is any of them."""
     whole = lambda s: F.concat(  # noqa: E731  a word cut by the window's edge does not count
         terms(F.when(F.length(s["before"]) == WINDOW, F.regexp_replace(s["before"], r"^[\p{L}\p{N}]+", "")).otherwise(s["before"])),
         terms(F.when(F.length(s["after"]) == WINDOW, F.regexp_replace(s["after"], r"[\p{L}\p{N}]+\z", "")).otherwise(s["after"])))
     pairs = lambda s: F.transform(
         let(whole(s), lambda w: F.concat(F.array(F.lit("")), F.transform(w, F.lower), F.transform(w, class_of))),
-        lambda t: F.struct(s["entity"].alias("entity"), t.alias("term")))
+        lambda t: F.array(F.struct(s["entity"].alias("entity"), t.alias("term")), F.struct(F.lit("").alias("entity"), t.alias("term"))))
     held = texts.select(values(F.col("t"), WINDOW).alias("s")).where(F.size("s") > 0)
     held = held.select(F.xxhash64(F.transform("s", lambda s: F.struct(s["before"], s["entity"], s["after"]))).alias("context"),
-                       F.explode(F.array_distinct(F.flatten(F.transform("s", pairs)))).alias("p"))
+                       F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("s", pairs))))).alias("p"))
     return held.groupBy("p.entity", "p.term", "context").count().groupBy("entity", "term").agg(
         F.sum("count").alias("both"), F.count(F.lit(1)).alias("contexts"))
 
@@ -165,23 +165,26 @@ def told(both: Column, e: Column, t: Column, n: Column) -> Column:
 
 def disclosing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, remove) of the terms over the threshold; (digest, term): the texts that hold a candidate."""
-    seen = staged(co_occurrences(texts), "co-occurrences")
-    entities = seen.where("term = ''").select("entity", F.col("both").alias("e"))
-    often = staged(seen.where((F.col("term") != "") & (F.col("contexts") >= CONTEXTS)).join(entities, "entity"), "candidates")
-    is_class = F.col("term").startswith("[")
-    candidates = often.where(~is_class).select("term").distinct()
-    held = texts.select(F.sha2(F.col("t").cast("binary"), 256).alias("digest"),
-                        F.explode(F.array_distinct(F.transform(terms(F.col("t")), F.lower))).alias("term"))
-    holders = staged(held.join(sized(staged(candidates, "candidate-terms")), "term", "left_semi"), "holders")
     classes = {"[word]": F.exists(terms(F.col("t")), lambda w: class_of(w) == "[word]"),
                "[name]": F.exists(terms(F.col("t")), lambda w: class_of(w) == "[name]"),
                "[number]": F.exists(terms(F.col("t")), lambda w: class_of(w) == "[number]")}
     total = texts.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("int")).alias(k) for k, c in classes.items())).first()
     n = F.lit(float(total["n"]))
     of_class = F.create_map(*[x for k in classes for x in (F.lit(k), F.lit(float(total[k] or 0)))])
+    seen = staged(co_occurrences(texts), "co-occurrences")
+    entities = seen.where("entity <> '' AND term = ''").select("entity", F.col("both").alias("e"))
+    anywhere = seen.where("entity = '' AND term <> ''").select("term", F.col("both").alias("near"))
+    often = seen.where((F.col("entity") != "") & (F.col("term") != "") & (F.col("contexts") >= CONTEXTS)).join(entities, "entity").join(anywhere, "term")
+    often = staged(often, "candidates")
+    is_class = F.col("term").startswith("[")
+    # a term is in at least as many documents as hold it near any entity: that bound leaves out the common words
+    could = often.where(~is_class & (told(F.col("both"), F.col("e"), F.col("near"), n) >= DISCLOSURE))
+    held = texts.select(F.sha2(F.col("t").cast("binary"), 256).alias("digest"),
+                        F.explode(F.array_distinct(F.transform(terms(F.col("t")), F.lower))).alias("term"))
+    holders = staged(held.join(sized(staged(could.select("term").distinct(), "candidate-terms")), "term", "left_semi"), "holders")
     by_class = often.where(is_class).where(told(F.col("both"), F.col("e"), F.element_at(of_class, F.col("term")), n) >= DISCLOSURE)
     counts = holders.groupBy("term").agg(F.count(F.lit(1)).alias("t"))
-    found = often.where(~is_class).join(counts, "term").where(told(F.col("both"), F.col("e"), F.col("t"), n) >= DISCLOSURE)
+    found = could.join(counts, "term").where(told(F.col("both"), F.col("e"), F.col("t"), n) >= DISCLOSURE)
     bad = by_class.select("entity", F.lit(True).alias("remove")).distinct()
     found = found.join(bad, "entity", "left").groupBy("term").agg(F.coalesce(F.max("remove"), F.lit(False)).alias("remove"))
     return found, holders
