@@ -82,7 +82,7 @@ def test_scans_are_judged_apart(spark):
     tri = triage.dedup_flags(f).withColumn("auto_ignored", F.lit(False)).withColumn("contextual_severity", F.lit(None).cast("string"))
     status = sorted((r.scan_no, r.status) for r in reports.status_diff(tri).collect())
     assert status == [(2, "fixed"), (2, "open"), (3, "new"), (3, "open")]
-    assert [r.high for r in reports.trend(tri).orderBy("scan_month").collect()] == [2, 1, 2]
+    assert [r.high for r in reports.trend(tri).orderBy("scan_ts").collect()] == [2, 1, 2]
 
 
 def test_every_interval_of_a_range(spark):

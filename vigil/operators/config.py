@@ -133,46 +133,76 @@ def dockerfile_findings(cfg: DataFrame) -> DataFrame:
 # docker-compose
 # ---------------------------------------------------------------------------
 
+#: A comment behind a value, outside of quotes; a key at a line's start; a key inside a flow map.
+YAML_COMMENT = r"""^([^"'\s]*+(?:(?:\s*+"[^"]*+"|\s*+'[^']*+'|\s++[^#\s"'])[^"'\s]*+)*+)\s+#.*$"""
+YAML_KEY = r"""^["']?([A-Za-z0-9_.\-]+)["']?\s*:(?:\s|$)"""
+FLOW_KEY = r"""^["']?([A-Za-z0-9_.\-]+)["']?\s*:\s+"""
+
+
+def _unquote(x: Column) -> Column:
+    return F.regexp_replace(js_trim(x), r"""^(['"])(.*)\1\z""", "$2")
+
+
+def _flow_parts(x: Column) -> Column:
+    """The parts of a flow list or map, or of one of its lines."""
+    parts = F.transform(F.split(F.regexp_replace(x, r"^\s*[\[{]|[\]}]\s*,?\s*$", ""), ","), js_trim)
+    return F.filter(parts, lambda p: p != "")
+
+
 def compose_entries(cfg: DataFrame) -> DataFrame:
-    """(project, path, line, service, section, item) for every value line
-    under a service: section is the service key (ports, environment, ...)."""
+    """(project, path, line, service, section, value, parts): every line that gives a service's property a value, with the
+    entries it holds; value is what stands on the property's own line.
+
+    No width of indentation is assumed. Each block takes its own from the file: services stand at the least indent under
+    ``services``, a service's properties at the least indent under it; what is deeper, or a list item at a property's own
+    indent, belongs to the property. Lists and maps may be in flow style, over several lines too."""
     lines = lines_explode(cfg.where(F.col("kind") == "compose"))
     t = F.col("text")
     body = js_trim(t)
     indent = F.length(t) - F.length(F.regexp_replace(t, r"^\s+", ""))
-    meaningful = (F.length(body) > 0) & ~body.startswith("#")
-    key = F.regexp_extract(body, r"^([A-Za-z0-9_.\-]+)\s*:", 1)
-    w = Window.partitionBy("project", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.where(meaningful).select(
-        "project", "path", "line", body.alias("body"), indent.alias("indent"), key.alias("key"))
-    top = F.last(F.when(F.col("indent") == 0, F.col("key")), ignorenulls=True).over(w)
-    svc_mark = F.when(F.col("indent") == 0, F.lit("")).when(F.col("indent") == 2, F.col("key"))
-    svc = F.last(svc_mark, ignorenulls=True).over(w)
-    sec_mark = F.when(F.col("indent") <= 2, F.lit("")).when(F.col("indent") == 4, F.col("key"))
-    sec = F.last(sec_mark, ignorenulls=True).over(w)
-    return lines.select("project", "path", "line", "body", "indent", "key", top.alias("top"),
-                        svc.alias("service"), sec.alias("section"))
-
-
-def _unquote(x: Column) -> Column:
-    return F.regexp_replace(js_trim(x), r"""^(['"])(.*)\1\z""", "$2")
+    lines = lines.select("project", "path", "line", body.alias("body"), indent.alias("indent")).where(
+        (F.length("body") > 0) & ~F.col("body").startswith("#"))
+    lines = lines.withColumn("body", F.regexp_replace("body", YAML_COMMENT, "$1"))
+    item = F.col("body").rlike(r"^-(\s|$)")
+    lines = lines.withColumn("item", item).withColumn("key", F.when(item, F.lit("")).otherwise(F.regexp_extract("body", YAML_KEY, 1)))
+    file = Window.partitionBy("project", "path")
+    so_far = file.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.col("key") != ""
+    lines = lines.withColumn("top", F.last(F.when((F.col("indent") == 0) & named, F.col("key")), ignorenulls=True).over(so_far))
+    inside = (F.col("top") == "services") & (F.col("indent") > 0)
+    lines = lines.withColumn("service_indent", F.min(F.when(inside, F.col("indent"))).over(file)).where(inside)
+    begins = (F.col("indent") == F.col("service_indent")) & named
+    lines = lines.withColumn("nr", F.sum(begins.cast("int")).over(so_far)).withColumn(
+        "service", F.last(F.when(begins, F.col("key")), ignorenulls=True).over(so_far))
+    own = Window.partitionBy("project", "path", "nr")
+    lines = lines.withColumn("own_indent", F.min(F.when(F.col("indent") > F.col("service_indent"), F.col("indent"))).over(own))
+    lines = lines.where((F.col("nr") > 0) & (F.col("indent") > F.col("service_indent")))
+    is_property = (F.col("indent") == F.col("own_indent")) & named
+    inline = js_trim(F.regexp_replace("body", YAML_KEY, ""))
+    head = F.last(F.when(is_property, F.struct(F.col("key").alias("section"), inline.alias("opened"))), ignorenulls=True).over(
+        own.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("head", head).withColumn("own_line", is_property).withColumn("inline", inline)
+    flows = F.col("head.opened").rlike(r"^[\[{]")
+    parts = (F.when(F.col("own_line"), F.when(flows, _flow_parts(F.col("inline"))).otherwise(F.array().cast("array<string>")))
+             .when(F.col("item"), F.array(F.regexp_replace("body", r"^-\s*", "")))
+             .when(flows, _flow_parts(F.col("body")))
+             .when(named, F.array(F.concat("key", F.lit(": "), F.when(inline == "", F.lit("null")).otherwise(inline))))
+             .otherwise(F.array().cast("array<string>")))
+    return lines.select("project", "path", "line", "service", F.col("head.section").alias("section"),
+                        F.when(F.col("own_line"), F.col("inline")).alias("value"), parts.alias("parts"))
 
 
 def compose_findings(cfg: DataFrame) -> DataFrame:
-    e = compose_entries(cfg).where((F.col("top") == "services") & (F.length("service") > 0))
-    body = F.col("body")
-    value = js_trim(F.regexp_replace(body, r"^[A-Za-z0-9_.\-]+\s*:", ""))
-    priv = e.where((F.col("indent") == 4) & (F.col("key") == "privileged") & (value == "true"))
-    item = _unquote(F.regexp_replace(body, r"^-\s*", ""))
-    ports = (e.where((F.col("indent") > 4) & (F.col("section") == "ports") & body.startswith("-"))
-             .withColumn("port", item)
+    e = compose_entries(cfg)
+    priv = e.where((F.col("section") == "privileged") & F.col("value").isin("true", "True", "TRUE"))
+    each = lambda section: e.where(F.col("section") == section).withColumn("part", F.explode("parts"))
+    ports = (each("ports").withColumn("port", _unquote(F.col("part")))
              .where((F.col("port").startswith("0.0.0.0:") | ~F.contains(F.col("port"), F.lit(":")))
                     & ~F.contains(F.col("port"), F.lit("80:")) & ~F.contains(F.col("port"), F.lit("443:"))))
-    env_item = F.when(body.startswith("-"), item).otherwise(
-        F.concat(F.col("key"), F.lit("="), _unquote(value)))
-    envs = (e.where((F.col("indent") > 4) & (F.col("section") == "environment"))
-            .withColumn("entry", env_item)
-            .where(F.col("entry").rlike(COMPOSE_ENV_SECRET) & ~F.contains(F.col("entry"), F.lit("${"))))
+    entry = F.when(F.col("part").rlike(FLOW_KEY), F.concat(
+        F.regexp_extract("part", FLOW_KEY, 1), F.lit("="), _unquote(F.regexp_replace("part", FLOW_KEY, "")))).otherwise(_unquote(F.col("part")))
+    envs = each("environment").withColumn("entry", entry).where(
+        F.col("entry").rlike(COMPOSE_ENV_SECRET) & ~F.contains(F.col("entry"), F.lit("${")))
     svc = F.col("service")
     return (_finding(priv, "compose-privileged-container", F.col("line"),
                      F.concat(F.lit("Service '"), svc, F.lit("' runs in privileged mode — full host access is granted")))

@@ -60,18 +60,13 @@ def console_rows(top: DataFrame) -> DataFrame:
                       truncate_ellipsis(file_tail2(F.col("path")), 33).alias("file"), "line")
 
 
-def monthly(df: DataFrame) -> DataFrame:
-    return df.withColumn("scan_month", F.date_trunc("month", F.col("scan_ts")))
-
-
 def trend(triaged: DataFrame) -> DataFrame:
-    """Per project and scan month: active counts, score and its direction."""
+    """Per project and scan (its time stamp): active counts, score and its direction."""
     from .metrics import severity_count_aggs, with_score
-    m = monthly(triaged).groupBy("project", "scan_month").agg(*severity_count_aggs())
-    s = with_score(m)
-    w = Window.partitionBy("project").orderBy("scan_month")
+    s = with_score(triaged.groupBy("project", "scan_ts").agg(*severity_count_aggs()))
+    w = Window.partitionBy("project").orderBy("scan_ts")
     prev = F.lag("security_score").over(w)
-    return s.select("project", "scan_month", "critical", "high", "medium", "security_score",
+    return s.select("project", "scan_ts", "critical", "high", "medium", "security_score",
                     prev.alias("previous_score"),
                     F.when(prev.isNull(), "new").when(F.col("security_score") > prev, "improving")
                     .when(F.col("security_score") < prev, "declining").otherwise("stable").alias("direction"))
@@ -85,33 +80,56 @@ def fingerprint() -> Column:
 
 
 def scan_numbers(triaged: DataFrame) -> DataFrame:
-    """(project, scan_month, scan_no): scans numbered per project."""
-    scans = monthly(triaged).select("project", "scan_month").distinct()
-    w = Window.partitionBy("project").orderBy("scan_month")
-    return scans.withColumn("scan_no", F.row_number().over(w))
+    """(project, scan_ts, scan_no): a project's scans numbered by their time stamps."""
+    w = Window.partitionBy("project").orderBy("scan_ts")
+    return triaged.select("project", "scan_ts").distinct().withColumn("scan_no", F.row_number().over(w))
+
+
+def presence(triaged: DataFrame) -> DataFrame:
+    """(project, fp, scan_no, sev_rank, ignored): the scans in which a finding was seen; ignored where all its rows were
+    auto-ignored or duplicates. ``before`` and ``after``: the scans in which it was seen next."""
+    seen = triaged.join(scan_numbers(triaged), ["project", "scan_ts"]).groupBy("project", fingerprint().alias("fp"), "scan_no").agg(
+        F.max(severity_rank(effective_severity())).alias("sev_rank"), F.min((~is_active()).cast("int")).cast("boolean").alias("ignored"))
+    w = Window.partitionBy("project", "fp").orderBy("scan_no")
+    return seen.withColumn("before", F.lag("scan_no").over(w)).withColumn("after", F.lead("scan_no").over(w))
+
+
+def _last_numbers(triaged: DataFrame) -> DataFrame:
+    return scan_numbers(triaged).groupBy("project").agg(F.max("scan_no").alias("last_no"))
 
 
 def status_diff(triaged: DataFrame) -> DataFrame:
-    """Per project and consecutive scan pair: fingerprints new / open /
-    fixed between scan k-1 and scan k (full outer join on the fingerprint)."""
-    nums = scan_numbers(triaged)
-    fp = (monthly(triaged).join(nums, ["project", "scan_month"])
-          .groupBy("project", "scan_no", fingerprint().alias("fp"))
-          .agg(F.max(severity_rank(effective_severity())).alias("sev_rank")))
-    cur = fp.select("project", "scan_no", "fp", F.col("sev_rank").alias("cur_rank"))
-    prev = fp.select("project", (F.col("scan_no") + 1).alias("scan_no"), "fp", F.col("sev_rank").alias("prev_rank"))
-    j = cur.join(prev, ["project", "scan_no", "fp"], "full_outer")
-    last = nums.groupBy("project").agg(F.max("scan_no").alias("last_no"))
-    j = j.join(last, "project").where((F.col("scan_no") > 1) & (F.col("scan_no") <= F.col("last_no")))
-    status = (F.when(F.col("prev_rank").isNull(), "new").when(F.col("cur_rank").isNull(), "fixed").otherwise("open"))
-    return j.select("project", "scan_no", "fp", status.alias("status"),
-                    F.coalesce("cur_rank", "prev_rank").alias("sev_rank"))
-
-
-def status_of(triaged: DataFrame) -> Column:
-    """UI status of a finding: ignored (auto-ignored or duplicate) or open."""
-    return (F.when(F.coalesce(F.col("auto_ignored"), F.lit(False)) | F.coalesce(F.col("is_duplicate"), F.lit(False)),
-                   "ignored").otherwise("open"))
+    """Per project, scan from the second on, and finding: new, reopened (seen before, not in the scan before), open, ignored,
+    or fixed (seen in the scan before only)."""
+    p = presence(triaged).join(_last_numbers(triaged), "project")
+    status = (F.when(F.col("ignored"), "ignored").when(F.col("before").isNull(), "new")
+              .when(F.col("before") < F.col("scan_no") - 1, "reopened").otherwise("open"))
+    gone = p.where((F.col("scan_no") < F.col("last_no")) & (F.coalesce("after", F.col("last_no") + 1) > F.col("scan_no") + 1))
+    cols = ["project", "scan_no", "fp", "status", "sev_rank"]
+    return p.where("scan_no > 1").withColumn("status", status).select(cols).unionByName(
+        gone.withColumn("scan_no", F.col("scan_no") + 1).withColumn("status", F.lit("fixed")).select(cols))
+
+
+def islands(triaged: DataFrame) -> DataFrame:
+    """(project, fp, first_scan, last_scan, ignored, sev_rank): each run of consecutive scans in which a finding was seen, with
+    its state in the last of them."""
+    begins = F.coalesce(F.col("before") < F.col("scan_no") - 1, F.lit(True)).cast("int")
+    nr = F.sum(begins).over(Window.partitionBy("project", "fp").orderBy("scan_no"))
+    return presence(triaged).withColumn("island", nr).groupBy("project", "fp", "island").agg(
+        F.min("scan_no").alias("first_scan"), F.max("scan_no").alias("last_scan"),
+        F.max_by("ignored", "scan_no").alias("ignored"), F.max_by("sev_rank", "scan_no").alias("sev_rank"))
+
+
+def life_cycle(triaged: DataFrame) -> DataFrame:
+    """One row for each finding of a project over all its scans: first and last scan, how often it came back, and its status:
+    fixed if the last scan no longer has it, else ignored or open."""
+    own = islands(triaged).groupBy("project", "fp").agg(
+        F.min("first_scan").alias("first_scan"), F.max("last_scan").alias("last_scan"),
+        (F.count(F.lit(1)) - 1).alias("reopened"), F.max_by("ignored", "last_scan").alias("ignored"),
+        F.max_by("sev_rank", "last_scan").alias("sev_rank"))
+    status = F.when(F.col("last_scan") < F.col("last_no"), "fixed").when(F.col("ignored"), "ignored").otherwise("open")
+    return own.join(_last_numbers(triaged), "project").select(
+        "project", "fp", status.alias("status"), "first_scan", "last_scan", "reopened", "sev_rank")
 
 
 def markdown_lines(triaged: DataFrame, scores: DataFrame) -> DataFrame:

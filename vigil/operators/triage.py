@@ -1,8 +1,8 @@
 """Triage: contextual auto-ignore / severity change, dedup, priority.
 
 Scale notes
-* Context is one row per project; the join is left to the planner
-  (``plans.joins.small_side_join``), which broadcasts by measured size.
+* Context is one row per project; the join is left to the planner, which
+  broadcasts by measured size.
 * Dedup never puts a whole group into one task: every group is dealt into
   salted parts, each part's best row is an aggregate (``min`` of a struct,
   partial-aggregated map-side), and the flags come from joining the parts
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import confidence_rank, effective_severity, half_up, severity_rank
 from ..plans.joins import small_side_join
+from ..session import checkpoint_table
 
 # Fixed values that must equal the reference's for right results.
 REASON_TEST_SECRET = "Secret found in test file — likely test fixture or mock value"
@@ -118,11 +119,11 @@ def _order_struct() -> Column:
 
 
 def scan_scope(findings: DataFrame) -> Column:
-    """The scan a finding belongs to: the month of its time stamp, or empty for
-    findings of a single scan. Findings are duplicates within one scan only."""
+    """The scan a finding belongs to: its time stamp, or empty for findings of a
+    single scan. Findings are duplicates within one scan only."""
     if "scan_ts" not in findings.columns:
         return F.lit("")
-    return F.coalesce(F.date_format("scan_ts", "yyyy-MM"), F.lit(""))
+    return F.coalesce(F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))
 
 
 def dedup_groups(findings: DataFrame) -> DataFrame:
@@ -230,6 +231,27 @@ def prioritize(findings: DataFrame) -> DataFrame:
                  half_up(F.col("_b")).cast("int").alias("business_impact_score")).alias("priority_factors"))
 
 
+def priority_rank(prioritized: DataFrame) -> DataFrame:
+    """``prioritized`` with ``rank``: each finding's place in its project by score, then id.
+
+    The rows are sorted over ranges of (project, score, id), so one project runs over
+    as many partitions as it needs, and numbered within their partition in one written
+    table (partitions are then settled). A project's rows in a partition stand next to
+    each other, so a rank is the project's count in the partitions before, a table of
+    one row for each partition and project, and the distance from its first row there.
+    """
+    spark = prioritized.sparkSession
+    dealt = prioritized.repartitionByRange(F.col("project"), F.col("priority_score").desc(), F.col("id"))
+    place = F.monotonically_increasing_id()
+    placed = checkpoint_table(spark, dealt.sortWithinPartitions("project", F.col("priority_score").desc(), "id")
+                              .withColumn("_place", place).withColumn("_part", F.shiftright(F.col("_place"), 33)), "ranked")
+    parts = placed.groupBy("project", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("project").orderBy("_part")) - F.col("_n")
+    parts = parts.select("project", "_part", "_first", before.alias("_before"))
+    return placed.join(parts, ["project", "_part"]).withColumn(
+        "rank", (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_part", "_first", "_before")
+
+
 def triage(findings: DataFrame, context: DataFrame) -> DataFrame:
     """Context rules then dedup flags: the ``triaged_findings`` table
     (all rows, flags set; priority on active rows via ``prioritize``)."""

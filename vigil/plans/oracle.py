@@ -232,7 +232,7 @@ def triage_ctes(src: str, prefix: str) -> dict[str, str]:
            "WHEN scanner = 'secrets' THEN 'secrets:' || coalesce(secret_type, 'undefined') || ':' || coalesce(masked_value, 'unknown') "
            "ELSE concat_ws(':', scanner, path, CAST(line AS VARCHAR), rule) END")
     score = f"({sev_rank('severity')} * 10 + {conf_rank('confidence')})"
-    scan = "coalesce(strftime(scan_ts, '%Y-%m'), '')"
+    scan = "coalesce(strftime(scan_ts, '%Y-%m-%d %H:%M:%S.%f'), '')"
     c[f"{prefix}_keyed"] = (
         f"SELECT *, {key} AS group_key, {scan} AS _scan, row_number() OVER (PARTITION BY project, {scan}, {key} "
         f"ORDER BY {score} DESC, path NULLS FIRST, line NULLS FIRST, \"column\" NULLS FIRST, rule NULLS FIRST, id NULLS FIRST) AS _rn, "

@@ -33,7 +33,7 @@ def _exists_word(col, words):
 
 def _p(pattern: str) -> str:
     """A pattern of the rules as RE2 takes it, quoted."""
-    return q(pattern.replace("*+", "*"))
+    return q(pattern.replace("*+", "*").replace("++", "+"))
 
 
 def _sub(x: str, pattern: str, to: str) -> str:
@@ -291,28 +291,42 @@ def detect_ctes() -> dict[str, str]:
             f"(SELECT project, path FROM {dl} GROUP BY project, path "
             f"HAVING max(CASE WHEN {user_line} AND {user_part} NOT IN ('root', '0') THEN 1 ELSE 0 END) = 0)", line="1"),
     ])
-    body = js_trim_sql(t)
+    body = js_trim_sql(f"regexp_replace({t}, {_p(G.YAML_COMMENT)}, '\\1')")
+    unq = lambda x: f"regexp_replace({js_trim_sql(x)}, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')"
     c["compose_l"] = (
-        f"SELECT project, path, line, {body} AS body, length({t}) - length(regexp_replace({t}, '^\\s+', '')) AS indent, "
-        f"regexp_extract({body}, '^([A-Za-z0-9_.\\-]+)\\s*:', 1) AS key FROM cfg_lines "
-        f"WHERE kind = 'compose' AND length({body}) > 0 AND NOT starts_with({body}, '#')")
-    wdef = "OVER (PARTITION BY project, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        f"SELECT *, regexp_matches(body, '^-(\\s|$)') AS item, CASE WHEN regexp_matches(body, '^-(\\s|$)') THEN '' ELSE regexp_extract(body, {q(G.YAML_KEY)}, 1) END AS key FROM ("
+        f"SELECT project, path, line, {body} AS body, length({t}) - length(regexp_replace({t}, '^\\s+', '')) AS indent FROM cfg_lines WHERE kind = 'compose') "
+        "WHERE length(body) > 0 AND NOT starts_with(body, '#')")
+    # by joins: the services key, the service and the property above a line are the last ones before it
+    c["compose_top"] = ("SELECT l.*, (SELECT arg_max(a.key, a.line) FROM compose_l a WHERE a.project = l.project AND a.path = l.path AND a.line <= l.line "
+                        "AND a.indent = 0 AND a.key <> '') AS top FROM compose_l l")
+    c["compose_in"] = ("SELECT *, min(indent) OVER (PARTITION BY project, path) AS si FROM compose_top WHERE top = 'services' AND indent > 0")
+    c["compose_svc"] = ("SELECT * FROM (SELECT l.*, (SELECT max(a.line) FROM compose_in a WHERE a.project = l.project AND a.path = l.path AND a.line <= l.line "
+                        "AND a.indent = a.si AND a.key <> '') AS sline FROM compose_in l) WHERE sline IS NOT NULL AND indent > si")
+    c["compose_own"] = "SELECT *, min(indent) OVER (PARTITION BY project, path, sline) AS pi FROM compose_svc"
+    c["compose_p"] = ("SELECT l.*, (SELECT max(a.line) FROM compose_own a WHERE a.project = l.project AND a.path = l.path AND a.sline = l.sline AND a.line <= l.line "
+                      "AND a.indent = a.pi AND a.key <> '') AS pline FROM compose_own l")
+    inline = js_trim_sql(f"regexp_replace(l.body, {q(G.YAML_KEY)}, '')")
+    opened = js_trim_sql(f"regexp_replace(p.body, {q(G.YAML_KEY)}, '')")
+    flow = lambda x: ("list_filter(list_transform(string_split(regexp_replace(" + x + ", '^\\s*[\\[{]|[\\]}]\\s*,?\\s*$', '', 'g'), ','), "
+                      f"lambda z: {js_trim_sql('z')}), lambda z: z <> '')")
     c["compose_e"] = (
-        f"SELECT *, last_value(CASE WHEN indent = 0 THEN key END IGNORE NULLS) {wdef} AS top, "
-        f"last_value(CASE WHEN indent = 0 THEN '' WHEN indent = 2 THEN key END IGNORE NULLS) {wdef} AS service, "
-        f"last_value(CASE WHEN indent <= 2 THEN '' WHEN indent = 4 THEN key END IGNORE NULLS) {wdef} AS section "
-        "FROM compose_l")
-    unq = lambda x: f"regexp_replace({js_trim_sql(x)}, '^\"(.*)\"$|^''(.*)''$', '\\1\\2')"
-    value = js_trim_sql("regexp_replace(body, '^[A-Za-z0-9_.\\-]+\\s*:', '')")
-    item = unq("regexp_replace(body, '^-\\s*', '')")
-    ce = "(SELECT * FROM compose_e WHERE top = 'services' AND length(service) > 0)"
-    c["compose_ports"] = (f"SELECT * FROM (SELECT *, {item} AS port FROM {ce} WHERE indent > 4 AND section = 'ports' AND starts_with(body, '-')) "
+        f"SELECT l.project, l.path, l.line, s.key AS service, p.key AS section, CASE WHEN l.line = l.pline THEN {inline} END AS value, unnest(CASE "
+        f"WHEN l.line = l.pline THEN CASE WHEN regexp_matches({opened}, '^[\\[{{]') THEN {flow(inline)} ELSE [''] END "
+        "WHEN l.item THEN [regexp_replace(l.body, '^-\\s*', '')] "
+        f"WHEN regexp_matches({opened}, '^[\\[{{]') THEN {flow('l.body')} "
+        f"WHEN l.key <> '' THEN [l.key || ': ' || CASE WHEN {inline} = '' THEN 'null' ELSE {inline} END] ELSE [''] END) AS part "
+        "FROM compose_p l JOIN compose_l s ON s.project = l.project AND s.path = l.path AND s.line = l.sline "
+        "JOIN compose_l p ON p.project = l.project AND p.path = l.path AND p.line = l.pline")
+    c["compose_ports"] = (f"SELECT * FROM (SELECT *, {unq('part')} AS port FROM compose_e WHERE section = 'ports' AND part <> '') "
                           "WHERE (starts_with(port, '0.0.0.0:') OR NOT contains(port, ':')) AND NOT contains(port, '80:') AND NOT contains(port, '443:')")
-    c["compose_envs"] = (f"SELECT * FROM (SELECT *, CASE WHEN starts_with(body, '-') THEN {item} ELSE key || '=' || {unq(value)} END AS entry "
-                         f"FROM {ce} WHERE indent > 4 AND section = 'environment') "
+    fk = q(G.FLOW_KEY)
+    c["compose_envs"] = (f"SELECT * FROM (SELECT *, CASE WHEN regexp_matches(part, {fk}) THEN regexp_extract(part, {fk}, 1) || '=' || "
+                         + unq(f"regexp_replace(part, {fk}, '')") + f" ELSE {unq('part')} END AS entry FROM compose_e WHERE section = 'environment' AND part <> '') "
                          f"WHERE {rx('entry', G.COMPOSE_ENV_SECRET)} AND NOT contains(entry, '${{')")
+    c["compose_priv"] = "SELECT DISTINCT project, path, line, service FROM compose_e WHERE section = 'privileged' AND value IN ('true', 'True', 'TRUE')"
     c["iac_compose"] = " UNION ALL ".join([
-        fnd("compose-privileged-container", f"{ce} WHERE indent = 4 AND key = 'privileged' AND {value} = 'true'",
+        fnd("compose-privileged-container", "compose_priv",
             message="'Service ''' || service || ''' runs in privileged mode — full host access is granted'"),
         fnd("compose-port-exposure", "compose_ports",
             message="'Service ''' || service || ''' exposes port ' || port || ' on all interfaces (0.0.0.0)'"),

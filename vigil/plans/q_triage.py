@@ -170,9 +170,7 @@ oracle("priority_score", "SELECT id, project, priority_score, priority_factors.s
 
 @query("priority_rank", "2.8")
 def _(spark, sf):
-    p = _prio(spark, sf)
-    w = Window.partitionBy("project").orderBy(F.col("priority_score").desc(), F.col("id"))
-    return p.withColumn("rank", F.row_number().over(w)).select("project", "rank", "id", "priority_score")
+    return T.priority_rank(_prio(spark, sf)).select("project", "rank", "id", "priority_score")
 
 
 oracle("priority_rank", "SELECT project, rank, id, priority_score FROM (SELECT project, id, priority_score, "
@@ -282,12 +280,12 @@ oracle("summary_open", f"SELECT project, count(*) FILTER (WHERE {EFF} = 'critica
 
 @query("status_counts", "2.9")
 def _(spark, sf):
-    t = _tri(spark, sf)
-    return t.groupBy("project", RP.status_of(t).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    life = RP.life_cycle(_tri(spark, sf))
+    return life.groupBy("project", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reopened") > 0).alias("n_reopened"))
 
 
-oracle("status_counts", f"SELECT project, CASE WHEN {ACT} THEN 'open' ELSE 'ignored' END AS status, count(*) AS n "
-       "FROM fv_triaged GROUP BY ALL", ["fv_triaged"])
+oracle("status_counts", "SELECT project, status, count(*) AS n, count(*) FILTER (WHERE reopened > 0) AS n_reopened FROM scan_life GROUP BY ALL",
+       ["scan_life"])
 
 
 @query("scan_result", "2.9")
@@ -410,13 +408,12 @@ def _(spark, sf):
 
 
 def _trend_sql():
-    m = (f"SELECT project, CAST(date_trunc('month', scan_ts) AS TIMESTAMP) AS scan_month, {O.sev_counts_select()} "
-         "FROM fv_triaged GROUP BY ALL")
+    m = f"SELECT project, scan_ts, {O.sev_counts_select()} FROM fv_triaged GROUP BY ALL"
     s = O.score_sql("critical", "high", "medium", "low", "info")
-    return ("SELECT project, scan_month, critical, high, medium, security_score, previous_score, "
+    return ("SELECT project, scan_ts, critical, high, medium, security_score, previous_score, "
             "CASE WHEN previous_score IS NULL THEN 'new' WHEN security_score > previous_score THEN 'improving' "
             "WHEN security_score < previous_score THEN 'declining' ELSE 'stable' END AS direction FROM ("
-            f"SELECT *, {s} AS security_score, lag({s}) OVER (PARTITION BY project ORDER BY scan_month) AS previous_score FROM ({m}))")
+            f"SELECT *, {s} AS security_score, lag({s}) OVER (PARTITION BY project ORDER BY scan_ts) AS previous_score FROM ({m}))")
 
 
 ORACLE["trend"] = lambda: O.with_ctes(_trend_sql(), ["fv_triaged"])
@@ -429,23 +426,34 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("sev_rank") == 5).alias("n_critical"))
 
 
-def _status_sql():
+@O.register_ctes
+def _scan_ctes():
     fp = ("sha256(concat_ws('|', scanner, rule, path, CAST(line AS VARCHAR), coalesce(cve, ''), coalesce(package_name, ''), "
           "coalesce(installed_version, '')))")
-    nums = ("SELECT project, scan_month, CAST(row_number() OVER (PARTITION BY project ORDER BY scan_month) AS INTEGER) AS scan_no FROM "
-            "(SELECT DISTINCT project, CAST(date_trunc('month', scan_ts) AS TIMESTAMP) AS scan_month FROM fv_triaged)")
-    f = (f"SELECT t.project, n.scan_no, {fp} AS fp, max({O.sev_rank(EFF)}) AS sev_rank FROM fv_triaged t "
-         f"JOIN ({nums}) n ON t.project = n.project AND CAST(date_trunc('month', t.scan_ts) AS TIMESTAMP) = n.scan_month GROUP BY ALL")
-    j = (f"SELECT coalesce(c.project, p.project) AS project, coalesce(c.scan_no, p.scan_no + 1) AS scan_no, "
-         "CASE WHEN p.fp IS NULL THEN 'new' WHEN c.fp IS NULL THEN 'fixed' ELSE 'open' END AS status, "
-         f"coalesce(c.sev_rank, p.sev_rank) AS sev_rank FROM ({f}) c FULL OUTER JOIN ({f}) p "
+    return {
+        "scan_nos": "SELECT project, scan_ts, row_number() OVER (PARTITION BY project ORDER BY scan_ts)::INTEGER AS scan_no "
+                    "FROM (SELECT DISTINCT project, scan_ts FROM fv_triaged)",
+        "scan_last": "SELECT project, max(scan_no) AS last_no FROM scan_nos GROUP BY project",
+        "scan_seen": f"SELECT t.project, n.scan_no, {fp} AS fp, max({O.sev_rank(EFF)}) AS sev_rank, bool_and(NOT ({ACT})) AS ignored FROM fv_triaged t "
+                     "JOIN scan_nos n ON t.project = n.project AND t.scan_ts = n.scan_ts GROUP BY ALL",
+        "scan_life": "SELECT s.project, s.fp, CASE WHEN max(s.scan_no) < any_value(l.last_no) THEN 'fixed' WHEN arg_max(s.ignored, s.scan_no) THEN 'ignored' ELSE 'open' END AS status, "
+                     "min(s.scan_no) AS first_scan, max(s.scan_no) AS last_scan, count(*) FILTER (WHERE p.fp IS NULL) - 1 AS reopened, arg_max(s.sev_rank, s.scan_no) AS sev_rank "
+                     "FROM scan_seen s JOIN scan_last l ON s.project = l.project LEFT JOIN scan_seen p ON p.project = s.project AND p.fp = s.fp AND p.scan_no = s.scan_no - 1 "
+                     "GROUP BY s.project, s.fp",
+    }
+
+
+def _status_sql():
+    j = ("SELECT coalesce(c.project, p.project) AS project, coalesce(c.scan_no, p.scan_no + 1) AS scan_no, "
+         "CASE WHEN c.fp IS NULL THEN 'fixed' WHEN c.ignored THEN 'ignored' WHEN p.fp IS NOT NULL THEN 'open' WHEN c.since < c.scan_no THEN 'reopened' "
+         "ELSE 'new' END AS status, coalesce(c.sev_rank, p.sev_rank) AS sev_rank "
+         "FROM (SELECT *, min(scan_no) OVER (PARTITION BY project, fp) AS since FROM scan_seen) c FULL OUTER JOIN scan_seen p "
          "ON c.project = p.project AND c.fp = p.fp AND c.scan_no = p.scan_no + 1")
-    last = f"SELECT project, max(scan_no) AS last_no FROM ({nums}) GROUP BY project"
     return (f"SELECT j.project, scan_no, status, count(*) AS n, count(*) FILTER (WHERE sev_rank = 5) AS n_critical "
-            f"FROM ({j}) j JOIN ({last}) l ON j.project = l.project WHERE scan_no > 1 AND scan_no <= last_no GROUP BY ALL")
+            f"FROM ({j}) j JOIN scan_last l ON j.project = l.project WHERE scan_no > 1 AND scan_no <= last_no GROUP BY ALL")
 
 
-ORACLE["status_diff"] = lambda: O.with_ctes(_status_sql(), ["fv_triaged"])
+ORACLE["status_diff"] = lambda: O.with_ctes(_status_sql(), ["scan_seen", "scan_last"])
 
 
 @query("union_scanners", "2.10")
@@ -563,11 +571,11 @@ oracle("filter_search", f"SELECT id FROM fv_triaged WHERE {ACT} AND (contains(lo
 
 @query("filter_status", "2.2")
 def _(spark, sf):
-    t = _tri(spark, sf)
-    return t.where(RP.status_of(t) == "ignored").select("id")
+    """The findings of the fixed and the ignored tab, with the scans that saw them."""
+    return RP.life_cycle(_tri(spark, sf)).where(F.col("status").isin("fixed", "ignored"))
 
 
-oracle("filter_status", f"SELECT id FROM fv_triaged WHERE NOT {ACT}", ["fv_triaged"])
+oracle("filter_status", "SELECT * FROM scan_life WHERE status IN ('fixed', 'ignored')", ["scan_life"])
 
 
 @query("filter_min_severity", "2.2")
@@ -698,9 +706,8 @@ oracle("sink_csv", f"SELECT id, project, scanner, rule, severity, confidence, pa
 
 
 def scans_table(spark, sf):
-    """Stored scans: one row per (project, scan month) of the volume table."""
-    t = RP.monthly(_tri(spark, sf))
-    g = t.groupBy("project", F.col("scan_month").alias("scan_ts")).agg(
+    """Stored scans: one row per (project, scan) of the volume table."""
+    g = _tri(spark, sf).groupBy("project", "scan_ts").agg(
         F.count(F.lit(1)).alias("raw_findings"), F.count_if(M.is_active()).alias("active_findings"),
         F.count_if(F.coalesce(F.col("auto_ignored"), F.lit(False))).alias("auto_ignored"), *M.severity_count_aggs())
     g = g.withColumn("noise_reduction_percent", M.noise_reduction(F.col("raw_findings"), F.col("active_findings")))
@@ -718,7 +725,7 @@ def _(spark, sf):
 
 def _last_scan_sql():
     s = O.score_sql("critical", "high", "medium", "low", "info")
-    g = (f"SELECT project, CAST(date_trunc('month', scan_ts) AS TIMESTAMP) AS scan_ts, count(*) AS raw_findings, count(*) FILTER (WHERE {ACT}) AS active_findings, "
+    g = (f"SELECT project, scan_ts, count(*) AS raw_findings, count(*) FILTER (WHERE {ACT}) AS active_findings, "
          f"count(*) FILTER (WHERE coalesce(auto_ignored, false)) AS auto_ignored, {O.sev_counts_select()} FROM fv_triaged GROUP BY ALL")
     return (f"SELECT project, scan_ts, raw_findings, active_findings, auto_ignored, "
             "CAST(CASE WHEN raw_findings > 0 THEN floor((raw_findings - active_findings)::DOUBLE / raw_findings * 100 + 0.5) ELSE 0 END AS INTEGER) AS noise_reduction_percent, "

@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .dialect import DUCK, SPARK, Dialect
 
-N_PROJECTS = 20
-
 # ---------------------------------------------------------------------------
 # Planted blocks: (path template, lines). Placeholders: {id} doc id,
 # {A}/{B} alphanumeric tokens (38-43 chars), {AB:n} first n chars of A||B,
@@ -190,6 +188,51 @@ TEMPLATES: list[tuple[str, list[str]]] = [
     ("/public/assets/logo{id}.svg", [
         "<svg><!-- ghp_{AB:36} --></svg>",
     ]),
+    ("/src/flows/long{id}.ts", [
+        "/* a note on how not to",
+        "   eval(req.body.code) */",
+        "log('never exec(input) here', `or eval(x)`);",
+        "const rows = await getDb(",
+        "  'main', { pool: [1, 2] })",
+        "  .query(",
+        *[f"    // {n}" for n in range(12)],
+        "    `SELECT * FROM t WHERE id = ${req.params.id}`,",
+        "  );",
+        "const user = await User",
+        "  .find(req['body']);",
+        "app.get('/admin/list', limiter({ max: 5 }), authenticate, handler);",
+        "app.post('/admin/drop',",
+        "  limiter({ max: 5 }), (req, res) => {",
+        "    fs.readFile(path.join(root(1, 2), req.params.name), cb);",
+        "  });",
+        "const password =",
+        "  'p{h:12}';",
+        "router.exec(input, cb); db?.query(`x ${req.body.q}`); new Function('a', body);",
+    ]),
+    ("/deploy/wide{id}/docker-compose.prod.yml", [
+        "version: '3'",
+        "services:  # all of them",
+        "    gate:",
+        "        image: \"traefik:2\"  # pinned",
+        "        privileged: true   # for now",
+        "        ports: [\"0.0.0.0:9000:9000\", '5432', \"443:443\"]",
+        "        environment: { ADMIN_TOKEN: t{h:8}, MODE: \"x # y\" }",
+        "    work:",
+        "        ports:",
+        "        - 6379",
+        "        - \"127.0.0.1:8080:8080\"",
+        "        environment:",
+        "        - API_KEY=k{h:9}",
+        "        - \"DB_PASSWORD=${DB}\"",
+        "        command: [",
+        "            \"run\",",
+        "        ]",
+        "volumes:",
+        "    data: {}",
+    ]),
+    ("/assets/blob{id}.cfg", [
+        "head{NUL}token_secret = \"{A}\"",
+    ]),
     ("/vendor/lib{id}.min.js", [
         "var k=\"AKIA{H:16}\";eval(x);",
     ]),
@@ -216,7 +259,7 @@ DEPLOY_MARKERS = [
 PACKAGE_NAMES = ["lodash", "axios", "express", "minimist", "node-fetch", "next",
                  "react", "@prisma/client", "jsonwebtoken", "vue", "mongoose"]
 
-_PH = re.compile(r"\{(id|A|B|AB|H|h)(?::(\d+))?\}")
+_PH = re.compile(r"\{(id|A|B|AB|H|h|NUL)(?::(\d+))?\}")
 
 
 def template_rows() -> list[tuple[int, str, str, bool]]:
@@ -240,7 +283,7 @@ def _fill_sql(d: Dialect, col: str) -> str:
         name, n = m.group(1), m.group(2)
         val = {"id": d.s("doc_id"), "A": "_ta", "B": "_tb",
                "AB": f"substr(_ta || _tb, 1, {n})", "H": f"substr(_hx, 1, {n})",
-               "h": f"lower(substr(_hx, 1, {n}))"}[name]
+               "h": f"lower(substr(_hx, 1, {n}))", "NUL": "chr(0)"}[name]
         expr = f"replace({expr}, {d.lit(ph)}, {val})"
     return expr
 
@@ -283,8 +326,9 @@ def ecosystem_sql() -> str:
 # Shared SQL expressions over one row of the named input
 # ---------------------------------------------------------------------------
 
-def _project_of(col: str) -> str:
-    return f"'src' || CAST({col} % {N_PROJECTS} AS STRING)"
+def _project_of(col: str, rows: int = 1) -> str:
+    """A project for every ``rows`` ids, so that their number follows the data."""
+    return f"'src' || CAST(CAST(floor({col} / {rows}) AS BIGINT) AS STRING)"
 
 
 def root_variant_sql(d: Dialect) -> str:
@@ -394,7 +438,7 @@ def finding_exprs() -> dict[str, str]:
         "is_direct": f"CASE WHEN {is_sca} THEN true END",
         "is_reachable": f"CASE WHEN {is_sca} THEN (l_partkey % 5 <> 0 AND l_partkey % 3 <> 0) END",
         "exploit_available": f"CASE WHEN {is_sca} THEN l_returnflag = 'R' END",
-        "scan_ts": "l_shipdate",
+        "scan_ts": ("date_trunc('quarter', l_shipdate) + CASE WHEN l_orderkey % 2 = 0 THEN INTERVAL '9' DAY ELSE INTERVAL '23' DAY END"),
     }
 
 
@@ -425,11 +469,11 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extra_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(
-        F.expr(_project_of("page_id")).alias("project"),
+        F.expr(_project_of("page_id", 50)).alias("project"),
         F.expr("'/public/pages/p' || CAST(page_id AS STRING) || '.html'").alias("path"),
         F.col("html").alias("content"))
     chats = read(spark, sf_dir, "conversations").select(
-        F.expr(_project_of("conv_id")).alias("project"),
+        F.expr(_project_of("conv_id", 50)).alias("project"),
         F.expr("'/docs/chats/c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.md'").alias("path"),
         F.col("text").alias("content"))
     return pages.unionByName(chats)
@@ -561,8 +605,8 @@ def duck_ctes() -> dict[str, str]:
                          f"{planted_content_sql(d)} AS content FROM (SELECT doc_id, source, text, "
                          f"{template_index_sql(d)} AS t, {toks} FROM documents) x JOIN templates USING (t)")
     ctes["extra_files"] = (
-        f"SELECT {_project_of('page_id')} AS project, '/public/pages/p' || CAST(page_id AS STRING) || '.html' AS path, html AS content FROM pages "
-        f"UNION ALL SELECT {_project_of('conv_id')} AS project, '/docs/chats/c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.md' AS path, text AS content FROM conversations")
+        f"SELECT {_project_of('page_id', 50)} AS project, '/public/pages/p' || CAST(page_id AS STRING) || '.html' AS path, html AS content FROM pages "
+        f"UNION ALL SELECT {_project_of('conv_id', 50)} AS project, '/docs/chats/c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.md' AS path, text AS content FROM conversations")
     ctes["packages_raw"] = (
         "SELECT project, ecosystem, name, max(version) AS version, "
         "(length(name) + CAST(substr(project, 4) AS INT)) % 4 = 0 AS is_dev FROM ("
