@@ -1,10 +1,11 @@
 """Finding life cycle, distributed ranks and compose files of any layout."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from vigil.operators import config, reports, triage
+from vigil.operators import config, reach, reports, triage
 from vigil.schemas import conform
 
 
@@ -47,6 +48,39 @@ def test_duplicates_are_judged_within_a_scan(spark):
     assert triage.dedup_flags(tri).where("is_duplicate").count() == 0
 
 
+def test_pages(spark):
+    files = [f"/src/f{i:05d}.ts" for i in range(2345)]
+    rows = [("p", "lodash", f, i % 2 == 0) for i, f in enumerate(files)] + [("p", "axios", "/a.ts", False)] * 3
+    imps = spark.createDataFrame(rows, "project string, package string, file string, risky_used boolean").repartition(6)
+    pages = {(r.package, r.page): r.files for r in reach.import_map(imps, 500).collect()}
+    assert [len(pages["lodash", k]) for k in (1, 2, 3, 4, 5)] == [500, 500, 500, 500, 345]
+    assert sum((pages["lodash", k] for k in range(1, 6)), []) == files and pages["axios", 1] == ["/a.ts"]
+    assert {r.n_files for r in reach.import_map(imps, 500).where("package = 'lodash'").collect()} == {2345}
+
+
+def test_lookup_reads_few_buckets(spark):
+    found = spark.range(3000).selectExpr("concat('id', id) AS id", "concat('p', id % 3) AS project", "'m' AS message")
+    table = reports.store_findings(found, "found")
+    ids = [f"id{i}" for i in range(0, 3000, 300)]
+    some = reports.lookup(spark, table, ids)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else the plan doesn't say
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    selected = int(re.search(r"SelectedBucketsCount: (\d+) out of 64", plan)[1])
+    assert selected <= len(ids) and sorted(r.id for r in some.collect()) == sorted(ids)
+    joined = reports.lookup(spark, table, spark.createDataFrame([(i,) for i in [*ids, "none"]], "id string").hint("merge"))
+    assert sorted(r.id for r in joined.collect()) == sorted(ids)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    stored = plan[plan.index("SortMergeJoin"):plan.index("SelectedBucketsCount")]
+    assert "Exchange" not in stored  # the stored side stays where it is
+
+
+def test_scanners_are_lazy(make_files, monkeypatch):
+    from vigil.plans import scan
+    plan = scan.ScanPlan(make_files([("p", "/a.js", "eval(x)")]), None, scanners=("sast",), stage_as="raw")
+    assert plan.detected.count() == 1 and "raw_findings" not in plan.__dict__
+
+
 def test_rank(spark):
     rng = random.Random(3)
     rows = [("big" if rng.random() < 0.4 else f"p{rng.randrange(30)}", rng.randrange(4), f"id{i}") for i in range(5000)]

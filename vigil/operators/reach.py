@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import import_files
+from .ranking import numbered
 
 # Fixed values that must equal the reference's for right results.
 IMPORT_PATTERNS = [
@@ -50,27 +51,32 @@ def imports(files: DataFrame) -> DataFrame:
                     F.coalesce(F.try_element_at(F.col("flags"), pkg), F.lit(False)).alias("risky_used")).distinct()
 
 
-def import_map(imps: DataFrame) -> DataFrame:
-    """package -> sorted distinct files, per project."""
-    return imps.groupBy("project", "package").agg(F.sort_array(F.collect_set("file")).alias("files"),
-                                                  F.count_distinct("file").alias("n_files"))
+#: Most files on one page of a package's list.
+PAGE_FILES = 1000
 
 
-def package_usage(imps: DataFrame, with_files: bool = False) -> DataFrame:
-    """Per (project, package): counts of importing files and of files calling
-    a risky function; the file lists themselves only when asked for (they
-    grow with the project, so the main pipeline keeps to counts)."""
-    has_patterns = F.col("package").isin(list(RISKY_FUNCTIONS))
-    aggs = [F.count(F.lit(1)).alias("n_imported"), F.count_if(F.col("risky_used")).alias("n_used")]
-    if with_files:
-        aggs += [F.sort_array(F.collect_list("file")).alias("imported_in"),
-                 F.sort_array(F.collect_list(F.when(F.col("risky_used"), F.col("file")))).alias("used_files")]
-    return imps.groupBy("project", "package").agg(*aggs).withColumn("has_patterns", has_patterns)
+def import_map(imps: DataFrame, page_files: int = PAGE_FILES) -> DataFrame:
+    """package -> its distinct files in order, per project, in pages from 1 of at most ``page_files``; n_files is the whole
+    list's length. A package in a million files has a thousand rows, and no task holds more than a page of it."""
+    files = imps.select("project", "package", "file").distinct()
+    counts = files.groupBy("project", "package").agg(F.count(F.lit(1)).alias("n_files"))
+    placed = numbered(files, ["project", "package"], [F.col("file")])
+    page = (F.floor((F.col("rank") - 1) / page_files) + 1).cast("int").alias("page")
+    pages = placed.groupBy("project", "package", page).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return pages.join(counts, ["project", "package"])
 
 
-def reachability(sca: DataFrame, files: DataFrame, with_files: bool = True) -> DataFrame:
-    """Dependency findings + is_reachable, reachability_reason (+ used_in)."""
-    usage = package_usage(imports(files), with_files).withColumnRenamed("package", "package_name")
+def package_usage(imps: DataFrame) -> DataFrame:
+    """Per (project, package): counts of importing files and of files calling a risky function. The files themselves
+    are ``import_map`` of all imports, or of those with ``risky_used``."""
+    return imps.groupBy("project", "package").agg(
+        F.count(F.lit(1)).alias("n_imported"), F.count_if(F.col("risky_used")).alias("n_used")).withColumn(
+        "has_patterns", F.col("package").isin(list(RISKY_FUNCTIONS)))
+
+
+def reachability(sca: DataFrame, files: DataFrame) -> DataFrame:
+    """Dependency findings + is_reachable, reachability_reason."""
+    usage = package_usage(imports(files)).withColumnRenamed("package", "package_name")
     j = sca.join(usage, ["project", "package_name"], "left")
     name = F.col("package_name")
     imported = F.coalesce(F.col("n_imported"), F.lit(0)) > 0
@@ -85,17 +91,13 @@ def reachability(sca: DataFrame, files: DataFrame, with_files: bool = True) -> D
               .otherwise(F.concat(F.lit("Package '"), name, F.lit("' is actively used in "),
                                   n_files.cast("string"), F.lit(" file(s)"))))
     out = j.withColumn("is_reachable", reachable).withColumn("reachability_reason", reason)
-    if with_files:
-        used_in = (F.when(dev | ~imported, F.lit(None).cast("array<string>"))
-                   .when(patterns & used, F.col("used_files")).otherwise(F.col("imported_in")))
-        out = out.withColumn("used_in", used_in).drop("imported_in", "used_files")
     return out.drop("n_imported", "n_used", "has_patterns")
 
 
 def apply_reachability(sca: DataFrame, files: DataFrame) -> DataFrame:
     """Findings schema preserved: only ``is_reachable`` is updated."""
     cols = sca.columns
-    return reachability(sca, files, with_files=False).select(*cols)
+    return reachability(sca, files).select(*cols)
 
 
 def function_usage(files: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ rows (``write.text`` partitioned by project), never assembled on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import effective_severity, grade, severity_rank
 from ..functions.text import file_tail2, truncate_ellipsis
+from ..session import scratch_path
 from .metrics import is_active
 
 # Fixed values that must equal the reference's for right results.
@@ -210,6 +211,30 @@ def json_lines(triaged: DataFrame, summary: DataFrame) -> DataFrame:
                                             F.to_json(F.struct(*JSON_FINDING), keep).alias("json")))
 
 
+#: Buckets of stored findings, by id.
+BUCKETS = 64
+
+
+def store_findings(findings: DataFrame, name: str, buckets: int = BUCKETS) -> str:
+    """Write findings as a table for lookups, and return its name in the catalogue: bucketed and sorted by id, one file a
+    bucket, with Parquet bloom filters on id. Its files lie in a folder of their own under the shared checkpoint folder."""
+    spark = findings.sparkSession
+    path = scratch_path(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[-1]}"
+    (findings.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", path)
+     .option("parquet.bloom.filter.enabled#id", "true").saveAsTable(table))
+    return table
+
+
+def lookup(spark: SparkSession, table: str, ids) -> DataFrame:
+    """Stored findings with the ids: given as a list, only the buckets that can hold them are read; given as a frame with a
+    column ``id``, the stored side of the join is not shuffled."""
+    stored = spark.table(table)
+    if isinstance(ids, DataFrame):
+        return stored.join(ids.select("id").distinct(), "id", "left_semi")
+    return stored.where(F.col("id").isin(list(ids)))
+
+
 def write_csv(findings: DataFrame, out_dir: str) -> None:
     cols = ["id", "project", "scanner", "rule", "severity", "confidence", "path", "line", "message", "cwe"]
     findings.select(*cols).write.mode("overwrite").option("header", True).csv(out_dir)

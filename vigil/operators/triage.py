@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import confidence_rank, effective_severity, half_up, severity_rank
-from ..plans.joins import small_side_join
-from ..session import checkpoint_table
+from .ranking import numbered
 
 # Fixed values that must equal the reference's for right results.
 REASON_TEST_SECRET = "Secret found in test file — likely test fixture or mock value"
@@ -66,7 +65,7 @@ def apply_context(findings: DataFrame, context: DataFrame) -> DataFrame:
         F.col("has_database").alias("_ctx_db"),
         F.col("is_publicly_deployed").alias("_ctx_public"),
         F.col("frameworks").alias("_ctx_fw"))
-    j = small_side_join(findings, ctx, ["project"], how="left")
+    j = findings.join(ctx, "project", "left")
     scanner, rule = F.col("scanner"), F.col("rule")
     is_dev, cvss = _truthy(F.col("is_dev_dependency")), F.col("cvss_score")
     exploit, reach = _truthy(F.col("exploit_available")), _truthy(F.col("is_reachable"))
@@ -232,24 +231,9 @@ def prioritize(findings: DataFrame) -> DataFrame:
 
 
 def priority_rank(prioritized: DataFrame) -> DataFrame:
-    """``prioritized`` with ``rank``: each finding's place in its project by score, then id.
-
-    The rows are sorted over ranges of (project, score, id), so one project runs over
-    as many partitions as it needs, and numbered within their partition in one written
-    table (partitions are then settled). A project's rows in a partition stand next to
-    each other, so a rank is the project's count in the partitions before, a table of
-    one row for each partition and project, and the distance from its first row there.
-    """
-    spark = prioritized.sparkSession
-    dealt = prioritized.repartitionByRange(F.col("project"), F.col("priority_score").desc(), F.col("id"))
-    place = F.monotonically_increasing_id()
-    placed = checkpoint_table(spark, dealt.sortWithinPartitions("project", F.col("priority_score").desc(), "id")
-                              .withColumn("_place", place).withColumn("_part", F.shiftright(F.col("_place"), 33)), "ranked")
-    parts = placed.groupBy("project", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("project").orderBy("_part")) - F.col("_n")
-    parts = parts.select("project", "_part", "_first", before.alias("_before"))
-    return placed.join(parts, ["project", "_part"]).withColumn(
-        "rank", (F.col("_before") + F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_part", "_first", "_before")
+    """``prioritized`` with ``rank``: each finding's place in its project by score, then id."""
+    order = [F.col("priority_score").desc(), F.col("id")]
+    return numbered(prioritized, ["project"], order).withColumn("rank", F.col("rank").cast("int"))
 
 
 def triage(findings: DataFrame, context: DataFrame) -> DataFrame:

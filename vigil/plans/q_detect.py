@@ -518,11 +518,13 @@ oracle("imports_normalize", "SELECT project, package, file FROM imports", ["impo
 @query("import_map", "2.7")
 def _(spark, sf):
     m = R.import_map(R.imports(files_of(spark, sf)))
-    return m.select("project", "package", F.array_join("files", ",").alias("files"), "n_files")
+    return m.select("project", "package", "page", F.array_join("files", ",").alias("files"), "n_files")
 
 
-oracle("import_map", "SELECT project, package, array_to_string(list_sort(list(DISTINCT file)), ',') AS files, "
-       "count(DISTINCT file) AS n_files FROM imports GROUP BY project, package", ["imports"])
+oracle("import_map", "SELECT project, package, page, string_agg(file, ',' ORDER BY file) AS files, any_value(n) AS n_files FROM ("
+       f"SELECT *, ((row_number() OVER (PARTITION BY project, package ORDER BY file) - 1) // {R.PAGE_FILES} + 1)::INTEGER AS page, "
+       "count(*) OVER (PARTITION BY project, package) AS n FROM (SELECT DISTINCT project, package, file FROM imports)) "
+       "GROUP BY project, package, page", ["imports"])
 
 
 @query("function_usage", "2.7")
@@ -535,7 +537,7 @@ oracle("function_usage", "SELECT project, package, file FROM imports WHERE risky
 
 @query("reachability", "2.7")
 def _(spark, sf):
-    r = R.reachability(_sca(spark, sf), files_of(spark, sf), with_files=False)
+    r = R.reachability(_sca(spark, sf), files_of(spark, sf))
     return r.select("id", "project", "package_name", "is_reachable", "reachability_reason")
 
 

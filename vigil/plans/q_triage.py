@@ -12,6 +12,7 @@ from ..operators import context as X
 from ..operators import metrics as M
 from ..operators import reports as RP
 from ..operators import triage as T
+from ..session import checkpoint_table
 from ..sources.files import counted_source_files
 from . import oracle as O
 from .q_core import _with_score, corpus_of
@@ -41,6 +42,11 @@ def _tri(spark, sf):
     return T.dedup_flags(_contextual(spark, sf))
 
 
+def _stored(spark, sf):
+    """Triaged findings as a written table, for plans that read them more than once."""
+    return checkpoint_table(spark, _tri(spark, sf), "triaged")
+
+
 def _prio(spark, sf):
     return T.prioritize(_tri(spark, sf))
 
@@ -280,7 +286,7 @@ oracle("summary_open", f"SELECT project, count(*) FILTER (WHERE {EFF} = 'critica
 
 @query("status_counts", "2.9")
 def _(spark, sf):
-    life = RP.life_cycle(_tri(spark, sf))
+    life = RP.life_cycle(_stored(spark, sf))
     return life.groupBy("project", "status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reopened") > 0).alias("n_reopened"))
 
 
@@ -421,7 +427,7 @@ ORACLE["trend"] = lambda: O.with_ctes(_trend_sql(), ["fv_triaged"])
 
 @query("status_diff", "2.10")
 def _(spark, sf):
-    d = RP.status_diff(_tri(spark, sf))
+    d = RP.status_diff(_stored(spark, sf))
     return d.groupBy("project", "scan_no", "status").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("sev_rank") == 5).alias("n_critical"))
 
@@ -458,7 +464,7 @@ ORACLE["status_diff"] = lambda: O.with_ctes(_status_sql(), ["scan_seen", "scan_l
 
 @query("union_scanners", "2.10")
 def _(spark, sf):
-    return corpus_of(spark, sf).plan().raw_findings.groupBy("project", "scanner").agg(F.count(F.lit(1)).alias("n"))
+    return corpus_of(spark, sf).plan().detected.groupBy("project", "scanner").agg(F.count(F.lit(1)).alias("n"))
 
 
 oracle("union_scanners", "SELECT project, scanner, count(*) AS n FROM scan_raw GROUP BY ALL", ["scan_raw"])
@@ -572,7 +578,7 @@ oracle("filter_search", f"SELECT id FROM fv_triaged WHERE {ACT} AND (contains(lo
 @query("filter_status", "2.2")
 def _(spark, sf):
     """The findings of the fixed and the ignored tab, with the scans that saw them."""
-    return RP.life_cycle(_tri(spark, sf)).where(F.col("status").isin("fixed", "ignored"))
+    return RP.life_cycle(_stored(spark, sf)).where(F.col("status").isin("fixed", "ignored"))
 
 
 oracle("filter_status", "SELECT * FROM scan_life WHERE status IN ('fixed', 'ignored')", ["scan_life"])
@@ -588,7 +594,7 @@ oracle("filter_min_severity", f"SELECT id FROM fv_triaged WHERE {ACT} AND {O.sev
 
 @query("filter_scanners", "2.2")
 def _(spark, sf):
-    quick = corpus_of(spark, sf).plan(quick=True).raw_findings
+    quick = corpus_of(spark, sf).plan(quick=True).detected
     return quick.groupBy("project", "scanner").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -626,6 +632,18 @@ def _lookup_sql():
 
 ORACLE["finding_lookup"] = lambda: O.with_ctes(_lookup_sql(), ["fv_triaged"])
 
+@query("finding_by_id", "2.2")
+def _(spark, sf):
+    """Each project's first active finding, looked up by id in the stored findings."""
+    t = _tri(spark, sf).where(M.is_active())
+    name = RP.store_findings(t, "finding_lookup")
+    ids = spark.table(name).groupBy("project").agg(F.min("id").alias("id")).select("id")
+    return RP.lookup(spark, name, ids).select("id", "project", "scanner", "rule", "message", "fix_suggestion")
+
+
+oracle("finding_by_id", f"SELECT id, project, scanner, rule, message, fix_suggestion FROM fv_triaged WHERE {ACT} AND id IN ("
+       f"SELECT min(id) FROM fv_triaged WHERE {ACT} GROUP BY project)", ["fv_triaged"])
+
 # ---------------------------------------------------------------------------
 # 2.1 sinks and stored scans
 # ---------------------------------------------------------------------------
@@ -657,7 +675,7 @@ oracle("sink_json", f"SELECT project, 'summary' AS kind, {_json_sql(_SUMMARY)} F
 
 @query("sink_markdown", "2.1")
 def _(spark, sf):
-    t = _tri(spark, sf)
+    t = _stored(spark, sf)
     return RP.markdown_lines(t, M.report_scores(t))
 
 

@@ -65,13 +65,19 @@ class ScanPlan:
         return reach.apply_reachability(raw, self.files)
 
     @cached_property
-    def raw_findings(self) -> DataFrame:
+    def detected(self) -> DataFrame:
+        """The findings of all detectors, as a plan: nothing runs yet."""
         parts = self._detector_outputs()
         if not parts:
             return self.files.sparkSession.createDataFrame([], FINDINGS)
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
+        return out
+
+    @cached_property
+    def raw_findings(self) -> DataFrame:
+        out = self.detected
         if self.stage_as:
             # The raw findings are read twice by dedup (flags and groups):
             # write them once as a table in the shared checkpoint folder
