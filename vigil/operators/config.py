@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
 from ..functions.text import basename, js_trim
 from ..schemas import conform
 from ..sources.files import config_files, root_file
@@ -78,14 +79,30 @@ VERCEL_SCHEMA = T.StructType([T.StructField("headers", T.ArrayType(T.StructType(
 ])))])
 
 
-def _finding(df: DataFrame, rule: str, line: Column, message: Column | None = None) -> DataFrame:
-    sev, conf, cwe, msg, fix = IAC[rule]
-    return df.select(
-        F.sha2(F.concat_ws("|", F.lit("iac"), "project", "path", line.cast("string"), F.lit(rule), F.lit("")), 256).alias("id"),
-        "project", F.lit("iac").alias("scanner"), F.lit(rule).alias("rule"), F.lit(sev).alias("severity"),
-        F.lit(conf).alias("confidence"), "path", line.cast("int").alias("line"),
-        (message if message is not None else F.lit(msg)).alias("message"),
-        F.lit(cwe).alias("cwe"), F.lit(OWASP_A05).alias("owasp"), F.lit(fix).alias("fix_suggestion"),
+HIT = "struct<rule:string,line:int,message:string>"
+
+
+def _hit(rule: str, line: Column, message: Column | None = None) -> Column:
+    """What a rule reports: its line, and its message where that names what was found."""
+    return F.struct(F.lit(rule).alias("rule"), line.cast("int").alias("line"),
+                    (message if message is not None else F.lit(None).cast("string")).alias("message")).cast(HIT)
+
+
+def _fired(*hits: Column) -> Column:
+    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+
+def _findings(df: DataFrame, hits: Column) -> DataFrame:
+    """A row for each of a row's hits, with what is fixed for their rules."""
+    fixed = F.create_map(*[x for rule, values in IAC.items() for x in (
+        F.lit(rule), F.struct(*(F.lit(v).alias(n) for n, v in zip(("severity", "confidence", "cwe", "message", "fix"), values, strict=True))))])
+    rows = df.select("project", "path", F.explode(hits).alias("h")).withColumn("f", F.element_at(fixed, F.col("h.rule")))
+    return rows.select(
+        F.sha2(F.concat_ws("|", F.lit("iac"), "project", "path", F.col("h.line").cast("string"), "h.rule", F.lit("")), 256).alias("id"),
+        "project", F.lit("iac").alias("scanner"), F.col("h.rule").alias("rule"), F.col("f.severity").alias("severity"),
+        F.col("f.confidence").alias("confidence"), "path", F.col("h.line").alias("line"),
+        F.coalesce("h.message", "f.message").alias("message"),
+        F.col("f.cwe").alias("cwe"), F.lit(OWASP_A05).alias("owasp"), F.col("f.fix").alias("fix_suggestion"),
         basename(F.col("path")).alias("config_file"))
 
 
@@ -93,10 +110,6 @@ def _finding(df: DataFrame, rule: str, line: Column, message: Column | None = No
 # Dockerfile
 # ---------------------------------------------------------------------------
 
-def _docker_lines(cfg: DataFrame) -> DataFrame:
-    return lines_explode(cfg.where(F.col("kind") == "dockerfile"))
-
-
 def _user_part(text: Column) -> Column:
     return F.lower(js_trim(F.substring(js_trim(text), 6, 1 << 30)))
 
@@ -105,28 +118,22 @@ def _is_user_line(text: Column) -> Column:
     return F.upper(js_trim(text)).startswith("USER ")
 
 
-def dockerfile_findings(cfg: DataFrame) -> DataFrame:
-    lines = _docker_lines(cfg)
-    t = F.col("text")
-    image = F.regexp_extract(t, r"(?i)^FROM\s+(\S+)", 1)
-    root = lines.where(_is_user_line(t) & _user_part(t).isin("root", "0"))
-    latest = lines.where(t.rlike(r"(?i)^FROM\s+\S")).where(
-        F.contains(image, F.lit(":latest")) | (~F.contains(image, F.lit(":")) & ~image.startswith("scratch")))
-    env = lines.where(t.rlike(r"(?i)^ENV\s+.") & F.regexp_extract(t, r"(?i)^ENV\s+(.+)", 1).rlike(DOCKER_ENV_SECRET))
-    copy_env = lines.where(js_trim(t).rlike(r"^COPY\s+.*\.env"))
-    http = lines.where(t.rlike(r"(?i)RUN.*(wget|curl).*http://"))
-    # whole-file condition: no USER line naming a non-root user
-    per_file = lines.groupBy("project", "path").agg(
-        F.max((_is_user_line(t) & ~_user_part(t).isin("root", "0")).cast("int")).alias("has_user"))
-    no_user = per_file.where(F.col("has_user") == 0)
-    return (_finding(root, "dockerfile-root-user", F.col("line"))
-            .unionByName(_finding(latest, "dockerfile-latest-tag", F.col("line"),
-                                  F.concat(F.lit("Dockerfile uses unstable image tag '"), image,
-                                           F.lit("'. Using :latest or no tag is not reproducible"))))
-            .unionByName(_finding(env, "dockerfile-secret-in-env", F.col("line")))
-            .unionByName(_finding(copy_env, "dockerfile-copy-env", F.col("line")))
-            .unionByName(_finding(http, "dockerfile-insecure-download", F.col("line")))
-            .unionByName(_finding(no_user, "dockerfile-no-user", F.lit(1))))
+def dockerfile_hits(lines: Column) -> Column:
+    """Rules on each line, and on the whole file: no USER line that names a non-root user."""
+    def of(t: Column, i: Column) -> Column:
+        image, n = F.regexp_extract(t, r"(?i)^FROM\s+(\S+)", 1), i + 1
+        unstable = F.contains(image, F.lit(":latest")) | (~F.contains(image, F.lit(":")) & ~image.startswith("scratch"))
+        return _fired(
+            F.when(_is_user_line(t) & _user_part(t).isin("root", "0"), _hit("dockerfile-root-user", n)),
+            F.when(t.rlike(r"(?i)^FROM\s+\S") & unstable, _hit("dockerfile-latest-tag", n, F.concat(
+                F.lit("Dockerfile uses unstable image tag '"), image, F.lit("'. Using :latest or no tag is not reproducible")))),
+            F.when(t.rlike(r"(?i)^ENV\s+.") & F.regexp_extract(t, r"(?i)^ENV\s+(.+)", 1).rlike(DOCKER_ENV_SECRET),
+                   _hit("dockerfile-secret-in-env", n)),
+            F.when(js_trim(t).rlike(r"^COPY\s+.*\.env"), _hit("dockerfile-copy-env", n)),
+            F.when(t.rlike(r"(?i)RUN.*(wget|curl).*http://"), _hit("dockerfile-insecure-download", n)))
+
+    named = F.exists(lines, lambda t: _is_user_line(t) & ~_user_part(t).isin("root", "0"))
+    return F.concat(F.flatten(F.transform(lines, of)), _fired(F.when(~named, _hit("dockerfile-no-user", F.lit(1)))))
 
 
 # ---------------------------------------------------------------------------
@@ -193,50 +200,59 @@ def compose_entries(cfg: DataFrame) -> DataFrame:
 
 
 def compose_findings(cfg: DataFrame) -> DataFrame:
-    e = compose_entries(cfg)
-    priv = e.where((F.col("section") == "privileged") & F.col("value").isin("true", "True", "TRUE"))
-    each = lambda section: e.where(F.col("section") == section).withColumn("part", F.explode("parts"))
-    ports = (each("ports").withColumn("port", _unquote(F.col("part")))
-             .where((F.col("port").startswith("0.0.0.0:") | ~F.contains(F.col("port"), F.lit(":")))
-                    & ~F.contains(F.col("port"), F.lit("80:")) & ~F.contains(F.col("port"), F.lit("443:"))))
-    entry = F.when(F.col("part").rlike(FLOW_KEY), F.concat(
-        F.regexp_extract("part", FLOW_KEY, 1), F.lit("="), _unquote(F.regexp_replace("part", FLOW_KEY, "")))).otherwise(_unquote(F.col("part")))
-    envs = each("environment").withColumn("entry", entry).where(
-        F.col("entry").rlike(COMPOSE_ENV_SECRET) & ~F.contains(F.col("entry"), F.lit("${")))
-    svc = F.col("service")
-    return (_finding(priv, "compose-privileged-container", F.col("line"),
-                     F.concat(F.lit("Service '"), svc, F.lit("' runs in privileged mode — full host access is granted")))
-            .unionByName(_finding(ports, "compose-port-exposure", F.col("line"),
-                                  F.concat(F.lit("Service '"), svc, F.lit("' exposes port "), F.col("port"),
-                                           F.lit(" on all interfaces (0.0.0.0)"))))
-            .unionByName(_finding(envs, "compose-hardcoded-secret", F.col("line"),
-                                  F.concat(F.lit("Service '"), svc, F.lit("' has hardcoded secret in environment variable")))))
+    section, svc, line = F.col("section"), F.col("service"), F.col("line")
+    privileged = F.when((section == "privileged") & F.col("value").isin("true", "True", "TRUE"), _hit(
+        "compose-privileged-container", line,
+        F.concat(F.lit("Service '"), svc, F.lit("' runs in privileged mode — full host access is granted"))))
+
+    def port(part: Column) -> Column:
+        p = _unquote(part)
+        exposed = ((p.startswith("0.0.0.0:") | ~F.contains(p, F.lit(":"))) & ~F.contains(p, F.lit("80:")) & ~F.contains(p, F.lit("443:")))
+        return F.when((section == "ports") & exposed, _hit("compose-port-exposure", line, F.concat(
+            F.lit("Service '"), svc, F.lit("' exposes port "), p, F.lit(" on all interfaces (0.0.0.0)"))))
+
+    def variable(part: Column) -> Column:
+        entry = F.when(part.rlike(FLOW_KEY), F.concat(
+            F.regexp_extract(part, FLOW_KEY, 1), F.lit("="), _unquote(F.regexp_replace(part, FLOW_KEY, "")))).otherwise(_unquote(part))
+        return F.when((section == "environment") & entry.rlike(COMPOSE_ENV_SECRET) & ~F.contains(entry, F.lit("${")), _hit(
+            "compose-hardcoded-secret", line, F.concat(F.lit("Service '"), svc, F.lit("' has hardcoded secret in environment variable"))))
+
+    each = F.flatten(F.transform("parts", lambda p: _fired(port(p), variable(p))))
+    return _findings(compose_entries(cfg), F.concat(_fired(privileged), each))
 
 
 # ---------------------------------------------------------------------------
 # Next config, vercel.json, .env
 # ---------------------------------------------------------------------------
 
-def next_config_findings(cfg: DataFrame) -> DataFrame:
-    lines = lines_explode(cfg.where(F.col("kind") == "nextconfig"), with_array=True)
-    t, n = F.col("text"), F.col("line")
-    start = F.greatest(n - 3, F.lit(1))
-    ctx = F.slice(F.col("lines"), start, n + 2 - start + 1)
-    near = F.exists(ctx, lambda l: F.contains(l, F.lit(CORS_CONTEXT[0])) | F.contains(l, F.lit(CORS_CONTEXT[1]))
-                    | F.contains(l, F.lit(CORS_CONTEXT[2])))
-    star = F.contains(t, F.lit("'*'")) | F.contains(t, F.lit('"*"'))
-    return (_finding(lines.where(star & near), "nextjs-cors-wildcard", n)
-            .unionByName(_finding(lines.where(t.rlike(NEXT_PUBLIC_SECRET)), "nextjs-public-secret", n))
-            .unionByName(_finding(lines.where(F.contains(t, F.lit("dangerouslyAllowSVG: true"))),
-                                  "nextjs-dangerous-svg", n)))
+def next_config_hits(lines: Column) -> Column:
+    def of(t: Column, i: Column) -> Column:
+        context = F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i + 3, F.size(lines)) - F.greatest(i - 2, F.lit(1)) + 1)
+        near = F.exists(context, lambda l: F.contains(l, F.lit(CORS_CONTEXT[0])) | F.contains(l, F.lit(CORS_CONTEXT[1]))
+                        | F.contains(l, F.lit(CORS_CONTEXT[2])))
+        star = F.contains(t, F.lit("'*'")) | F.contains(t, F.lit('"*"'))
+        return _fired(F.when(star & near, _hit("nextjs-cors-wildcard", i + 1)),
+                      F.when(t.rlike(NEXT_PUBLIC_SECRET), _hit("nextjs-public-secret", i + 1)),
+                      F.when(F.contains(t, F.lit("dangerouslyAllowSVG: true")), _hit("nextjs-dangerous-svg", i + 1)))
+
+    return F.flatten(F.transform(lines, of))
+
+
+def vercel_hits(content: Column) -> Column:
+    """A hit for each header that lets all origins in."""
+    entries = F.filter(F.coalesce(F.from_json(content, VERCEL_SCHEMA)["headers"], F.array()), lambda e: e["headers"].isNotNull())
+    headers = F.flatten(F.transform(entries, lambda e: e["headers"]))
+    wild = F.filter(headers, lambda h: (h["key"] == "Access-Control-Allow-Origin") & (h["value"] == "*"))
+    return F.transform(wild, lambda h: _hit("vercel-cors-wildcard", F.lit(1)))
 
 
-def vercel_findings(cfg: DataFrame) -> DataFrame:
-    v = cfg.where(F.col("kind") == "vercel").select("project", "path", F.from_json("content", VERCEL_SCHEMA).alias("j"))
-    h = v.select("project", "path", F.explode(F.col("j.headers")).alias("hc"))
-    kv = h.select("project", "path", F.explode(F.col("hc.headers")).alias("kv"))
-    wild = kv.where((F.col("kv.key") == "Access-Control-Allow-Origin") & (F.col("kv.value") == "*"))
-    return _finding(wild, "vercel-cors-wildcard", F.lit(1))
+def file_findings(cfg: DataFrame) -> DataFrame:
+    """The rules that need one file only, all in one pass over the files, which are not cut into rows."""
+    kind, content = F.col("kind"), F.col("content")
+    rows = cfg.where(kind.isin("dockerfile", "nextconfig", "vercel")).withColumn("lines", F.split(content, "\n", -1))
+    hits = let(F.col("lines"), lambda lines: F.when(kind == "dockerfile", dockerfile_hits(lines)).when(
+        kind == "nextconfig", next_config_hits(lines)).otherwise(vercel_hits(content)))
+    return _findings(rows, hits)
 
 
 def gitignore_lines(files: DataFrame) -> DataFrame:
@@ -251,8 +267,8 @@ def env_findings(cfg: DataFrame, files: DataFrame) -> DataFrame:
     j = envs.join(gi, "project", "left")
     forms = F.array(*map(F.lit, GITIGNORE_ENV_FORMS), F.col("name"), F.concat(F.lit("/"), F.col("name")))
     covered = F.coalesce(F.exists(F.col("gi_lines"), lambda l: F.array_contains(forms, l)), F.lit(False))
-    return _finding(j.where(~covered), "env-not-gitignored", F.lit(1),
-                    F.concat(F.col("name"), F.lit(" is not listed in .gitignore — secrets may be committed to git")))
+    return _findings(j.where(~covered), _fired(_hit("env-not-gitignored", F.lit(1), F.concat(
+        F.col("name"), F.lit(" is not listed in .gitignore — secrets may be committed to git")))))
 
 
 def config_findings(files: DataFrame, conform_schema: bool = True, cross_file: bool = True) -> DataFrame:
@@ -260,8 +276,7 @@ def config_findings(files: DataFrame, conform_schema: bool = True, cross_file: b
     check that needs another file of the project (.env vs root .gitignore),
     for callers that see only part of a project (micro-batches)."""
     cfg = config_files(files)
-    out = (dockerfile_findings(cfg).unionByName(compose_findings(cfg))
-           .unionByName(next_config_findings(cfg)).unionByName(vercel_findings(cfg)))
+    out = file_findings(cfg).unionByName(compose_findings(cfg))
     if cross_file:
         out = out.unionByName(env_findings(cfg, files))
     return conform(out) if conform_schema else out
