@@ -18,7 +18,7 @@ from .arrays import let
 
 # The forms of a version that the two ecosystems define.
 SEMVER_CORE, SEMVER_PRE = r"^[v=\s]*([^-+]*)", r"^[^-+]*-([^+]*)"
-PEP440 = (r"^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]*))?"
+PEP440 = (r"^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*+)(?:[-_.]?(alpha|beta|preview|pre|rc|a|b|c)[-_.]?([0-9]*))?"
           r"(?:(?:[-_.]?(post|rev|r)[-_.]?([0-9]*))|-([0-9]+))?(?:[-_.]?(dev)[-_.]?([0-9]*))?(?:\+.*)?\s*$")
 PHASES = {"dev": "1", "alpha": "2", "a": "2", "beta": "3", "b": "3", "c": "4", "rc": "4", "pre": "4", "preview": "4"}
 RELEASE, POST = "5", "6"

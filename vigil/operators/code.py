@@ -34,14 +34,14 @@ STEP = r"(?:\s*!?\s*\.\s*[\w$]+|\s*!?\s*\[[^\[\]]*\])"
 #: A member chain of any length, with calls (their parentheses emptied).
 LINK = r"(?:\s*!?\s*\.\s*[\w$]+|\s*!?\s*\[[^\[\]]*\]|\s*\(\))"
 INPUT_PROPERTY = r"(?:body|params|query|headers|cookies)"
-#: A whole expression that is user input: a member of the request or its context, anything's
-#: body/params/..., or a variable of such a name.
-USER_INPUT = (r"(?:(?:req|request)" + STEP + "{1,2}|(?:ctx|context)" + STEP
-              + r"|(?:[\w$]+|\(\))" + LINK + r"*\s*!?\s*(?:\.\s*" + INPUT_PROPERTY + r"|\[\s*" + INPUT_PROPERTY + r"\s*\])"
-              + r"|(?i:input|data|payload|params|body|query))")
-IS_USER_INPUT = "^" + USER_INPUT + "$"
-#: An interpolated expression: user input, or a member of it.
-IS_INTERPOLATED_INPUT = "^" + USER_INPUT + STEP + "?$"
+#: A whole expression that is user input: a member of the request or its context, a variable of such a name,
+#: or (``IS_CHAIN`` and ``ENDS_IN_INPUT``) anything's body, params, ...
+IS_INPUT_NAME = (r"^(?:(?:req|request)" + STEP + "{1,2}|(?:ctx|context)" + STEP
+                 + r"|(?i:input|data|payload|params|body|query))$")
+IS_CHAIN = r"^(?:[\w$]+|\(\))(?:" + LINK + r")*+$"
+ENDS_IN_INPUT = r"(?:\.\s*" + INPUT_PROPERTY + r"|\[\s*" + INPUT_PROPERTY + r"\s*\])$"
+ENDS_IN_PARAMS = r"(?:\.\s*params|\[\s*params\s*\])" + STEP + "{0,3}$"
+LAST_STEP = STEP + "$"
 INTERPOLATION = r"\$\{([^{}]*)\}"
 IS_TEMPLATE, IS_STRING = "^``$", """^(?:''|"")$"""
 #: A binary expression: an operator between operands, no lower one outside of parentheses.
@@ -165,24 +165,28 @@ OPENS_BODY, CONTINUES = r"^\s*(?::[^=;]*)?\{$", r"^\s*[.+*/%?&|=<>\[(-]"
 #: Before an assignment's target: a statement begins.
 BEGINS = r"(?:^|[;\n>])[ \t]*$"
 PATH_JOIN = r"^[\w$.]+\.\s*(?:join|resolve)\s*\(((?s:.)*)\)$"
-MIDDLEWARE = r"^(?:[\w$]+(?:\s*\([^()]*\))?\s*\.\s*)*([\w$]+)$"
+MIDDLEWARE = r"^(?:[\w$]+(?:\s*\([^()]*\))?\s*\.\s*)*+([\w$]+)$"
 HTML_VALUE = r"""^\{\s*(?:[^{}]*?,)?\s*__html\s*:\s*(''\s*[,}]|""\s*[,}]|[^\s,}])"""
 HTML_STRING = """^(''|"")"""
-IS_PARAMS = r"^(?:[\w$]+|\(\))" + LINK + r"*\s*!?\s*(?:\.\s*params|\[\s*params\s*\])" + STEP + "{0,3}$"
 
 
 def _arg(c: Column, i: int) -> Column:
     return F.coalesce(F.get(c["args"], i), F.lit(""))
 
 
+def input_shape(shape: Column) -> Column:
+    return shape.rlike(IS_INPUT_NAME) | (shape.rlike(IS_CHAIN) & shape.rlike(ENDS_IN_INPUT))
+
+
 def user_input(arg: Column) -> Column:
-    return spans.shape(arg).rlike(IS_USER_INPUT)
+    return let(spans.shape(arg), input_shape)
 
 
 def input_template(arg: Column) -> Column:
     """A template with an interpolation that is user input or a member of it."""
     return spans.shape(arg).rlike(IS_TEMPLATE) & F.exists(
-        F.regexp_extract_all(arg, F.lit(INTERPOLATION), F.lit(1)), lambda e: spans.trimmed(spans.shape(e)).rlike(IS_INTERPOLATED_INPUT))
+        F.regexp_extract_all(arg, F.lit(INTERPOLATION), F.lit(1)), lambda e: let(
+            spans.trimmed(spans.shape(e)), lambda s: input_shape(s) | input_shape(F.regexp_replace(s, LAST_STEP, ""))))
 
 
 def binary(arg: Column) -> Column:
@@ -198,7 +202,7 @@ def string_value(arg: Column) -> Column:
 def _path_argument(arg: Column) -> Column:
     """User input itself, or among the arguments of a join or resolve."""
     inner = F.regexp_extract(arg, PATH_JOIN, 1)
-    return user_input(arg) | input_template(arg) | F.exists(spans.parts(spans.shape(inner)), lambda p: p.rlike(IS_USER_INPUT))
+    return user_input(arg) | input_template(arg) | F.exists(spans.parts(spans.shape(inner)), input_shape)
 
 
 def _has_auth(c: Column) -> Column:
@@ -223,7 +227,7 @@ ARGUMENTS: dict[str, Callable[[Column, Column], Column]] = {
     "sast_function_ctor": lambda c, path: F.exists(c["args"], lambda a: ~spans.shape(a).rlike(IS_STRING)),
     "sast_path_traversal": lambda c, path: _path_argument(_arg(c, 0)),
     "sast_nosql": lambda c, path: user_input(_arg(c, 0)),
-    "sast_idor": lambda c, path: spans.shape(_arg(c, 0)).rlike(IS_PARAMS),
+    "sast_idor": lambda c, path: let(spans.shape(_arg(c, 0)), lambda s: s.rlike(IS_CHAIN) & s.rlike(ENDS_IN_PARAMS)),
     "sast_proto_pollution": lambda c, path: F.exists(F.slice(c["args"], F.lit(2), F.greatest(F.size(c["args"]) - 1, F.lit(0))), user_input),
     "sast_missing_auth": lambda c, path: (F.size(c["args"]) >= 2) & F.coalesce(string_value(_arg(c, 0)), F.lit("")).rlike(SENSITIVE_ROUTE)
     & ~_has_auth(c) & ~is_test_file_code(path),

@@ -34,7 +34,7 @@ MARKS = "|".join([
     r"[()\[\]{},]",
 ])
 #: The name or member chain that ends a piece of code, with type arguments after it.
-CHAIN = r"((?:new\s+)?[\w$]+(?:\s*!?\s*\.\s*[\w$]+)*)\s*(?:<[^<>()]*>)?\s*$"
+CHAIN = r"((?:new\s+)?[\w$]+(?:\s*!?\s*\.\s*[\w$]+)*+)\s*(?:<[^<>()]*>)?\s*$"
 #: The attribute that ends a piece of code, before a brace.
 ATTRIBUTE = r"([\w$]+)\s*=\s*$"
 #: Strings and templates keep their quotes only.

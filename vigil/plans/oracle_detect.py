@@ -55,6 +55,14 @@ def _is(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {_p(pattern)})"
 
 
+def _input(s: str) -> str:
+    return f"({_is(s, C.IS_INPUT_NAME)} OR ({_is(s, C.IS_CHAIN)} AND {_is(s, C.ENDS_IN_INPUT)}))"
+
+
+def _interpolated(s: str) -> str:
+    return f"({_input(s)} OR {_input(_sub(s, C.LAST_STEP, ''))})"
+
+
 def _some(items: str, test) -> str:
     return f"len(list_filter({items}, lambda z: {test('z')})) > 0"
 
@@ -64,10 +72,10 @@ def _code_args(r: C.CodeRule) -> str:
     a, s = "coalesce(args[1], '')", "coalesce(shapes[1], '')"
     said = f"CASE WHEN {_is(s, C.IS_STRING)} THEN substr({a}, 2, length({a}) - 2) ELSE '' END"
     template = (f"({_is(s, C.IS_TEMPLATE)} AND " + _some(
-        f"regexp_extract_all({a}, {_p(C.INTERPOLATION)}, 1)", lambda z: _is(_trimmed(_shape(z)), C.IS_INTERPOLATED_INPUT)) + ")")
+        f"regexp_extract_all({a}, {_p(C.INTERPOLATION)}, 1)", lambda z: _interpolated(_trimmed(_shape(z)))) + ")")
     flat = _sub(_sub(s, r"\{[^{}]*\}", "{}"), r"\[[^\[\]]*\]", "[]")
     binary = f"({_is(flat, C.BINARY)} AND NOT {_is(flat, C.LOWER)})"
-    is_input = _is(s, C.IS_USER_INPUT)
+    is_input = _input(s)
     if r.key == "sast_sql_raw_unsafe":
         return f"({_is(s, C.IS_TEMPLATE)} OR {binary})"
     if r.key == "sast_sql_template":
@@ -83,13 +91,13 @@ def _code_args(r: C.CodeRule) -> str:
     if r.key == "sast_path_traversal":
         inner = _shape(f"regexp_extract({a}, {_p(C.PATH_JOIN)}, 1)")
         pieces = f"string_split({_sub(_sub(inner, r'\{[^{}]*\}', '{}'), r'\[[^\[\]]*,[^\[\]]*\]', '[]')}, ',')"
-        return f"({is_input} OR {template} OR {_some(pieces, lambda z: _is(_trimmed(z), C.IS_USER_INPUT))})"
+        return f"({is_input} OR {template} OR {_some(pieces, lambda z: _input(_trimmed(z)))})"
     if r.key == "sast_nosql":
         return is_input
     if r.key == "sast_idor":
-        return _is(s, C.IS_PARAMS)
+        return f"({_is(s, C.IS_CHAIN)} AND {_is(s, C.ENDS_IN_PARAMS)})"
     if r.key == "sast_proto_pollution":
-        return _some("shapes[2:]", lambda z: _is(z, C.IS_USER_INPUT))
+        return _some("shapes[2:]", _input)
     if r.key == "sast_missing_auth":
         auth = ", ".join(q(x) for x in C.AUTH_MIDDLEWARE)
         has = _some("args[2:len(args) - 1]", lambda z: f"regexp_extract({z}, {_p(C.MIDDLEWARE)}, 1) IN ({auth})")
@@ -226,14 +234,14 @@ def version_key_sql(v: str, ecosystem: str) -> str:
     ids = (f"list_aggregate(list_transform(string_split({pre}, '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '1' || {num('p')} "
            "ELSE '2' || p || '!' END), 'string_agg', '')")
     semver = f"({core(f'regexp_extract({v}, {q(V.SEMVER_CORE)}, 1)')} || CASE WHEN {pre} = '' THEN '~' ELSE '-' || {ids} || '0' END)"
-    g = lambda i: f"regexp_extract(lower({v}), {q(V.PEP440)}, {i})"
+    g = lambda i: f"regexp_extract(lower({v}), {_p(V.PEP440)}, {i})"
     phase = "CASE " + g(3) + " " + " ".join(f"WHEN {q(k)} THEN '{n}'" for k, n in V.PHASES.items()) + " END"
     post, dev = f"({g(5)} <> '' OR {g(7)} <> '')", f"{g(8)} <> ''"
     post_key, dev_key = f"'6' || {num(g(6) + ' || ' + g(7))}", f"'1' || {num(g(9))}"
     pep = (f"({num(g(1))} || {core(g(2))} || CASE WHEN {g(3)} <> '' THEN {phase} || {num(g(4))} WHEN {post} THEN {post_key} WHEN {dev} THEN {dev_key} ELSE '5' END "
            f"|| CASE WHEN {g(3)} <> '' AND {post} THEN {post_key} WHEN ({g(3)} <> '' OR {post}) AND {dev} THEN {dev_key} ELSE '5' END "
            f"|| CASE WHEN {g(3)} <> '' AND {post} AND {dev} THEN {dev_key} ELSE '5' END)")
-    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN {ecosystem} = 'PyPI' AND regexp_matches(lower({v}), {q(V.PEP440)}) THEN {pep} "
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN {ecosystem} = 'PyPI' AND regexp_matches(lower({v}), {_p(V.PEP440)}) THEN {pep} "
             f"WHEN {ecosystem} = 'PyPI' THEN '0000' || {semver} ELSE {semver} END")
 
 
