@@ -4,8 +4,9 @@ Every row gets a digest of its normalised text, and a slot from its id. The
 slots exchange their runs in rounds: written in base ``fan_in``, a slot number
 of ``rounds`` digits takes over one digit of the digest's home slot in each
 round, so ``fan_in`` sorted runs meet and are merged at every level, and after
-the last round a digest is in its home slot alone. A merge keeps, for each
-digest, the smallest identifier and the number of rows; rows are merged only
+the last round a digest is in its home slot alone. A merge is an aggregation by
+(slot, digest), for which Spark sorts the runs that meet; it keeps, for each
+digest, the smallest identifier and the number of rows. Rows are merged only
 if digest, byte length and a second, independent 64-bit hash of the text all
 agree. The result then travels the same tree downwards: a level's rows join
 their parents' by (slot, digest), so no join ever brings more than a share of

@@ -24,10 +24,11 @@ Exact top k without a sort of all rows: the k-th largest key is found by
 counting keys in 2**16 buckets of their order-preserving 64-bit form, four
 rounds of 16 bits; rows with exactly that key all stay.
 
-Defined results: a null or empty text has no n-grams and log weight 0. Rows
+Defined results: a text without words (null, empty, blank) has log weight 0, the
+lowest margin and key, and never stays. Rows
 that repeat id and text share one key and one fate. Labels that are null
 count as missing; a document with several labels is good if any says so.
-Without any good label all weights are 0 and all rows stay.
+Without any good label all weights are 0 and all rows with words stay.
 """
 
 from __future__ import annotations
@@ -110,7 +111,8 @@ def with_keys(df: DataFrame, scorer: Scorer, text_col: str = "text", id_col: str
                          dtype=np.float64).reshape(-1, 2)
         n, log_weight = found[:, 0], found[:, 1]
         band = np.frexp(n)[1]
-        margin = log_weight - n * scorer.cuts[band]
+        margin = np.full(len(n), -np.inf)  # a text without n-grams has the lowest place
+        margin[n > 0] = (log_weight - n * scorer.cuts[band])[n > 0]
         key = margin - np.log(-np.log(u.to_numpy(dtype=np.float64)))
         raw, top = key.view(np.uint64), np.uint64(1 << 63)
         return pd.DataFrame({"log_weight": log_weight, "margin": margin, "band": band, "each": log_weight / np.maximum(n, 1),
@@ -165,5 +167,5 @@ def resample(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
     scorer = Scorer(weights, cuts if known else np.zeros(BANDS))
     keys = staged(with_keys(df.select(col(id_col), col(text_col)), scorer, text_col, id_col)
                   .select(col(id_col).alias(id_col), *[F.col(f"__{c}").alias(c) for c in SCORES]), "importance")
-    k = keys.where("margin >= 0").count() if known else keys.count()
+    k = keys.where("margin >= 0" if known else "band > 0").count()
     return keys, scorer, kth_largest(keys, k)
