@@ -47,7 +47,7 @@ def main() -> None:
     reg = load_all()
     t0 = time.time()
     c = corpus_of(spark, sf_dir)
-    for t in ("files", "advisories", "findings"):
+    for t in ("files", "advisories", "findings", "context"):
         getattr(c, t).count()
     setup = time.time() - t0
     times = {}

@@ -10,6 +10,9 @@ repeating them.
 
 from __future__ import annotations
 
+import functools
+import re
+
 from ..operators import secrets as S
 from ..sources import corpus
 from ..sources import files as FS
@@ -309,9 +312,7 @@ def extra_ctes() -> dict[str, str]:
 
 
 def with_ctes(select: str, needed: list[str] | None = None) -> str:
-    c = all_ctes()
-    if needed is not None:
-        c = _closure(c, needed)
+    c = _tables()[0] if needed is None else _closure(needed)
     kept = lambda k: "MATERIALIZED " if k in MATERIALIZED else ""
     return "WITH " + ",\n".join(f"{k} AS {kept(k)}({v})" for k, v in c.items()) + "\n" + select
 
@@ -320,17 +321,19 @@ def with_ctes(select: str, needed: list[str] | None = None) -> str:
 MATERIALIZED: set[str] = set()
 
 
-def _closure(c: dict[str, str], needed: list[str]) -> dict[str, str]:
-    import re
-    keep, todo = set(), list(needed)
-    names = list(c.keys())
+@functools.cache
+def _tables() -> tuple[dict[str, str], dict[str, set[str]]]:
+    """All tables, and those that each one reads."""
+    c = all_ctes()
+    return c, {k: (set(re.findall(r"\w+", body)) & c.keys()) - {k} for k, body in c.items()}
+
+
+def _closure(needed: list[str]) -> dict[str, str]:
+    c, reads = _tables()
+    keep, todo = set(), [n for n in needed if n in c]
     while todo:
         n = todo.pop()
-        if n in keep or n not in c:
-            continue
-        keep.add(n)
-        body = c[n]
-        for m in names:
-            if m not in keep and re.search(rf"\b{re.escape(m)}\b", body):
-                todo.append(m)
+        if n not in keep:
+            keep.add(n)
+            todo += reads[n]
     return {k: v for k, v in c.items() if k in keep}
