@@ -349,3 +349,30 @@ def test_first_turns_of_hot_conversations_come_as_one_row(spark):
     runs = {r.copies for r in dialogue.counted(rows).collect()}
     assert runs == {500, 1}
     assert [len(list(g)) for _, g in groupby(dialogue.repair(rows, rows).first().audit)] == [1, 499, 1]
+
+
+# --- kept in order: quality and similar texts ------------------------------------------------------------------------
+
+def test_texts_without_words_are_never_good(spark):
+    from vigil.llm import importance
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(1_000_000 + i, (None, "", " \n")[i % 3]) for i in range(200)], "doc_id long, text string")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for table in (labels, labels.limit(0)):
+        keys, _, least = importance.resample(docs.unionByName(more), table)
+        kept = {r.doc_id for r in keys.where(F.col("key") >= least).select("doc_id").collect()}
+        assert kept and not any(i >= 1_000_000 for i in kept)
+
+
+def test_held_tokens():
+    from vigil.llm.jaccard import Held
+    rng = np.random.default_rng(1)
+    held = Held(100)
+    for n in (0, 1, 90, 400, 7):
+        tokens = [rng.integers(0, 60, n).astype(np.uint64) for _ in range(3)]
+        for t in tokens:
+            held.add(t)
+        want, times = np.unique(np.concatenate(tokens), return_counts=True)
+        got, counts = held.repeated()
+        assert got.tolist() == want[times > 1].tolist() and counts.tolist() == times[times > 1].tolist() and held.size == 0

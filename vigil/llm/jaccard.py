@@ -78,6 +78,30 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class Held:
+    """Tokens of a task until they are counted, in one array that is sorted in place."""
+
+    def __init__(self, room: int):
+        self.tokens, self.size = np.empty(room, dtype=np.uint64), 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        end = self.size + len(tokens)
+        if end > len(self.tokens):  # the last texts before a count
+            self.tokens = np.concatenate([self.tokens[:self.size], np.empty(end - self.size + len(self.tokens) // 8, dtype=np.uint64)])
+        self.tokens[self.size:end] = tokens
+        self.size = end
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens held more than once, sorted, with their counts; none are held after that."""
+        found = self.tokens[:self.size]
+        found.sort()
+        again = np.zeros(self.size + 1, dtype=bool)  # the token before is the same
+        again[1:-1] = found[1:] == found[:-1]
+        first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+        self.size = 0
+        return found[first].copy(), last - first + 1
+
+
 def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Per row id, n, the set's digest and bitmap; besides, tokens that repeat within a task with their counts."""
     rows = df.select(col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
@@ -86,18 +110,14 @@ def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
         names = ["id", "n", "digest", "sketch", "token", "times"]
         bitmap = pa.list_(pa.int64())
         seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
+        held = Held(COUNTED)
 
         def repeated() -> pa.RecordBatch:
-            nonlocal held, size
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            at = times > 1
-            k = int(at.sum())
-            held, size = [], 0
+            tokens, times = held.repeated()
+            k = len(tokens)
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, bitmap),
-                 pa.array(tokens[at].view(np.int64)), pa.array(times[at])], names)
+                 pa.array(tokens.view(np.int64)), pa.array(times)], names)
 
         for batch in batches:
             n, digest, bits = [], [], []
@@ -109,14 +129,13 @@ def describe(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                     bits.append(sketch(s))
                     if len(s) and d not in seen:
                         seen.add(d)
-                        held.append(s)
-                        size += len(s)
-                if size >= COUNTED:
+                        held.add(s)
+                if held.size >= COUNTED:
                     yield repeated()
             none = len(n)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                                               pa.array(bits, bitmap), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], names)
-        if held:
+        if held.size:
             yield repeated()
 
     return map_batches(rows, run, "id bigint, n bigint, digest binary, sketch array<bigint>, token bigint, times bigint")
