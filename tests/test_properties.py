@@ -120,3 +120,27 @@ def test_every_interval_of_a_range(spark):
     packages = spark.sql("SELECT 'npm' AS ecosystem, 'Left' AS name, explode(array('1.0.0', '1.2.0', '2.1.0', '2.3.0')) AS version")
     found = sorted((r.version, r.adv_id) for r in deps.sca_match(packages, advisories).collect())
     assert found == [("1.0.0", "below"), ("1.0.0", "two"), ("2.1.0", "above"), ("2.1.0", "two"), ("2.3.0", "above")]
+
+
+def test_counts_without_a_row_for_each_finding(spark):
+    """Counts by package version equal the findings counted, where intervals of an advisory overlap, meet, are empty, and where
+    listed versions lie inside or outside of them or share their rank with another text."""
+    from vigil.operators import deps
+    from vigil.schemas import ADVISORIES
+
+    def adv(name, ranges, versions, score):
+        events = [{"type": "SEMVER", "events": [{"introduced": i, "fixed": x, "last_affected": None} for i, x in r]} for r in ranges]
+        return {"id": name, "aliases": [], "severity": [], "references": [], "database_specific": {"cvss_score": score},
+                "affected": [{"package": {"name": "Left", "ecosystem": "npm"}, "ranges": events, "versions": versions}]}
+    advisories = spark.createDataFrame([
+        adv("overlap", [[("0", None), (None, "1.5.0")], [("1.0.0", None), (None, "2.0.0")]], ["1.2.0"], 9.5),
+        adv("meet", [[("1.0.0", None), (None, "1.5.0"), ("1.5.0", None), (None, "2.0.0")]], ["3.0"], 9.1),
+        adv("empty", [[("2.0.0", None), (None, "1.0.0")]], ["3.0.0", "1.2"], 7.5),
+        adv("open", [[("1.2.0", None)]], [], 2.0)], ADVISORIES)
+    rows = [(f"p{i % 3}", "npm", "left", v, False, True) for i, v in enumerate(
+        ["0.1.0", "1.0.0", "1.2", "1.2.0", "1.5.0", "2.0.0", "3.0", "3.0.0", "1.2.0-beta"] * 2)]
+    packages = spark.createDataFrame(rows, "project string, ecosystem string, name string, version string, is_dev boolean, is_direct boolean").distinct()
+    found = deps.sca_findings(packages, advisories).groupBy("project", F.col("package_name").alias("name"), "severity").count()
+    counted = deps.project_counts(packages, advisories)
+    want = sorted(map(tuple, found.collect()))
+    assert sorted(map(tuple, counted.collect())) == want and sum(r[-1] for r in want) == 20
