@@ -140,7 +140,7 @@ def test_counts_without_a_row_for_each_finding(spark):
     rows = [(f"p{i % 3}", "npm", "left", v, False, True) for i, v in enumerate(
         ["0.1.0", "1.0.0", "1.2", "1.2.0", "1.5.0", "2.0.0", "3.0", "3.0.0", "1.2.0-beta"] * 2)]
     packages = spark.createDataFrame(rows, "project string, ecosystem string, name string, version string, is_dev boolean, is_direct boolean").distinct()
-    found = deps.sca_findings(packages, advisories).groupBy("project", F.col("package_name").alias("name"), "severity").count()
+    found = deps.sca_findings(packages, advisories).groupBy("project", "package_name", "is_dev_dependency", "is_reachable", "severity").count()
     counted = deps.project_counts(packages, advisories)
     want = sorted(map(tuple, found.collect()))
     assert sorted(map(tuple, counted.collect())) == want and sum(r[-1] for r in want) == 20
