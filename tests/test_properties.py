@@ -79,6 +79,24 @@ def test_dedup_shuffles_findings_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
 
 
+def test_findings_alone_in_their_group_are_not_shuffled(spark):
+    """Only findings whose group may have others meet by group; how many more share a bit with these changes no flag."""
+    from vigil.plans.q_core import corpus_of
+    from vigil.operators import triage
+    f = corpus_of(spark, "/root/testdata/sf0.001").findings
+    f = f.unionByName(f.withColumn("scan_ts", F.lit(None).cast("timestamp")).withColumn("project", F.lit(None).cast("string")))
+    sizes = [r.total_count for r in triage.dedup_groups(f).collect()]
+    assert sizes.count(1) > 5000 and max(sizes) > 1
+    alone, met, _ = triage._grouped(f, triage.HOT_ROWS)
+    assert met.count() < 1.05 * sum(n for n in sizes if n > 1) and alone.count() + met.count() == f.count()
+    seen = set()
+    for words in (1, 4, triage.SHARED_WORDS):
+        assert words > 1 or triage._grouped(f, triage.HOT_ROWS, words)[0].count() == 0
+        flags = triage.dedup_flags(f, words=words).select("id", "project", "is_duplicate", "duplicate_of").fillna("")
+        seen.add(str((sorted(map(tuple, flags.collect())), sorted(map(str, triage.dedup_groups(f, words=words).collect())))))
+    assert len(seen) == 1
+
+
 def _stored(spark, rows):
     """Dependency findings (id, month, cve) of one project, in the findings schema."""
     from vigil.schemas import conform
