@@ -362,6 +362,25 @@ def test_jaccard(spark, docs, empty, monkeypatch):
     assert jaccard.similarity_join(docs)[0].count() == docs.count() and jaccard.similarity_join(empty)[0].count() == 0
 
 
+def test_jaccard_pairs_with_a_passage_meet_once(spark):
+    # ten members without links, each pair in the same 50 lists, and the same again for one member more
+    rows = [(k, r, 4000, 10 + k, 0) for k in range(50) for r in range(10)] + [(k, r, 4000, 10 + k, 0) for k in range(50, 60) for r in range(11)]
+    lists = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, place int, common int")
+    none = spark.createDataFrame([], "id bigint, component bigint")
+    tested = spark.createDataFrame([], "a bigint, b bigint")
+    sketches = spark.createDataFrame([(r, None) for r in range(11)], "id bigint, sketch array<bigint>")
+    nobody = spark.createDataFrame([], "rep bigint")
+    shared = [(r.key, r.rep) for r in jaccard.first_of_equal(spark.createDataFrame(
+        [(*x, 10 if x[0] < 50 else 11, x[0] >= 50, 7, x[0], None) for x in rows], "key bigint, rep bigint, n bigint, place int, common int, "
+        "many int, digest boolean, check int, start int, loose boolean")).select("key", "rep").collect()]
+    assert sorted(shared) == [(0, r) for r in range(10)] + [(50, r) for r in range(11)]
+    met = jaccard.crossing_pairs(lists, none, tested, sketches, nobody)
+    assert {tuple(r) for r in met.collect()} == {(a, b) for a in range(11) for b in range(a + 1, 11)}
+    # a member that stands for several texts keeps all its lists
+    assert {tuple(r) for r in jaccard.crossing_pairs(lists, none, tested, sketches, nobody.unionByName(
+        spark.createDataFrame([(3,)], "rep bigint"))).collect()} == {(a, b) for a in range(11) for b in range(a + 1, 11)}
+
+
 def test_bitmaps_bound_the_difference():
     rng = np.random.default_rng(11)
     for n in (1, 8, 150, 5000):

@@ -26,7 +26,11 @@ That keeps a group's edited, unlinked copies out of the pairs.
 
 Pairs are found in two rounds so that a large group is not expanded: first
 each index list's most typical member meets the others; then, of lists that
-still hold several components, the pairs across components. Of those, a bitmap
+still hold several components, the pairs across components. Documents with a
+passage in common meet in a list for each of its tokens: of lists with the same
+members only the first is kept, and of two lists that a pair is in, the later
+one leaves it out (a list is earlier for all its members, as tokens have one
+order, so the bound on what is left holds there too). Of those pairs, a bitmap
 of each set (every token flips one bit) leaves out pairs that can't link: two
 bitmaps differ in no more bits than the sets differ in tokens, and linked sets
 differ in at most a seventh of both sizes. All pairs are verified on their texts. Which tokens count as frequent decides cost, never
@@ -256,20 +260,33 @@ def near_enough(a: str, b: str):
     return F.coalesce(7 * bits <= F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(True))
 
 
-def crossing_pairs(lists: DataFrame, components: DataFrame, tested: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of a list whose components differ and whose bitmaps (id, sketch) allow a link, without those tested."""
+def first_of_equal(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members (many, digest, check), the one that all of them have first."""
+    kind = [(F.col("place") < 0).alias("combined"), "many", "digest", "check", F.when(F.col("loose"), F.col("key")).alias("own")]
+    first = lists.groupBy(*kind).agg(F.min(F.struct("start", "key"))["key"].alias("key")).select("key").distinct()
+    return lists.join(first, "key").drop("many", "digest", "check", "start", "loose")
+
+
+def crossing_pairs(lists: DataFrame, components: DataFrame, tested: DataFrame, sketches: DataFrame, mixed: DataFrame) -> DataFrame:
+    """All pairs of a list whose components differ and whose bitmaps (id, sketch) allow a link, without those tested. Members
+    in ``mixed`` (rep) stand for several texts, whose tokens have no one order: their lists are all kept."""
     own = lists.join(components.withColumnRenamed("id", "rep"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep"))
+        .withColumn("component", F.coalesce("component", "rep")) \
+        .join(mixed.withColumn("mixed", F.lit(True)), "rep", "left")
     # a list's largest component against nothing of itself: only the others look for partners
     own = own.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
     by = Window.partitionBy("key")
     own = own.withColumn("main", F.max(F.struct("size", "component")).over(by)["component"]) \
-        .withColumn("several", F.min("component").over(by) != F.max("component").over(by)).where("several").drop("size", "several")
-    own = own.join(sketches.withColumnRenamed("id", "rep"), "rep", "left")
-    # two members of a group share many combinations: of two lists that both are in, the later one leaves them out
+        .withColumn("several", F.min("component").over(by) != F.max("component").over(by))
+    for name, value in (("many", F.count("*")), ("digest", F.bit_xor(F.xxhash64("rep"))), ("check", F.bit_xor(F.xxhash64("rep", F.lit(1)))),
+                        ("start", F.sum("place")), ("loose", F.max("mixed"))):
+        own = own.withColumn(name, value.over(by))
+    own = staged(own.where("several").drop("size", "several"), "crossing")
+    own = first_of_equal(own).join(sketches.withColumnRenamed("id", "rep"), "rep", "left")
+    # two members meet in many lists: of two lists that both are in, the later one leaves them out
     combined = F.col("place") < 0
-    earlier = Window.partitionBy("rep", combined).orderBy("key").rowsBetween(-8, -1)
-    own = own.withColumn("before", F.when(combined, F.collect_list("key").over(earlier)))
+    earlier = Window.partitionBy("rep", combined).orderBy("place", "key").rowsBetween(-8, -1)
+    own = own.withColumn("before", F.when(F.col("mixed").isNull(), F.collect_list("key").over(earlier)))
     x, y = own.where("component != main").alias("x"), own.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") \
         & near_enough("x", "y") & ~F.coalesce(F.arrays_overlap("x.before", "y.before"), F.lit(False))
@@ -350,7 +367,9 @@ def similarity_join(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     # an id of several rows has no bitmap
     sketches = described.where("id IS NOT NULL AND token IS NULL").groupBy("id") \
         .agg(F.when(F.count("*") == 1, F.first("sketch")).alias("sketch"))
-    more = staged(crossing_pairs(lists, connected(links), tested, sketches), "pairs")
+    mixed = classes.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows"), F.collect_set("rep").alias("reps")) \
+        .where("rows > 1").select(F.explode("reps").alias("rep")).distinct()
+    more = staged(crossing_pairs(lists, connected(links), tested, sketches, mixed), "pairs")
     links = staged(links.unionByName(verify(df, more, text_col, id_col)), "links")
     out = classes.join(connected(links).withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
