@@ -141,6 +141,27 @@ def test_lm_gains_are_those_of_a_move():
     assert np.allclose(got[:3] - got[old], [worth(moved(c)) - worth(moved(old)) for c in range(3)])
 
 
+def test_lm_contexts_of_a_word_are_one_row(spark):
+    df = spark.createDataFrame([("a x b",), ("b x a",), ("x z",)], "text string").coalesce(1)
+    # classes: a 0, b 1, other words 2, border 3
+    rows = lm.contexts(df, "text", [b"a", b"b"], np.array([0, 1, 2, 3]), 2).collect()
+    got = [(bytes(r.word), dict(zip(r.codes, r.counts, strict=True))) for r in rows if r.word is not None]
+    assert sorted(got) == [(b"x", {0: 1, 1: 1, 3: 1, 4 + 0: 1, 4 + 1: 1, 4 + 2: 1}), (b"z", {2: 1, 4 + 3: 1})]
+    # not known: two words in turn, and the known side of each
+    rows = lm.contexts(df, "text", [b"a", b"b"], np.array([0, 1, -1, 3]), 2).collect()
+    assert [(bytes(r.word), bytes(r.after), r.counts) for r in rows if r.after is not None] == [(b"x", b"z", [1])]
+    assert sorted((bytes(r.word), sorted(zip(r.codes, r.counts, strict=True))) for r in rows if r.word is not None and r.after is None) == [
+        (b"x", [(0, 1), (1, 1), (3, 1), (4, 1), (5, 1)]), (b"z", [(7, 1)])]
+
+
+def test_lm_large_counts_rise_as_small_ones_do():
+    base, rng = np.arange(30.0).reshape(5, 6) * 50 + 40, np.random.default_rng(2)
+    row, n, old = rng.integers(0, 5, 40), rng.integers(0, 30, 40).astype(float), rng.integers(0, 6, 40)
+    less = base[row].copy()
+    less[np.arange(40), old] -= n
+    assert np.allclose(lm.grown(base, row, n, old), lm.h(less + n[:, None]) - lm.h(less))
+
+
 def test_secrets_of_letters_and_beside_words():
     enc = secrets.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = np.random.default_rng(6)

@@ -41,7 +41,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +54,11 @@ DELTA, PRIOR = 0.1, 5.0
 HEAD, UNITS, BUCKETS, CLASSES, SWEEPS = 1 << 17, 1024, 128, 48, 12
 #: Most different words that a task counts before it hands its counts on.
 FLUSH = 300_000
-FIELDS = ["word", "after", "code", "n"]
-#: Most context counts of head words that a task holds, and that are weighed at once.
+FIELDS = ["word", "after", "codes", "counts"]
+#: Most context counts that a task holds, and that are weighed at once.
 HELD, WEIGHED = 2_000_000, 20_000
+#: Counts up to which the rise of n log n is looked up.
+FEW = 8
 
 
 def units_for(words: int) -> int:
@@ -156,21 +157,32 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
+def grown(base: np.ndarray, row: np.ndarray, n: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What h rises by in each column of the ``row`` of ``base`` as n is added; column ``old`` has that n already. Most
+    counts are small: their rises are looked up."""
+    known, small = h(base), n <= FEW
+    rise = h(base + np.arange(FEW + 1.0)[:, None, None]) - known
+    out = rise[np.where(small, n, 0).astype(np.int64), row]
+    if not small.all():
+        large = np.flatnonzero(~small)
+        out[large] = h(base[row[large]] + n[large, None]) - known[row[large]]
+    have = base[row, old]
+    out[np.arange(len(row)), old] = h(have) - h(have - n)
+    return out
+
+
 def gains(at: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Likelihood gain of each class for each word, its neighbours' classes held: ``at`` (rising, no
     word left out) is the word of a context count, ``code`` the class before it, or the number of
     classes and the class after it, ``n`` the times. ``old`` is the class that ``table``, of class
     bigrams, has the word in."""
     k = len(table)
-    beside = np.concatenate([table[:, :k - 1], table.T[:, :k - 1]])[code]
-    beside[np.arange(len(at)), old[at]] -= n
+    beside = np.concatenate([table[:, :k - 1], table.T[:, :k - 1]])
     starts = np.flatnonzero(np.diff(at, prepend=-1))
-    out = np.add.reduceat(h(beside + n[:, None]) - h(beside), starts)
+    out = np.add.reduceat(grown(beside, code, n, old[at]), starts)
     times = np.add.reduceat(np.where(code < k, n, 0.0), starts)
     for sums in (table.sum(axis=1), table.sum(axis=0)):
-        rest = np.repeat(sums[None, :k - 1], len(old), axis=0)
-        rest[np.arange(len(old)), old] -= times
-        out -= h(rest + times[:, None]) - h(rest)
+        out -= grown(sums[None, :k - 1], np.zeros(len(old), dtype=np.int64), times, old)
     return out
 
 
@@ -193,10 +205,10 @@ def contexts(df: DataFrame, text_col: str, head: list[bytes], look: np.ndarray,
     """Counts of what stands side by side. ``look`` has the classes of the ``head`` words, then of
     each bucket of other words, then the border's; -1 is a class not known. Rows are
 
-    * word, code, n for words other than the ``first`` of the head: ``code`` is the class before the
+    * word, codes, counts for words other than the ``first`` of the head: a code is the class before the
       word, or the number of classes and the class after it; sides not known are left out;
-    * word, after, n for two words in turn with classes not known;
-    * code, n for two known classes in turn: the first times the number of classes, and the second.
+    * word, after, counts (one) for two words in turn with classes not known;
+    * codes, counts for two known classes in turn: the first times the number of classes, and the second.
     """
     sent = df.sparkSession.sparkContext.broadcast((head, look))
 
@@ -207,45 +219,48 @@ def contexts(df: DataFrame, text_col: str, head: list[bytes], look: np.ndarray,
         get = {w: i for i, w in enumerate(words)}.get
         other: dict[bytes, int] = {}
         table = np.zeros(k * k, dtype=np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        beside: Counter = Counter()
-        turns: Counter = Counter()
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([y for _, y in held])).astype(np.int64)
-
-        def rows(word: pa.Array, after: pa.Array | None, code: pa.Array | None, n: pa.Array) -> pa.RecordBatch:
-            none = pa.nulls(len(n), pa.binary())
-            return pa.RecordBatch.from_arrays([word, none if after is None else after,
-                                               pa.nulls(len(n), pa.int32()) if code is None else code, n], FIELDS)
-
-        def written(some: Counter, two: bool) -> Iterator[pa.RecordBatch]:
-            items = iter(some.items())
-            while part := list(islice(items, 1 << 15)):
-                second = pa.array([b for (_, b), _ in part], pa.binary() if two else pa.int32())
-                yield rows(pa.array([w for (w, _), _ in part], pa.binary()), second if two else None,
-                           None if two else second, pa.array([n for _, n in part], pa.int64()))
-            some.clear()
-
-        def written_head() -> Iterator[pa.RecordBatch]:
-            keys, n = merged()
-            names = pa.array(words, pa.binary())
-            for a in range(0, len(keys), 1 << 16):
-                part = keys[a:a + (1 << 16)]
-                yield rows(names.take(pa.array(part // (2 * k))), None, pa.array((part % (2 * k)).astype(np.int32)),
-                           pa.array(n[a:a + (1 << 16)]))
-            held.clear()
+        far: dict[bytes, int] = {}  # numbers of words that are not of the head
+        beside: list[tuple[np.ndarray, np.ndarray]] = []  # number * 2k + code, n
+        turns: list[tuple[np.ndarray, np.ndarray]] = []  # two numbers, n
+
+        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            if not parts:
+                return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            keys, where = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+            return keys, np.bincount(where, np.concatenate([y for _, y in parts])).astype(np.int64)
+
+        def rows(word: pa.Array, after: pa.Array, starts: np.ndarray, code: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            """A row for each of ``word``; its codes and counts begin at its start."""
+            ends = pa.array(np.append(starts, len(n)).astype(np.int32))
+            codes = pa.nulls(len(word), pa.list_(pa.int32())) if code is None else pa.ListArray.from_arrays(ends, pa.array(code.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([word, after, codes, pa.ListArray.from_arrays(ends, pa.array(n))], FIELDS)
+
+        def written() -> Iterator[pa.RecordBatch]:
+            names = pa.array([*words, *far], pa.binary())
+            keys, n = merged(beside)
+            number = keys // (2 * k)
+            begin = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(keys))
+            for a in range(0, len(begin) - 1, 1 << 14):
+                some = begin[a:a + (1 << 14) + 1]
+                x, y, starts = some[0], some[-1], some[:-1]
+                yield rows(names.take(pa.array(number[starts])), pa.nulls(len(starts), pa.binary()), starts - x, keys[x:y] % (2 * k), n[x:y])
+            keys, n = merged(turns)
+            for a in range(0, len(keys), 1 << 15):
+                part = keys[a:a + (1 << 15)]
+                yield rows(names.take(pa.array(part >> 32)), names.take(pa.array(part & 0xFFFFFFFF)), np.arange(len(part)), None,
+                           n[a:a + (1 << 15)])
+            for held in (beside, turns, far):
+                held.clear()
 
         for batch in batches:
             for _, texts in pieces(batch, "text"):
-                ids, at, far = [border], [], []
+                ids, at, own_far = [border], [], []
                 for text in texts:
                     for w in text.lower().split():
                         i = get(w)
                         if i is None:
                             at.append(len(ids))
-                            far.append(w)
+                            own_far.append(far.setdefault(w, size + len(far)))
                             i = other.get(w[-3:])
                             if i is None:
                                 i = other[w[-3:]] = size + bucket_of(w, buckets)
@@ -255,44 +270,45 @@ def contexts(df: DataFrame, text_col: str, head: list[bytes], look: np.ndarray,
                 path = look[line]
                 known = (path[:-1] >= 0) & (path[1:] >= 0)
                 table += np.bincount((path[:-1] * k + path[1:])[known], minlength=k * k)
+                number, place = np.array(own_far, dtype=np.int64), np.array(at, dtype=np.int64)
                 own = np.flatnonzero((line >= first) & (line < size))
-                if len(own):
-                    held.append(np.unique(np.concatenate([line[own] * 2 * k + path[own - 1], line[own] * 2 * k + k + path[own + 1]]),
-                                          return_counts=True))
-                place = np.array(at, dtype=np.int64)
-                before, after = path[place - 1], path[place + 1]
-                beside.update(p for p in zip(far, before.tolist(), strict=True) if p[1] >= 0)
-                beside.update((w, k + c) for w, c in zip(far, after.tolist(), strict=True) if c >= 0)
-                turns.update((far[j], far[j + 1]) for j in np.flatnonzero(after < 0).tolist())
-                if len(held) > 16:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD:
-                        yield from written_head()
-                if len(beside) + len(turns) > FLUSH:
-                    yield from written(beside, False)
-                    yield from written(turns, True)
-        yield from written(beside, False)
-        yield from written(turns, True)
-        if held:
-            yield from written_head()
+                both, where = np.concatenate([line[own], number]), np.concatenate([own, place])
+                before, after = path[where - 1], path[where + 1]
+                met = np.concatenate([(both * 2 * k + before)[before >= 0], (both * 2 * k + k + after)[after >= 0]])
+                if len(met):
+                    beside.append(np.unique(met, return_counts=True))
+                two = np.flatnonzero(after[len(own):] < 0)
+                if len(two):
+                    turns.append(np.unique(number[two] << 32 | number[two + 1], return_counts=True))
+                if len(beside) > 16 or len(turns) > 16:
+                    beside[:], turns[:] = [merged(beside)], [merged(turns)]
+                    if len(beside[0][0]) + len(turns[0][0]) > HELD:
+                        yield from written()
+                if len(far) > FLUSH:
+                    yield from written()
+        yield from written()
         at = np.flatnonzero(table)
-        yield rows(pa.nulls(len(at), pa.binary()), None, pa.array(at.astype(np.int32)), pa.array(table[at]))
+        yield rows(pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), np.zeros(1, dtype=np.int64), at, table[at])
 
-    return map_batches(df.select(text_bytes(text_col).alias("text")), run, "word binary, after binary, code int, n bigint")
+    return map_batches(df.select(text_bytes(text_col).alias("text")), run,
+                       "word binary, after binary, codes array<int>, counts array<bigint>")
 
 
 def assigned(found: DataFrame, table: np.ndarray, unknown: np.ndarray) -> DataFrame:
     """word, n, class from the words' context counts: the class of the largest gain, the old one if none is larger."""
-    sums = found.where("word IS NOT NULL").groupBy("word", "code").agg(F.sum("n").alias("n"))
-    rows = sums.groupBy("word").agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n"))
+    # a task has counted a word's contexts in one row: nothing is gained by collecting before the shuffle
+    rows = found.where("word IS NOT NULL").repartition("word").groupBy("word").agg(
+        F.flatten(F.collect_list("codes")).alias("code"), F.flatten(F.collect_list("counts")).alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(table)
         for batch in batches:
             words, codes, counts = batch.column("word").to_pylist(), batch.column("code"), batch.column("n")
-            many = codes.value_lengths().to_numpy()
+            keys = np.repeat(np.arange(len(words)), codes.value_lengths().to_numpy()) * 2 * k + codes.flatten().to_numpy()
+            keys, where = np.unique(keys, return_inverse=True)  # several tasks have the same
+            n, code = np.bincount(where, counts.flatten().to_numpy()), keys % (2 * k)
+            many = np.bincount(keys // (2 * k), minlength=len(words))
             ends = np.cumsum(many)
-            code, n = codes.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
             old = np.array([unknown[bucket_of(w, len(unknown) - 1)] for w in words], dtype=np.int64)
             new, a = old.copy(), 0
             while a < len(words):
@@ -313,12 +329,15 @@ def assigned(found: DataFrame, table: np.ndarray, unknown: np.ndarray) -> DataFr
 def class_bigrams(found: DataFrame, table: DataFrame, k: int) -> np.ndarray:
     """Counts of two classes in turn, all words' classes known: ``found`` of ``contexts``, the other words' from ``table``."""
     of = table.select("word", F.col("class").alias("__of"))
-    lone = found.where("word IS NOT NULL AND after IS NULL").join(of, "word")
+    each = F.explode(F.arrays_zip("codes", "counts")).alias("x")
+    lone = found.where("word IS NOT NULL AND after IS NULL").join(of, "word").select("__of", each).select(
+        "__of", F.col("x.codes").alias("code"), F.col("x.counts").alias("n"))
     side = F.pmod(F.col("code"), F.lit(k))
     lone = lone.select(F.when(F.col("code") < k, side * k + F.col("__of")).otherwise(F.col("__of") * k + side).alias("code"), "n")
-    both = found.where("after IS NOT NULL").select("word", "after", "n").join(of, "word").select("after", F.col("__of").alias("__left"), "n")
+    both = found.where("after IS NOT NULL").select("word", "after", F.col("counts")[0].alias("n")).join(of, "word") \
+        .select("after", F.col("__of").alias("__left"), "n")
     both = both.join(of.withColumnRenamed("word", "after"), "after").select((F.col("__left") * k + F.col("__of")).alias("code"), "n")
-    sums = (found.where("word IS NULL").select("code", "n").unionByName(lone).unionByName(both)
+    sums = (found.where("word IS NULL").select(each).select(F.col("x.codes").alias("code"), F.col("x.counts").alias("n")).unionByName(lone).unionByName(both)
             .groupBy("code").agg(F.sum("n").alias("n")).toArrow())
     out = np.zeros(k * k)
     out[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
