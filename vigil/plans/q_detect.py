@@ -437,8 +437,7 @@ def _(spark, sf):
     """The single-package lookup, run as one batch over every distinct
     (ecosystem, name, version) of the corpus (project-free results)."""
     pk = _packages(spark, sf).select("ecosystem", "name", "version").distinct()
-    return D.check_package(corpus_of(spark, sf).advisories, pk).select(
-        "package_name", "installed_version", "cve", "severity", "cvss_score", "message", "fix_suggestion").distinct()
+    return D.check_package(corpus_of(spark, sf).advisories, pk, answers=True)
 
 
 oracle("sca_check_package", "SELECT DISTINCT package_name, installed_version, cve, severity, cvss_score, message, fix_suggestion "
